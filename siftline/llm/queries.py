@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard_join as jaccard
 from . import substring_dedup as substring
 from . import suffix_dedup as suffix
 
@@ -17,10 +18,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), like=jaccard.Similarity(words=3, num=90, den=100))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substring.substring_dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
