@@ -36,6 +36,8 @@ _LOWER[65:91] += 32
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``.
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII that is neither letter nor digit.
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 _powers_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -102,8 +104,8 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
-    sep = _SEP[data]
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _SEP) -> Words:
+    sep = separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     inside = ~sep
