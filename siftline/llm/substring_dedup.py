@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textcols
 from .repeats import Grain, clustered, passages, sampled_runs, window_rows
@@ -197,6 +198,7 @@ def _strip(width: int, with_text: bool):
                     else:
                         cols["kept"].append(None)
                 n = b - a
+                carried = [batch.column(i).slice(a, n) for i in range(3, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, n),
@@ -206,16 +208,19 @@ def _strip(width: int, with_text: bool):
                         pa.array(cols["kept"], pa.string()),
                         pa.array(cols["sha"], pa.string()),
                         pa.array(cols["spans"], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+                        *carried,
                     ],
-                    names=["doc", "text", "n_words", "n_removed", "kept", "kept_sha256", "spans"],
+                    names=["doc", "text", "n_words", "n_removed", "kept", "kept_sha256", "spans", *batch.schema.names[3:]],
                 )
 
     return strip
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, shard_limit: int = SHARD_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``n_removed``, ``spans`` of removed words, ``kept_sha256`` and the kept text.
 
+    The columns in ``carry`` follow, renamed to ``carried_0`` and so on.
+
     Words are maximal runs without the six ASCII white-space characters.  Null or empty text has no words and loses
     none.  Rows that repeat an id are one document given again: they don't count as earlier than each other and
     share their result; a null id sorts before all others.  Other columns are not read, whatever their names.
@@ -224,5 +229,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "substring")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     marks = repeated_windows(source, scratch, width, gram, shard_limit).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
-    joined = source.alias("s").join(marks.alias("m"), F.col("s.doc").eqNullSafe(F.col("m.doc")), "left").select("s.doc", "s.text", "m.marks")
-    return joined.mapInArrow(_strip(width, with_text), KEPT_SCHEMA).withColumnRenamed("doc", id_col)
+    names = [f"carried_{i}" for i in range(len(carry))]
+    whole = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    joined = whole.alias("s").join(marks.alias("m"), F.col("s.doc").eqNullSafe(F.col("m.doc")), "left").select("s.doc", "s.text", "m.marks", *names)
+    schema = StructType([*StructType.fromDDL(KEPT_SCHEMA).fields, *whole.schema.fields[2:]])
+    return joined.mapInArrow(_strip(width, with_text), schema).withColumnRenamed("doc", id_col)
