@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format as chat
@@ -16,6 +16,7 @@ from . import substring_dedup as substring
 from . import suffix_dedup as suffix
 from . import toxicity as toxic
 from . import word_bpe as bpe
+from .work import sampled_labels
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -71,28 +72,29 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label), "doc_id")
+def _labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column, rows: int, balanced: bool) -> DataFrame:
+    """Texts of a bounded sample of the labels that may be learned from."""
+    labels = sampled_labels(table(spark, sf_dir, "labels").where(~held_out), "doc_id", label, rows, balanced)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 4) == 2
-    lexicon = toxic.learn(_labelled(spark, sf_dir, "toxic").where(~held_out))
+    lexicon = toxic.learn(_labelled(spark, sf_dir, "toxic", held_out, toxic.SAMPLE_ROWS, False))
     scored = toxic.score_toxicity(table(spark, sf_dir, "documents"), lexicon)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 3) == 1
-    model = quality.fit(_labelled(spark, sf_dir, "quality").where(~held_out))
+    model = quality.fit(_labelled(spark, sf_dir, "quality", held_out, quality.SAMPLE_ROWS, True))
     scored = quality.score_quality(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = bpe.Encoder.read(public_tokenizers.path("word_bpe_49k.json"))
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), encoder), encoder)
+    both = bpe.encode(table(spark, sf_dir, "documents"), encoder, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

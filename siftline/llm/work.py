@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest lookup, in bytes, that an operator may broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -57,3 +58,17 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced: bool = False) -> DataFrame:
+    """About ``rows`` labelled keys, chosen by the key's hash and small enough to broadcast; ``balanced``: of each label alike.
+
+    Sampling before the texts are joined keeps the texts where they are.  Null keys and labels are left out.
+    """
+    known = labels.select(F.col(key), F.col(label).cast("int").alias(label)).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    kind = F.col(label) if balanced else F.lit(0)
+    sizes = {r["kind"]: r["n"] for r in known.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy("kind").limit(64).collect()}
+    share = F.lit(0)
+    for value, n in sizes.items():
+        share = F.when(kind == value, min(1_000_000, 1_000_000 * rows // len(sizes) // n + 1)).otherwise(share)
+    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share))
