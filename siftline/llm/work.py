@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest lookup, in bytes, that an operator may broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -35,6 +36,7 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
             root = "file://" + tempfile.gettempdir()
         self.spark = spark
+        self._schemas: dict[str, StructType] = {}
         self.path = f"{root.rstrip('/')}/siftline-{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -42,10 +44,13 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/{name}")
+        # partition columns are read last; an empty table has no file to tell its schema
+        fields = sorted(df.schema.fields, key=lambda f: partition_by.index(f.name) + 1 if f.name in partition_by else 0)
+        self._schemas[name] = StructType(fields)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads, and lets Spark release the shuffles behind them."""
