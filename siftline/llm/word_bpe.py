@@ -2,7 +2,7 @@
 
 1. *Split.*  Documents are cut at ASCII white space into words, block by block (a block is about ``BLOCK_BYTES`` of
    text).  A block keeps its distinct words once, and each document as the sequence of their numbers in the block.
-2. *Encode.*  The blocks' words meet by fingerprint, so that each distinct word of the corpus is encoded once, and the
+2. *Encode.*  The blocks' words meet word by word, so that each distinct word of the corpus is encoded once, and the
    ids go back to the blocks.  This runs in ``ROUNDS`` parts by fingerprint, which bounds the shuffled data at a time.
 3. *Join back.*  Blocks and ids lie in tables bucketed by block; they meet without a shuffle, and each position of a
    document takes the ids of its word.
@@ -18,20 +18,23 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import textcols
 from .work import Scratch, check_broadcast, shuffle_partitions
 
-BLOCK_BYTES = 24_000_000
-ROUNDS = 4
-_WORDS_AT_ONCE = 400_000
-_ENCODED_AT_ONCE = 20_000
+BLOCK_BYTES = 8_000_000
+ROUNDS = 6
+_WORDS_AT_ONCE = 200_000
+_ENCODED_AT_ONCE = 10_000
+_SLICE_BYTES = 1_000_000
 
 
 @dataclass
@@ -86,8 +89,10 @@ def _pack_numbers(numbers: np.ndarray) -> bytes:
 
 def _unpack_numbers(packed: bytes) -> np.ndarray:
     offsets, raw = _unpack(packed)
-    planes = [np.frombuffer(raw[a:b], np.uint8).astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    out = np.zeros(int(offsets[1]), dtype=np.uint32)
+    for shift, a, b in zip((0, 8, 16, 24), offsets[:-1], offsets[1:], strict=True):
+        out |= np.frombuffer(raw[a:b], np.uint8).astype(np.uint32) << np.uint32(shift)
+    return out
 
 
 BLOCK_SCHEMA = "block bigint, docs array<bigint>, lengths array<int>, sequence binary, words binary"
@@ -95,35 +100,35 @@ BLOCK_SCHEMA = "block bigint, docs array<bigint>, lengths array<int>, sequence b
 
 def _split(block_bytes: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, lengths, codes, table, held = [], [], [], {}, 0
+        docs, lengths, held, size = [], [], [], 0  # held: code, begin and end of each word of a slice, and its bytes
 
         def flush() -> pa.RecordBatch:
-            code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-            distinct, back, n = np.unique(code, return_inverse=True, return_counts=True)
+            distinct, first, back, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")
-            number = np.empty(len(order), dtype=np.int64)
-            number[order] = np.arange(len(order))
-            words = [table[c] for c in distinct[order].tolist()]
+            number = np.empty(len(order), dtype=np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            edges = np.cumsum([0, *(len(h[0]) for h in held)])
+            words: list[bytes] = [b""] * len(distinct)
+            for base, stop, (_, begin, end, raw) in zip(edges[:-1], edges[1:], held, strict=True):
+                here = np.flatnonzero((first >= base) & (first < stop))
+                at = first[here] - base
+                for i, s, e in zip(number[here].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
+                    words[i] = raw[s:e]
             # a name that no two blocks share; written once, so a later failure reads the same one
-            row = (uuid.uuid4().int & ((1 << 63) - 1), docs[:], lengths[:], _pack_numbers(number[back]), _pack(words))
+            row = (uuid.uuid4().int & ((1 << 63) - 1), docs, lengths, _pack_numbers(number[back]), _pack(words))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "lengths", "sequence", "words"])
 
         for batch in batches:
-            for a, b, data, offsets in textcols.slices(batch.column(1)):
+            for a, b, data, offsets in textcols.slices(batch.column(1), _SLICE_BYTES):
                 found = textcols.words(data, offsets, lower=False)
-                raw = data.tobytes()
-                code, first = np.unique(found.code, return_index=True)
-                for c, s, e in zip(code.tolist(), found.start[first].tolist(), found.end[first].tolist(), strict=True):
-                    if c not in table:
-                        table[c] = raw[s:e]
                 docs += batch.column(0).slice(a, b - a).to_pylist()
                 lengths += np.diff(found.first).tolist()
-                codes.append(found.code)
-                held += len(data)
-                if held >= block_bytes or len(docs) >= block_bytes // 64:
+                held.append((found.code, found.start.astype(np.uint32), found.end.astype(np.uint32), data.tobytes()))
+                size += len(data)
+                if size >= block_bytes or len(docs) >= block_bytes // 64:
                     yield flush()
-                    docs, lengths, codes, table, held = [], [], [], {}, 0
+                    docs, lengths, held, size = [], [], [], 0
         if docs:
             yield flush()
 
@@ -138,59 +143,81 @@ def _words_of(rounds: int, own: int):
                 if len(offsets) < 2:
                     continue
                 data = np.frombuffer(raw, np.uint8)
-                code = textcols.Rolling(textcols.bytes_values(data)).ranges(offsets[:-1], offsets[1:])
+                code = np.concatenate(
+                    [
+                        textcols.Rolling(textcols.bytes_values(data[o[0] : o[-1]])).ranges(o[:-1] - o[0], o[1:] - o[0])
+                        for o in (offsets[i : i + _WORDS_AT_ONCE // 4 + 1] for i in range(0, len(offsets) - 1, _WORDS_AT_ONCE // 4))
+                    ]
+                )
                 for at in np.array_split(mine := np.flatnonzero(code % np.uint64(rounds) == own), max(1, len(mine) // 50_000)):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(code[at].view(np.int64)),
+                            pa.array([raw[offsets[i] : offsets[i + 1]] for i in at.tolist()], pa.binary()),
                             pa.array(np.full(len(at), block)),
                             pa.array(at.astype(np.int32)),
-                            pa.array([raw[offsets[i] : offsets[i + 1]] for i in at.tolist()], pa.binary()),
                         ],
-                        names=["code", "block", "number", "word"],
+                        names=["word", "block", "number"],
                     )
 
     return words
 
 
+@lru_cache(maxsize=1)
+def _loaded(definition: str):
+    """A task's tokenizer, kept by its worker for the next task."""
+    return Encoder(definition).load()
+
+
+PART_SCHEMA = "block bigint, numbers binary, lengths binary, ids binary"
+
+
+def _part(block: int, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Word numbers of a block with their ids, packed in one row."""
+    row = (block, _pack_numbers(numbers), _pack_numbers(lengths), _pack_numbers(ids))
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "lengths", "ids"])
+
+
 def _encoded(encoder):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by code: the first of a code is encoded, the others take its ids."""
-        tokenizer = encoder.value.load()
-        last, last_ids = None, b""
+        """Rows sorted by word: the first of a word is encoded, the others take its ids.  Ids leave packed by block."""
+        tokenizer = _loaded(encoder.value.definition)
+        last, last_ids = None, np.zeros(0, np.uint32)
         for whole in batches:
             for start in range(0, whole.num_rows, _ENCODED_AT_ONCE):
                 batch = whole.slice(start, _ENCODED_AT_ONCE)
-                code = batch.column(0).to_numpy()
-                new = np.append(last is None or code[0] != last, code[1:] != code[:-1])
-                texts = [w.decode("utf-8") for w in batch.column(3).take(pa.array(np.flatnonzero(new))).to_pylist()]
-                ids = [last_ids, *(np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False))]
+                words = batch.column(0).to_pylist()
+                new = np.array([a != b for a, b in zip(words, [last, *words[:-1]], strict=True)])
+                texts = [words[i].decode("utf-8") for i in np.flatnonzero(new).tolist()]
+                ids = [last_ids, *(np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
                 nth = np.cumsum(new)
-                last, last_ids = code[-1], ids[nth[-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([ids[i] for i in nth.tolist()], pa.binary())], names=["block", "number", "ids"])
+                last, last_ids = words[-1], ids[nth[-1]]
+                size = np.array([len(x) for x in ids])
+                begin, flat = np.cumsum(size) - size, np.concatenate(ids)
+                block, number = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint32)
+                order = np.argsort(block, kind="stable")
+                edges = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
+                for rows in np.split(order, edges[1:]):
+                    own = nth[rows]
+                    yield _part(int(block[rows[0]]), number[rows], size[own], flat[_ranges(begin[own], size[own])])
 
     return encode
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: one row for each block, its word numbers and their ids packed."""
-    block, numbers, ids = None, [], []
+    """Parts sorted by block: one part for each block."""
+    block, held = None, []
 
     def flush() -> pa.RecordBatch:
-        row = (block, _pack_numbers(np.concatenate(numbers)), _pack(ids))
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "ids"])
+        return _part(block, *(np.concatenate([part[i] for part in held]) for i in range(3)))
 
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-        for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
-            if keys[lo] != block:
-                if numbers:
+        for own, *packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if own != block:
+                if held:
                     yield flush()
-                block, numbers, ids = int(keys[lo]), [], []
-            numbers.append(batch.column(1).slice(lo, hi - lo).to_numpy().astype(np.int64))
-            ids += batch.column(2).slice(lo, hi - lo).to_pylist()
-    if numbers:
+                block, held = own, []
+            held.append([_unpack_numbers(p) for p in packed])
+    if held:
         yield flush()
 
 
@@ -205,20 +232,15 @@ def _joined_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, lengths, sequence, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             number = _unpack_numbers(sequence)
-            offsets_of, flat = [], []
-            base = 0
-            numbers = []
-            for part in parts or ():
-                offsets, raw = _unpack(part["ids"])
-                flat.append(np.frombuffer(raw, "<u4"))
-                offsets_of.append(base + offsets // 4)
-                base += len(flat[-1])
-                numbers.append(_unpack_numbers(part["numbers"]))
             total = int(number.max()) + 1 if len(number) else 0
-            begin, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
-            for own, offsets in zip(numbers, offsets_of, strict=True):
-                begin[own], size[own] = offsets[:-1], np.diff(offsets)
-            ids = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+            size = np.zeros(total, np.int64)
+            found = [[_unpack_numbers(part[name]) for name in ("numbers", "lengths", "ids")] for part in parts or ()]
+            begin, base = np.zeros(total, np.int64), 0
+            for own, own_size, flat in found:
+                size[own] = own_size
+                begin[own] = base + np.cumsum(size[own]) - size[own]
+                base += len(flat)
+            ids = np.concatenate([flat for _, _, flat in found]).astype("<u4") if found else np.zeros(0, "<u4")
             ends = np.append(0, np.cumsum(np.array(lengths, dtype=np.int64)))
             row = 0
             while row < len(docs):
@@ -238,20 +260,27 @@ def _joined_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = stop
 
 
-def _bucketed(df: DataFrame, scratch: Scratch, name: str, buckets: int, mode: str) -> DataFrame:
-    """Writes a table bucketed by block in the scratch folder; its name leaves the catalogue at once, its files stay."""
-    spark = df.sparkSession
-    table = f"siftline_{uuid.uuid4().hex}"
-    df.write.mode(mode).bucketBy(buckets, "block").sortBy("block").option("path", f"{scratch.path}/{name}").option("compression", "zstd").saveAsTable(table)
-    out = spark.table(table)
-    out.schema
-    spark.sql(f"DROP TABLE {table}")
-    return out
+class _Bucketed:
+    """A table in the scratch folder, bucketed by block; its name leaves the catalogue when it is read, its files stay."""
+
+    def __init__(self, scratch: Scratch, name: str, buckets: int):
+        self.spark, self.path, self.buckets = scratch.spark, f"{scratch.path}/{name}", buckets
+        self.table = f"siftline_{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").bucketBy(self.buckets, "block").sortBy("block").option("path", self.path).option("compression", "zstd").saveAsTable(self.table)
 
+    def read(self) -> DataFrame:
+        out = self.spark.table(self.table)
+        self.spark.sql(f"DROP TABLE {self.table}")
+        return out
 
-def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+
+def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS, decoded: bool = False) -> DataFrame:
     """Per row of ``docs``: id, ``n_tokens`` and ``ids``, the token ids as little-endian unsigned 32-bit integers.
 
+    With ``decoded`` the ids are decoded too, as ``decode`` does, by the same tasks.
+
     The same ids as the tokenizer's own for the whole text without special tokens added; control strings inside a text
     become special tokens, as there.  Null and empty texts have no tokens.  Repeated rows are kept, and ids may be
     null.  Other columns are not read, whatever their names.
@@ -260,19 +289,29 @@ def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "bpe")
     buckets = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    blocks = _bucketed(source.mapInArrow(_split(block_bytes), BLOCK_SCHEMA), scratch, "blocks", buckets, "error")
+    split = _Bucketed(scratch, "blocks", buckets)
+    split.add(source.mapInArrow(_split(block_bytes), BLOCK_SCHEMA))
+    blocks = split.read()
     held = spark.sparkContext.broadcast(encoder)
-    parts = None
+    table = _Bucketed(scratch, "ids", buckets)
     for own in range(rounds):
-        words = blocks.select("block", "words").mapInArrow(_words_of(rounds, own), "code bigint, block bigint, number int, word binary")
-        ids = words.repartition("code").sortWithinPartitions("code").mapInArrow(_encoded(held), "block bigint, number int, ids binary")
-        packed = ids.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_gathered, "block bigint, numbers binary, ids binary")
-        part = _bucketed(packed, scratch, f"ids-{own}", buckets, "error").withColumnsRenamed({"numbers": f"numbers_{own}", "ids": f"ids_{own}"})
-        scratch.drop("nothing")
-        parts = (blocks if parts is None else parts).join(part.hint("merge"), "block", "left")
-    packed = [F.struct(F.col(f"numbers_{own}").alias("numbers"), F.col(f"ids_{own}").alias("ids")) for own in range(rounds)]
-    filled = F.filter(F.array(*packed), lambda p: p["ids"].isNotNull())
-    return parts.select("docs", "lengths", "sequence", filled.alias("parts")).mapInArrow(_joined_back, "doc bigint, n_tokens bigint, ids binary").withColumnRenamed("doc", id_col)
+        words = blocks.select("block", "words").mapInArrow(_words_of(rounds, own), "word binary, block bigint, number int")
+        ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(held), PART_SCHEMA)
+        table.add(ids.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_gathered, PART_SCHEMA))
+        del words, ids
+        scratch.drop()  # lets go of this round's shuffles
+    parts = table.read().groupBy("block").agg(F.collect_list(F.struct("numbers", "lengths", "ids")).alias("parts"))
+    met = blocks.select("block", "docs", "lengths", "sequence").join(parts.hint("shuffle_hash"), "block", "left").select("docs", "lengths", "sequence", "parts")
+    if not decoded:
+        return met.mapInArrow(_joined_back, "doc bigint, n_tokens bigint, ids binary").withColumnRenamed("doc", id_col)
+    back = _decoded(_held_pieces(spark, encoder))
+    return met.mapInArrow(lambda batches: back(_joined_back(batches)), "doc bigint, n_tokens bigint, ids binary, decoded string").withColumnRenamed("doc", id_col)
+
+
+def _held_pieces(spark, encoder: Encoder):
+    pieces = encoder.pieces()
+    check_broadcast(sum(map(len, pieces)) + 64 * len(pieces), "the pieces")
+    return spark.sparkContext.broadcast(pieces)
 
 
 def _decoded(pieces):
@@ -297,9 +336,5 @@ def decode(encoded: DataFrame, encoder: Encoder) -> DataFrame:
 
     No or null ids give an empty text.  An id outside the vocabulary is an error.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    pieces = encoder.pieces()
-    check_broadcast(sum(map(len, pieces)) + 64 * len(pieces), "the pieces")
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
-    return encoded.mapInArrow(_decoded(encoded.sparkSession.sparkContext.broadcast(pieces)), schema)
+    return encoded.mapInArrow(_decoded(_held_pieces(encoded.sparkSession, encoder)), schema)
