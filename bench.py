@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from siftline.queries import QUERIES
 
 HEADLINE = ("stage1_full", "stage2_partition", "stage2_counts", "slot_pool_join", "run_stage2_page", "run_stage3_page", "stage3_batch", "stage3_aggregate", "ingest_action", "ingest_upsert", "invalidate_stage3", "retention_cascade", "canonical_url", "url_dedupe_first", "strip_tags", "infer_position")
-ROUNDS = 3
+ROUNDS = 2
 
 
 def main() -> None:
