@@ -132,6 +132,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, gram
         runs.groupBy("key", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "lo", "n")).alias("first")),
         "bodies",
     )
+    scratch.drop()  # lets go of the shuffle behind the table, here and below
     crowded = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd >= 2")
     copied = bodies.where("copies >= 2").select("key", "body", "first")
     later = (
@@ -140,9 +141,11 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, gram
         .select("doc", "lo", "n")
     )
     later = scratch.keep(later, "later")
+    scratch.drop("runs")
     wanted = bodies.join(crowded, "key").select("first.doc", "key", "body", F.lit(False).alias("single"), "crowd", "first.lo", "first.n")
     found = scratch.keep(passages(docs, wanted, grain), "passages")
-    scratch.drop("runs", "bodies")
+    del copied, crowded, wanted
+    scratch.drop("bodies")
     in_shard = (
         found.where(F.col("crowd") <= shard_limit)
         .select("key", "doc", "lo", "units")
@@ -229,6 +232,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "substring")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     marks = repeated_windows(source, scratch, width, gram, shard_limit).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
+    marks = scratch.keep(marks, "marks")
+    scratch.drop("later", "passages")
     names = [f"carried_{i}" for i in range(len(carry))]
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
     joined = whole.alias("s").join(marks.alias("m"), F.col("s.doc").eqNullSafe(F.col("m.doc")), "left").select("s.doc", "s.text", "m.marks", *names)
