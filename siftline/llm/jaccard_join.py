@@ -216,10 +216,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if len(more) == len(moved) or more.nbytes > 4 * 8 * MOVED_BACK:
             break
         moved = more
+        scratch.drop(f"sketches-{round_}", f"kinds-{round_}", f"regions-{round_}")
     members = scratch.keep(entries.join(regions.select("pivot", "seat"), "pivot").select("pivot", "doc", "seat"), "members")
     shapes = kinds.select("doc", "n", "classes")
     involved = members.select("doc").distinct()
     sets = scratch.keep(source.join(involved, "doc", "left_semi").select("doc", "text").mapInArrow(_sets(like.words), "doc bigint, shingles array<bigint>"), "sets")
+    scratch.drop(f"regions-{round_}")  # and lets go of the shuffles so far, as below
 
     def seated(pairs: DataFrame) -> DataFrame:
         a = shapes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("classes").alias("classes_a"))
@@ -234,12 +236,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return named.join(mixed, "pivot")
 
     links = scratch.keep(seated(members.select(F.col("doc").alias("a"), F.col("seat").alias("b"))), "links-0")
+    scratch.drop()
     components = connected_components(links, scratch, "components-0")
     # recursion: another seat for the regions that are not yet one component, from the component that is last in order
     left = labelled(components)
     seats = left.where("component = high").groupBy("pivot").agg(F.min("doc").alias("seat"))
     more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")))
     links = scratch.keep(links.unionByName(more_links), "links-1")
+    scratch.drop("links-0")
     components = connected_components(links, scratch, "components-1")
     left = labelled(components).join(shapes, "doc")
     blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
@@ -259,6 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     pairs = dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like), "a bigint, b bigint").distinct()
     links = scratch.keep(links.unionByName(_verified(pairs, sets, like)), "links-2")
+    scratch.drop("links-1", "members", "sets")
     components = connected_components(links, scratch, "components-2")
     named = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", F.coalesce("component", "doc").alias("component"))
     # rows that share an id: a node may stand for several kinds
