@@ -159,18 +159,21 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Field:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, steps: int = STEPS, prior: float | None = None) -> Field:
     """Fits on about ``sample_rows`` rows, chosen by the text's hash, of those with a text and a label of 0 or 1.
 
     Lines of the sample's longest documents beyond ``_LINES`` in all are left out of fitting, not of scoring.  Without
-    labels of both kinds every document gets the share of good labels as its score.
+    labels of both kinds every document gets the share of good labels as its score.  ``prior`` is that share where
+    ``labelled`` was sampled by label; by default it is counted over ``labelled``.
     """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "quality")
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(sizes.values())
-    out = Field(prior=sizes.get(1, 0) / total if total else 0.5)
+    if prior is None:
+        prior = sizes.get(1, 0) / total if total else 0.5
+    out = Field(prior=prior)
     if len(sizes) < 2:
         return out
     share = F.when(F.col("label") == 1, min(1_000_000, 500_000 * sample_rows // sizes[1] + 1)).otherwise(min(1_000_000, 500_000 * sample_rows // sizes[0] + 1))

@@ -72,22 +72,30 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column, rows: int, balanced: bool) -> DataFrame:
-    """Texts of a bounded sample of the labels that may be learned from."""
-    labels = sampled_labels(table(spark, sf_dir, "labels").where(~held_out), "doc_id", label, rows, balanced)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column, rows: int, balanced: bool) -> tuple[DataFrame, dict[int, int]]:
+    """Texts of a bounded sample of the labels that may be learned from, and the numbers of those labels."""
+    labels, sizes = sampled_labels(table(spark, sf_dir, "labels").where(~held_out), "doc_id", label, rows, balanced)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), sizes
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 4) == 2
-    lexicon = toxic.learn(_labelled(spark, sf_dir, "toxic", held_out, toxic.SAMPLE_ROWS, False))
+    labelled, _ = _labelled(spark, sf_dir, "toxic", held_out, toxic.SAMPLE_ROWS, False)
+    lexicon = toxic.learn(labelled)
     scored = toxic.score_toxicity(table(spark, sf_dir, "documents"), lexicon)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str, held_out: Column, rows: int = quality.SAMPLE_ROWS) -> quality.Field:
+    """Fitted on labels drawn half and half, with the share of good ones among all that may be learned from."""
+    labelled, sizes = _labelled(spark, sf_dir, "quality", held_out, rows, True)
+    good, bad = sizes.get(1, 0), sizes.get(0, 0)
+    return quality.fit(labelled, prior=good / (good + bad) if good + bad else None)
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 3) == 1
-    model = quality.fit(_labelled(spark, sf_dir, "quality", held_out, quality.SAMPLE_ROWS, True))
+    model = quality_model(spark, sf_dir, held_out)
     scored = quality.score_quality(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

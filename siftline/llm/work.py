@@ -65,10 +65,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced: bool = False) -> DataFrame:
+def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
     """About ``rows`` labelled keys, chosen by the key's hash and small enough to broadcast; ``balanced``: of each label alike.
 
-    Sampling before the texts are joined keeps the texts where they are.  Null keys and labels are left out.
+    Sampling before the texts are joined keeps the texts where they are.  Null keys and labels are left out.  Beside
+    them the numbers of keys sampled from: of each label if ``balanced``, otherwise of all under 0.
     """
     known = labels.select(F.col(key), F.col(label).cast("int").alias(label)).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     kind = F.col(label) if balanced else F.lit(0)
@@ -76,4 +77,4 @@ def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced:
     share = F.lit(0)
     for value, n in sizes.items():
         share = F.when(kind == value, min(1_000_000, 1_000_000 * rows // len(sizes) // n + 1)).otherwise(share)
-    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share))
+    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)), sizes

@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from siftline.llm import chat_format, decontamination, embedding_dedup, jaccard_join, language_id, line_quality, substring_dedup, suffix_dedup, toxicity, word_bpe
+from siftline.llm import chat_format, decontamination, embedding_dedup, jaccard_join, language_id, line_quality, queries, substring_dedup, suffix_dedup, toxicity, word_bpe
 from siftline.llm.queries import CONTROL
 
 DOCS = "doc_id bigint, text string, doc string, key int"
@@ -152,6 +153,19 @@ def test_quality(spark):
     assert found[1] > 0.8 and found[2] < 0.2 and found[3] == found[4] == found[5] == 0.5
 
 
+def test_quality_of_balanced_sample(spark, tmp_path):
+    good, bad = "A plain sentence of words that differ.", "BUY!! NOW!! BUY!! ### @@"
+    rows = [(i, f"{bad if i % 5 == 0 else good} {i}", int(i % 5 > 0)) for i in range(600)]
+    held_out = F.col("doc_id") < 100
+    spark.createDataFrame(rows, "doc_id bigint, text string, quality int").select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, q) for i, _, q in rows] + [(None, 1), (700, None), (701, 2)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = queries.quality_model(spark, str(tmp_path), held_out, 100)
+    assert model.prior == 0.8
+    blank = line_quality.score_quality(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id bigint, text string"), model)
+    assert {r["score"] for r in blank.collect()} == {0.8}
+
+
 def test_bpe(docs, empty):
     encoder = word_bpe.Encoder.read(public_tokenizers.path("word_bpe_49k.json"))
     tokenizer = encoder.load()
