@@ -3,9 +3,9 @@
 * *Training* on a bounded sample (``SAMPLE`` vectors): coarse centroids by k-means, then codebooks for the subspaces of
   the residuals.  Every vector is indexed, in the list of its nearest centroid, by its residual's codes and by the
   norm of what the codes leave out.
-* *Probes.*  A vector within the threshold's distance ``r`` of another lies in another list only beyond the plane
-  between the two centroids.  A query probes every list whose plane is nearer than ``PROBE_SIGMAS * r / sqrt(dim)``,
-  so that a near-duplicate in a random direction is found with all but certainty; a pair is found from either side.
+* *Probes.*  Two vectors of different lists within the threshold's distance ``r`` lie on either side of the plane
+  between the two centroids, so the nearer one is within ``r / 2`` of it.  A query probes every list whose plane is that
+  near: no pair is lost.  The pair belongs to the query that is nearer to the plane and counts for both vectors.
 * *Distances.*  In each list a table of squared distances from the query's residual to all codewords gives the
   distance to every code by look-ups; by the triangle inequality the vector can be within ``r`` only where that
   distance less the norm left out is at most ``r``, so this step loses nothing.
@@ -32,7 +32,6 @@ SAMPLE = 16_384
 LISTS = 65_536
 SUBSPACES = 8
 CODEWORDS = 256
-PROBE_SIGMAS = 2.5
 BLOCK = 1024
 CHUNK = 4096
 _PAIRS = 65_536
@@ -93,15 +92,24 @@ class Quantiser:
             total += _squares(residual[:, m], book)[:, codes[:, m]]
         return np.sqrt(total)
 
-    def probes(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, unit: np.ndarray, home: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists beyond planes nearer than ``reach``; each row's own list among them."""
         squares = _squares(unit, self.coarse)
-        home = squares.argmin(1)
         apart = np.sqrt(_squares(self.coarse[home], self.coarse))
-        beyond = squares - squares.min(1)[:, None] <= 2 * reach * apart
+        beyond = squares - squares[np.arange(len(unit)), home][:, None] <= 2 * reach * apart + 1e-8  # room for rounding
         beyond[np.arange(len(unit)), home] = True
         return np.nonzero(beyond)
 
+    def aside(self, unit: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Distances from the planes between two lists each, in a common unit of the two; equal bits whenever asked."""
+        a, b = self.coarse[np.minimum(one, other)], self.coarse[np.maximum(one, other)]
+        return np.abs(((b - a) * (unit - (a + b) / 2)).sum(1))
+
+
+def _radius(threshold: float) -> float:
+    """Distance of unit vectors that have the threshold's cosine, with room for rounding."""
+    return float(np.sqrt(2 - 2 * threshold + 1e-13)) * (1 + 1e-9)
+
 
 def _split(residual: np.ndarray, subspaces: int) -> np.ndarray:
     wide = -(-residual.shape[1] // subspaces) * subspaces
@@ -140,7 +148,7 @@ def _indexed(quantiser, kind: type, reach: float):
                 unit = _units(part.column(1), kind)
                 home, _ = _nearest(unit, model.coarse)
                 codes, left = model.encode(unit, home)
-                row, probed = model.probes(unit, reach)
+                row, probed = model.probes(unit, home, reach)
                 ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(unit)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -171,11 +179,11 @@ def _roots(q: np.ndarray, y: np.ndarray, n_q: int, n_y: int) -> tuple[np.ndarray
 
 def _links(quantiser, kind: type, threshold: float):
     """Rows sorted by (home, block, chunk, side): index rows first, then the queries that stream past them."""
-    reach = np.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-12
+    reach = _radius(threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = quantiser.value
-        key, held, index = None, [], None
+        key, held, index, gained = None, [], None, None
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -184,6 +192,8 @@ def _links(quantiser, kind: type, threshold: float):
                 for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
                     part = batch.slice(lo, hi - lo)
                     if tuple(keys[lo, :3]) != key:
+                        if index is not None and gained.any():
+                            yield _counts(index[3], gained)
                         key, held, index = tuple(keys[lo, :3]), [], None
                     if keys[lo, 3] == 0:
                         held.append(part)
@@ -194,23 +204,39 @@ def _links(quantiser, kind: type, threshold: float):
                         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
                         index = _units(table.column("raw"), kind), codes, table.column("left").to_numpy(), table.column("kind").to_numpy(), table.column("copies").to_numpy()
-                    out = _compare(model, int(key[0]), _units(part.column("raw"), kind), part.column("kind").to_numpy(), index, reach, threshold)
+                        gained = np.zeros(table.num_rows, dtype=np.int64)
+                    asked = _units(part.column("raw"), kind), part.column("own").to_numpy(), part.column("kind").to_numpy(), part.column("copies").to_numpy()
+                    out = _compare(model, int(key[0]), asked, index, gained, reach, threshold)
                     if out is not None:
                         yield out
+        if index is not None and gained.any():
+            yield _counts(index[3], gained)
 
     return scan
 
 
-def _compare(model: Quantiser, home: int, unit: np.ndarray, kinds: np.ndarray, index, reach: float, threshold: float) -> pa.RecordBatch | None:
+def _counts(names: np.ndarray, gained: np.ndarray) -> pa.RecordBatch:
+    some = gained > 0
+    return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[some]), pa.array(gained[some])], names=["a", "b", "n"])
+
+
+def _compare(model: Quantiser, home: int, asked, index, gained: np.ndarray, reach: float, threshold: float) -> pa.RecordBatch | None:
+    """Links of the pairs that belong to the queries; adds to ``gained`` what they are worth to the index rows."""
+    unit, own, kinds, weight = asked
     units, codes, left, names, copies = index
     q, y = np.nonzero(model.distances(unit, home, codes) - left <= reach)
-    other = kinds[q] != names[y]
+    other = (own[q] != home) | (kinds[q] < names[y])
     q, y = q[other], y[other]
     near = [np.einsum("ij,ij->i", unit[q[i : i + _PAIRS]], units[y[i : i + _PAIRS]]) >= threshold for i in range(0, len(q), _PAIRS)]
     if not near or not (hit := np.concatenate(near)).any():
         return None
     q, y = q[hit], y[hit]
+    mine = [_belongs(model, home, unit[s], own[s], kinds[s], units[t], names[t]) for s, t in ((q[i : i + _PAIRS], y[i : i + _PAIRS]) for i in range(0, len(q), _PAIRS))]
+    if not (kept := np.concatenate(mine)).any():
+        return None
+    q, y = q[kept], y[kept]
     links = np.bincount(q, weights=copies[y], minlength=len(unit)).astype(np.int64)
+    gained += np.bincount(y, weights=weight[q], minlength=len(units)).astype(np.int64)
     of_q, of_y = _roots(q, y, len(unit), len(units))
     linked_q, linked_y = np.unique(q), np.unique(y)
     linked_y = linked_y[of_y[linked_y] != linked_y]
@@ -220,14 +246,22 @@ def _compare(model: Quantiser, home: int, unit: np.ndarray, kinds: np.ndarray, i
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, sample: int = SAMPLE, sigmas: float = PROBE_SIGMAS) -> DataFrame:
+def _belongs(model: Quantiser, home: int, unit: np.ndarray, own: np.ndarray, kinds: np.ndarray, units: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether a pair is the query's: in its own list, or nearer to the plane than the index row (ties by kind)."""
+    there = np.full(len(own), home)
+    here, beyond = model.aside(unit, own, there), model.aside(units, own, there)
+    return (own == home) | (here < beyond) | ((here == beyond) & (kinds < names))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``vectors``: id, ``n_links`` (other rows linked directly), ``component_id``, ``kept``.
 
     Rows link where their cosine is ``threshold`` or more.  Null, empty and zero vectors and those with null or
     non-finite components link with nothing; vectors of unlike lengths don't link.  Equal vectors are linked whatever
     their ids; rows that share an id are one node with several vectors.  A row with a null id links and is counted,
     but names no component.  ``lists`` is the number of coarse lists, by default the root of the number of unlike
-    vectors, ``LISTS`` at most.  Other columns, labels too, are not read.
+    vectors, ``LISTS`` at most and no more than ``BLOCK`` rows of each would fill; it has no bearing on the rows returned.
+    Other columns, labels too, are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"bad threshold: {threshold}")
@@ -243,7 +277,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = []
     for dim, size in sorted(sizes.items()):
         own = kinds.where(F.col("dim") == dim)
-        parts.append(_linked(spark, scratch, own, dim, size, kind, threshold, lists, sample, sigmas))
+        parts.append(_linked(spark, scratch, own, dim, size, kind, threshold, lists, sample))
     found = scratch.keep(_union(spark, parts), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("kind")).agg(F.sum("n").alias("links"))
     named = kinds.select("kind", "vec")
@@ -264,18 +298,17 @@ def _union(spark, parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _linked(spark, scratch: Scratch, kinds: DataFrame, dim: int, size: int, kind: type, threshold: float, lists: int | None, sample: int, sigmas: float) -> DataFrame:
+def _linked(spark, scratch: Scratch, kinds: DataFrame, dim: int, size: int, kind: type, threshold: float, lists: int | None, sample: int) -> DataFrame:
     """``(a, b, n)``: a = b has the links of a kind, others are links that span the components."""
     share = F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample / size)))
     train = kinds.where(share if size > sample else F.lit(True)).select("raw").limit(sample).toArrow().column("raw").combine_chunks()
     if not len(train):
         train = kinds.select("raw").limit(1).toArrow().column("raw").combine_chunks()
     unit = _units(train, kind)
-    model = Quantiser.train(unit, min(lists or max(1, int(size**0.5)), LISTS), min(SUBSPACES, dim))
+    model = Quantiser.train(unit, min(lists or max(1, min(int(size**0.5), -(-size // BLOCK))), LISTS), min(SUBSPACES, dim))
     check_broadcast(model.coarse.nbytes + model.books.nbytes, "the quantiser")
     quantiser = spark.sparkContext.broadcast(model)
-    reach = sigmas * float(np.sqrt(2 - 2 * threshold)) / dim**0.5
-    indexed = kinds.select("kind", "raw", "copies").mapInArrow(_indexed(quantiser, kind, reach), "kind bigint, raw binary, copies bigint, home int, codes binary, left double, probes array<int>")
+    indexed = kinds.select("kind", "raw", "copies").mapInArrow(_indexed(quantiser, kind, _radius(threshold) / 2), "kind bigint, raw binary, copies bigint, home int, codes binary, left double, probes array<int>")
     indexed = scratch.keep(indexed, f"index-{dim}")
     held = indexed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = indexed.select(F.explode("probes").alias("home")).groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
@@ -289,12 +322,12 @@ def _linked(spark, scratch: Scratch, kinds: DataFrame, dim: int, size: int, kind
 
     entries = (
         indexed.join(shape, "home")
-        .select("home", dealt("blocks").alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "kind", "copies", "raw", "codes", "left")
+        .select("home", dealt("blocks").alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "kind", "copies", "raw", F.col("home").alias("own"), "codes", "left")
     )
     queries = (
-        indexed.select("kind", "raw", F.explode("probes").alias("home"))
+        indexed.select("kind", "copies", "raw", F.col("home").alias("own"), F.explode("probes").alias("home"))
         .join(shape, "home")
-        .select("home", each("blocks").alias("block"), dealt("chunks").alias("chunk"), F.lit(1).alias("side"), "kind", F.lit(0).cast("bigint").alias("copies"), "raw", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("left"))
+        .select("home", each("blocks").alias("block"), dealt("chunks").alias("chunk"), F.lit(1).alias("side"), "kind", "copies", "raw", "own", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("left"))
     )
     met = entries.unionByName(queries).repartition("home", "block", "chunk").sortWithinPartitions("home", "block", "chunk", "side")
     return met.mapInArrow(_links(quantiser, kind, threshold), "a bigint, b bigint, n bigint")

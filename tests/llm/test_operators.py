@@ -95,6 +95,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("lists", [None, 40])
+def test_embeddings_of_low_rank(spark, lists):
+    rng = np.random.default_rng(5)
+    basis, n = rng.normal(size=(8, 64)), 700
+    base, moved = rng.normal(size=(n, 8)) @ basis, rng.normal(size=(n, 8)) @ basis
+    near = base / np.linalg.norm(base, axis=1, keepdims=True) + 0.31 * moved / np.linalg.norm(moved, axis=1, keepdims=True)
+    vectors = np.concatenate([base, near, base[:20], near[:5]]) + 0.0
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert np.abs(cosine - 0.95).min() > 1e-9
+    wanted = (cosine >= 0.95).sum(1) - 1
+    data = [(i, x.tolist()) for i, x in enumerate(vectors)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), lists=lists).collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(wanted))
+
+
 def test_chats(spark):
     parts = f"conv_id bigint, turn int, role string, parts array<{chat_format.PART}>, place int"
     image = ("image", None, "s3://a.png", 56, 29, None, None)
