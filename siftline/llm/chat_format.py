@@ -54,9 +54,21 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
-def _visit(part: Column) -> Column:
-    media = F.when(part["type"].isin(*MEDIA), part["type"]).otherwise(OTHER)
-    return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), media, F.lit("|>")))
+def _visited(parts: Column) -> Column:
+    """The parts in order, as one text: neighbouring texts are joined before they are escaped, so that no control string
+    can be put together from several of them."""
+
+    def visit(state: Column, part: Column) -> Column:
+        media = F.concat(F.lit("<|"), F.when(part["type"].isin(*MEDIA), part["type"]).otherwise(OTHER), F.lit("|>"))
+        joined = F.concat(state["open"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(state["done"], escape(state["open"]), media)
+        return F.struct(
+            F.when(_is_text(part), state["done"]).otherwise(closed).alias("done"),
+            F.when(_is_text(part), joined).otherwise(F.lit("")).alias("open"),
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    return F.aggregate(parts, start, visit, lambda state: F.concat(state["done"], escape(state["open"])))
 
 
 def text_parts(text: Column) -> Column:
@@ -80,7 +92,7 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant", expansion: E
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    body = F.array_join(F.transform(parts, _visit), "")
+    body = _visited(parts)
     found = F.transform(
         F.filter(parts, lambda p: ~_is_text(p)),
         lambda p: F.struct(F.when(p["type"].isin(*MEDIA), p["type"]).otherwise(OTHER).alias("type"), p["ref"].alias("ref"), expansion.tokens(p).alias("tokens")),

@@ -62,16 +62,25 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
     return best, matched, j, end
 
 
-def _sequences(column: pa.Array) -> list[np.ndarray]:
+def _sequences(column: pa.Array, keyed: textcols.Prints) -> list[np.ndarray]:
     out = []
     for _, _, data, offsets in textcols.slices(column):
-        found = textcols.words(data, offsets, lower=True, separators=textcols.NOT_WORD)
+        found = textcols.words(data, offsets, keyed, lower=True, separators=textcols.NOT_WORD)
         out += [found.code[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
     return out
 
 
-def _grams(codes: np.ndarray, n: int) -> np.ndarray:
-    return textcols.Rolling(codes).grams(n)
+def _joined(starts: list[int], before: int, after: int, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Windows around ``starts``, overlapping ones joined, so that no alignment is cut that one of them holds."""
+    begin = end = None
+    for start in starts:
+        lo, hi = max(first, start - before), min(last, start + after)
+        if begin is not None and lo > end:
+            yield begin, end
+            begin = None
+        begin, end = lo if begin is None else begin, hi
+    if begin is not None:
+        yield begin, end
 
 
 class Filter:
@@ -86,14 +95,14 @@ class Filter:
         return np.flatnonzero(self.table[(prints >> np.uint64(64 - self.bits)).astype(np.int64)])
 
 
-def _word_counts(vocabulary):
+def _word_counts(vocabulary, keyed: textcols.Prints):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         quick = Filter(known)
         n, docs, words = np.zeros(len(known) + 1, dtype=np.int64), 0, 0
         for batch in batches:
             for a, b, data, offsets in textcols.slices(batch.column(0)):
-                codes = textcols.words(data, offsets, lower=True, separators=textcols.NOT_WORD).code
+                codes = textcols.words(data, offsets, keyed, lower=True, separators=textcols.NOT_WORD).code
                 docs, words = docs + b - a, words + len(codes)
                 codes = codes[quick.maybe(codes)]
                 at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
@@ -106,14 +115,14 @@ def _word_counts(vocabulary):
     return count
 
 
-def _found(lookups, seed: int, least_score: float, least_words: int):
+def _found(lookups, keyed: textcols.Prints, seed: int, least_score: float, least_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, owner, place, items, ids = lookups.value
         quick = Filter(prints)
         for batch in batches:
             for a, _, data, offsets in textcols.slices(batch.column(1)):
-                found = textcols.words(data, offsets, lower=True, separators=textcols.NOT_WORD)
-                grams = _grams(found.code, seed)
+                found = textcols.words(data, offsets, keyed, lower=True, separators=textcols.NOT_WORD)
+                grams = keyed.grams(found.code, seed)
                 at = quick.maybe(grams)
                 lo = np.searchsorted(prints, grams[at], side="left")
                 hi = np.searchsorted(prints, grams[at], side="right")
@@ -130,12 +139,8 @@ def _found(lookups, seed: int, least_score: float, least_words: int):
                     item = items[own]
                     slack = len(item) // 2 + 8
                     first, last = int(found.first[r]), int(found.first[r + 1])
-                    best, done = (0, 0, 0, 0), None
-                    for start in sorted(starts):
-                        if done is not None and start - done <= slack // 2:
-                            continue
-                        done = start
-                        begin, end = max(first, start - slack), min(last, start + len(item) + slack)
+                    best = (0, 0, 0, 0)
+                    for begin, end in _joined(sorted(starts), slack, len(item) + slack, first, last):
                         score, matched, x, y = align(item, found.code[begin:end])
                         best = max(best, (score, matched, begin + x - first, begin + y - first))
                     share = best[0] / (MATCH * len(item))
@@ -177,6 +182,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
+    keyed = textcols.Prints(textcols.draw_seed())
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
     tests = benchmark.select(F.col(item_id_col).cast("bigint").alias("item"), F.lower(F.col(item_text_col).cast("string")).alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
@@ -184,7 +190,7 @@ def contaminated(
     found = None
     for shard in range(shards):
         some = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).toArrow()
-        items = _sequences(some.column("text")) if some.num_rows else []
+        items = _sequences(some.column("text"), keyed) if some.num_rows else []
         ids = some.column("item").to_pylist()
         usable = [i for i, codes in enumerate(items) if len(codes) >= max(seed, least_words)]
         items, ids = [items[i] for i in usable], [ids[i] for i in usable]
@@ -192,7 +198,7 @@ def contaminated(
             continue
         words = np.unique(np.concatenate(items))
         check_broadcast(len(words) * 8, "the test items' words")
-        counted = source.select("text").mapInArrow(_word_counts(spark.sparkContext.broadcast(words)), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        counted = source.select("text").mapInArrow(_word_counts(spark.sparkContext.broadcast(words), keyed), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         n = dict(zip(counted.column("word").to_pylist(), counted.column("n").to_pylist(), strict=True))
         total, per_doc = max(1, n.get(-1, 0)), max(1.0, n.get(-1, 0) / max(1, n.get(-2, 1)))
         log_p = np.log([max(1, n.get(i, 0)) / total for i in range(len(words))])
@@ -201,14 +207,14 @@ def contaminated(
             meets = np.convolve(log_p[np.searchsorted(words, codes)], np.ones(seed), "valid") + np.log(per_doc)
             rank = np.argsort(np.argsort(meets, kind="stable"), kind="stable")
             keep = np.flatnonzero((meets <= np.log(rare)) | (rank < LEAST_SEEDS))
-            prints.append(_grams(codes, seed)[keep])
+            prints.append(keyed.grams(codes, seed)[keep])
             owner.append(np.full(len(keep), own))
             place.append(keep)
         prints, owner, place = np.concatenate(prints), np.concatenate(owner), np.concatenate(place)
         order = np.argsort(prints, kind="stable")
         check_broadcast(24 * len(prints) + sum(x.nbytes for x in items), "a shard of test items")
         lookups = spark.sparkContext.broadcast((prints[order], owner[order], place[order], items, ids))
-        part = source.mapInArrow(_found(lookups, seed, least_score, least_words), FOUND_SCHEMA)
+        part = source.mapInArrow(_found(lookups, keyed, seed, least_score, least_words), FOUND_SCHEMA)
         part = scratch.keep(part, f"found-{shard}") if shards > 1 else part
         found = part if found is None else found.unionByName(part)
     if found is None:

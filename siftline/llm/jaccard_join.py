@@ -64,17 +64,20 @@ class Similarity:
         return (self.den * small >= self.num * large) & (gap * (self.den + self.num) <= (self.den - self.num) * (n_a + n_b))
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, words: int):
-    """(row, fingerprint, letters) of each distinct shingle; a shorter row is one shingle, one without words has none."""
-    found = textcols.words(data, offsets, lower=True)
-    rolling = textcols.Rolling(found.code)
+def _shingles(data: np.ndarray, offsets: np.ndarray, words: int, keyed: textcols.Prints):
+    """(row, fingerprint, letters) of each shingle; a shorter row is one shingle, one without words has none."""
+    found = textcols.words(data, offsets, keyed, lower=True)
     counts = np.diff(found.first)
     full = np.maximum(counts - words + 1, np.minimum(counts, 1))
     row = np.repeat(np.arange(len(counts)), full)
     begin = np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full) + np.repeat(found.first[:-1], full)
     end = np.minimum(begin + words, found.first[1:][row])
+    prints = found.code[begin]
+    for k in range(1, words):
+        longer = np.flatnonzero(begin + k < end)
+        prints[longer] = keyed.join(prints[longer], found.code[begin[longer] + k])
     letters = np.append(0, np.cumsum(found.end - found.start))
-    return row, rolling.ranges(begin, end), letters[end] - letters[begin]
+    return row, prints, letters[end] - letters[begin]
 
 
 def _ordered(row, prints, letters, moved_back: np.ndarray):
@@ -93,11 +96,11 @@ def _ordered(row, prints, letters, moved_back: np.ndarray):
 SKETCH_SCHEMA = "doc bigint, n bigint, f1 bigint, f2 bigint, classes binary, pivots array<bigint>"
 
 
-def _sketch(like: Similarity, moved_back):
+def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in textcols.slices(batch.column(1)):
-                row, prints = _ordered(*_shingles(data, offsets, like.words), moved_back.value)
+                row, prints = _ordered(*_shingles(data, offsets, like.words, keyed), moved_back.value)
                 rows = b - a
                 size = np.bincount(row, minlength=rows)
                 begin = np.cumsum(size) - size
@@ -123,11 +126,11 @@ def _sketch(like: Similarity, moved_back):
     return sketch
 
 
-def _sets(words: int):
+def _sets(words: int, keyed: textcols.Prints):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in textcols.slices(batch.column(1)):
-                row, prints = _ordered(*_shingles(data, offsets, words), np.zeros(0, np.uint64))
+                row, prints = _ordered(*_shingles(data, offsets, words, keyed), np.zeros(0, np.uint64))
                 ends = np.append(0, np.cumsum(np.bincount(row, minlength=b - a))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(prints.view(np.int64)))],
@@ -201,10 +204,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    keyed = textcols.Prints(textcols.draw_seed())
     moved = np.zeros(0, np.uint64)
     for round_ in range(ROUNDS):
         check_broadcast(moved.nbytes, "the pivots that are moved back")
-        sketched = scratch.keep(source.mapInArrow(_sketch(like, spark.sparkContext.broadcast(moved)), SKETCH_SCHEMA), f"sketches-{round_}")
+        sketched = scratch.keep(source.mapInArrow(_sketch(like, spark.sparkContext.broadcast(moved), keyed), SKETCH_SCHEMA), f"sketches-{round_}")
         kinds = sketched.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), F.first("classes").alias("classes"), F.first("pivots").alias("pivots"))
         kinds = scratch.keep(kinds.where("doc is not null"), f"kinds-{round_}")
         entries = kinds.select(F.explode("pivots").alias("pivot"), "doc")
@@ -220,7 +224,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = scratch.keep(entries.join(regions.select("pivot", "seat"), "pivot").select("pivot", "doc", "seat"), "members")
     shapes = kinds.select("doc", "n", "classes")
     involved = members.select("doc").distinct()
-    sets = scratch.keep(source.join(involved, "doc", "left_semi").select("doc", "text").mapInArrow(_sets(like.words), "doc bigint, shingles array<bigint>"), "sets")
+    sets = scratch.keep(source.join(involved, "doc", "left_semi").select("doc", "text").mapInArrow(_sets(like.words, keyed), "doc bigint, shingles array<bigint>"), "sets")
     scratch.drop(f"regions-{round_}")  # and lets go of the shuffles so far, as below
 
     def seated(pairs: DataFrame) -> DataFrame:

@@ -23,16 +23,19 @@ from .work import Scratch, check_broadcast
 UNDETERMINED = "und"
 #: Labelled rows used for fitting, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 12_000
-LANGUAGES = 512
+#: More languages are refused: the table of pieces by language is broadcast, with 8 bytes for each entry.
+LANGUAGES = 300
 ROUNDS = 3
 #: Probability of a single byte that no piece covers.
 BYTE = 1e-6
-#: Longer pieces of the vocabulary are left out; longer words are summed in parts of ``PART`` bytes.
-LONGEST = 12
-PART = 32
+#: Fitting cuts longer words of its sample into parts of so many bytes; scoring sums over whole words.
+FITTED_PART = 64
 #: Distinct words whose sums a task keeps.
 KEPT_WORDS = 400_000
 _AT_ONCE = 16_384
+_BYTES_AT_ONCE = 400_000
+#: After so many bytes the sums are scaled, so that long words don't vanish.
+_SCALED = 16
 
 
 @dataclass
@@ -41,6 +44,7 @@ class Pieces:
 
     prints: np.ndarray
     longest: int
+    keyed: textcols.Prints
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -51,90 +55,122 @@ class Pieces:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
                 texts.add(model.id_to_piece(i).replace("▁", " ").lower().encode())
-        return cls.of([x for x in texts if 0 < len(x) <= LONGEST])
+        return cls.of([x for x in texts if x])
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Pieces:
+        keyed = textcols.Prints(textcols.draw_seed())
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
-        prints = textcols.Rolling(textcols.bytes_values(data)).ranges(ends - [len(x) for x in texts], ends)
-        return cls(np.unique(prints), max(map(len, texts)))
+        prints = keyed.ranges(data, ends - [len(x) for x in texts], ends)
+        return cls(np.unique(prints), max(map(len, texts)), keyed)
 
 
 class Lattice:
-    """All pieces inside a block of short words: for each end and length, the words and piece numbers."""
+    """All pieces inside a block of words, longest word first: groups of hits of one end and length in a word."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, length: np.ndarray):
-        self.n, self.length = len(begin), length
-        rolling = textcols.Rolling(textcols.bytes_values(data))
+        self.order = np.argsort(-length, kind="stable")
+        begin, length = begin[self.order], length[self.order]
+        self.n, self.length, self.longest = len(begin), length, pieces.longest
+        top = int(length.max(initial=0))
+        self.alive = np.searchsorted(-length, -np.arange(top + 2), side="right")
         quick = np.zeros(1 << 18, dtype=bool)
         quick[(pieces.prints >> np.uint64(46)).astype(np.int64)] = True
         word = np.repeat(np.arange(self.n), length)
         place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
-        self.hits: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(int(length.max(initial=0)) + 1)]
+        at = begin[word] + place
+        room = length[word] - place
+        hits = []
         for size in range(1, pieces.longest + 1):
-            fits = np.flatnonzero(place + size <= length[word])
-            at = begin[word[fits]] + place[fits]
-            prints = rolling.ranges(at, at + size)
+            fits = np.flatnonzero(room >= size)
+            if not len(fits):
+                break
+            prints = pieces.keyed.ranges(data, at[fits], at[fits] + size)
             some = quick[(prints >> np.uint64(46)).astype(np.int64)]
             fits, prints = fits[some], prints[some]
             number = np.minimum(np.searchsorted(pieces.prints, prints), len(pieces.prints) - 1)
             true = pieces.prints[number] == prints
             fits, number = fits[true], number[true]
-            end = place[fits] + size
-            order = np.argsort(end, kind="stable")
-            fits, number, end = fits[order], number[order], end[order]
-            cuts = np.searchsorted(end, np.arange(len(self.hits) + 1))
-            for j in range(1, len(self.hits)):
-                if cuts[j] < cuts[j + 1]:
-                    self.hits[j].append((size, word[fits[cuts[j] : cuts[j + 1]]], number[cuts[j] : cuts[j + 1]]))
-        self._by_length = np.argsort(-length, kind="stable")
-        self._alive = np.searchsorted(-length[self._by_length], -np.arange(len(self.hits)), side="right")
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations of each prefix: (place, word, language)."""
-        sums = np.zeros((len(self.hits), self.n, p.shape[1]))
-        sums[0] = 1
-        for j in range(1, len(self.hits)):
-            alive = self._by_length[: self._alive[j]]
-            sums[j, alive] = sums[j - 1, alive] * BYTE
-            for size, word, number in self.hits[j]:
-                sums[j, word] += sums[j - size, word] * p[number]
-        return sums
+            hits.append((place[fits] + size, np.full(len(fits), size), word[fits], number))
+        end, size, self.word, self.number = (np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in range(4))
+        order = np.lexsort((self.word, size, end))
+        end, size, self.word, self.number = end[order], size[order], self.word[order], self.number[order]
+        new = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (size[1:] != size[:-1]))) if len(end) else np.zeros(0, np.int64)
+        cuts = np.append(new, len(end)).tolist()
+        self.groups: list[list[tuple[int, int, int]]] = [[] for _ in range(top + 1)]
+        for j, own, lo, hi in zip(end[new].tolist(), size[new].tolist(), cuts[:-1], cuts[1:], strict=True):
+            self.groups[j].append((own, lo, hi))
 
     def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[self.length, np.arange(self.n)]
+        """Log of the sum over all segmentations of each word in each language, in the words' given order."""
+        ring = np.zeros((self.longest + 1, self.n, p.shape[1]))
+        ring[0] = 1
+        scale = np.zeros((self.n, p.shape[1]))
+        out = np.zeros((self.n, p.shape[1]))
+        for j in range(1, len(self.groups)):
+            alive = int(self.alive[j])
+            now = ring[j % len(ring), :alive]
+            np.multiply(ring[(j - 1) % len(ring), :alive], BYTE, out=now)
+            for size, lo, hi in self.groups[j]:
+                word = self.word[lo:hi]
+                now[word] += ring[(j - size) % len(ring), word] * p[self.number[lo:hi]]
+            ended = int(self.alive[j + 1])
+            out[ended:alive] = np.log(now[ended:]) + scale[ended:alive]
+            if j % _SCALED == 0 and ended:
+                by = now[:ended].copy()
+                scale[:ended] += np.log(by)
+                ring[:, :ended] /= by
+        back = np.empty_like(out)
+        back[self.order] = out
+        return back
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations, words weighted by language."""
-        ahead = self.forward(p)
+        """Expected counts of the pieces over all segmentations of short words, weighted by language."""
+        weight = weight[self.order]
+        ahead = np.zeros((len(self.groups), self.n, p.shape[1]))
+        ahead[0] = 1
+        for j in range(1, len(self.groups)):
+            alive = int(self.alive[j])
+            ahead[j, :alive] = ahead[j - 1, :alive] * BYTE
+            for size, lo, hi in self.groups[j]:
+                word = self.word[lo:hi]
+                ahead[j, word] += ahead[j - size, word] * p[self.number[lo:hi]]
         back = np.zeros_like(ahead)
         back[self.length, np.arange(self.n)] = 1
         share = weight / ahead[self.length, np.arange(self.n)]
         counts = np.zeros_like(p)
-        for j in range(len(self.hits) - 1, 0, -1):
-            for size, word, number in self.hits[j]:
+        for j in range(len(self.groups) - 1, 0, -1):
+            for size, lo, hi in self.groups[j]:
+                word, number = self.word[lo:hi], self.number[lo:hi]
                 part = back[j, word] * p[number]
                 np.add.at(counts, number, ahead[j - size, word] * part * share[word])
                 back[j - size, word] += part
-            alive = self._by_length[: self._alive[j]]
-            back[j - 1, alive] += back[j, alive] * BYTE
+            alive = int(self.alive[j])
+            back[j - 1, :alive] += back[j, :alive] * BYTE
         return counts
 
 
-def _blocks(pieces: Pieces, raw: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Lattices of words of ``raw``, with the word number of each part."""
-    parts = -(-(end - begin + 1) // PART)
-    word = np.repeat(np.arange(len(begin)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+def _blocks(pieces: Pieces, raw: bytes, begin: np.ndarray, end: np.ndarray, part: int | None = None) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Lattices of words of ``raw``, each with a space before it, and the words' numbers; with ``part``: of their parts."""
     joined = b"".join(b" " + raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True))
     data = np.frombuffer(joined, np.uint8)
     length = end - begin + 1
-    start = (np.cumsum(length) - length)[word] + nth * PART
-    size = np.minimum(length[word] - nth * PART, PART)
-    for i in range(0, len(word), _AT_ONCE):
-        lo, hi = start[i], start[min(i + _AT_ONCE, len(word)) - 1] + size[min(i + _AT_ONCE, len(word)) - 1]
-        yield word[i : i + _AT_ONCE], Lattice(pieces, data[lo:hi], start[i : i + _AT_ONCE] - lo, size[i : i + _AT_ONCE])
+    start = np.cumsum(length) - length
+    word = np.arange(len(begin))
+    if part:
+        word = np.repeat(word, -(-length // part))
+        nth = np.arange(len(word)) - np.searchsorted(word, word)
+        start, length = start[word] + nth * part, np.minimum(length[word] - nth * part, part)
+    by_length = np.argsort(length, kind="stable")
+    filled = np.cumsum(length[by_length])
+    lo = 0
+    while lo < len(word):
+        done = int(filled[lo - 1]) if lo else 0
+        hi = min(lo + _AT_ONCE, max(lo + 1, int(np.searchsorted(filled, done + _BYTES_AT_ONCE, side="right"))))
+        own = by_length[lo:hi]
+        yield word[own], Lattice(pieces, data, start[own], length[own])
+        lo = hi
 
 
 @dataclass
@@ -147,16 +183,17 @@ class Model:
         """Log probability of each word in each language."""
         out = np.zeros((len(begin), len(self.languages)))
         for word, lattice in _blocks(self.pieces, raw, begin, end):
-            np.add.at(out, word, np.log(lattice.totals(self.p)))
+            out[word] = lattice.totals(self.p)
         return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each slice by language: (language, code, word, n)."""
+    """Distinct words of each slice by language: (language, word, n)."""
+    keyed = textcols.Prints(textcols.draw_seed())
     for batch in batches:
         languages = np.array(batch.column(0).to_pylist(), dtype=np.int64)
         for a, b, data, offsets in textcols.slices(batch.column(1)):
-            found = textcols.words(data, offsets, lower=False)
+            found = textcols.words(data, offsets, keyed)
             raw = data.tobytes()
             language = languages[a:b][found.row]
             for own in np.unique(language):
@@ -165,8 +202,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = mine[first]
                 text = [raw[s:e] for s, e in zip(found.start[at].tolist(), found.end[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(code), own, np.int32)), pa.array(code.view(np.int64)), pa.array(text, pa.binary()), pa.array(n.astype(np.int64))],
-                    names=["language", "code", "word", "n"],
+                    [pa.array(np.full(len(code), own, np.int32)), pa.array(text, pa.binary()), pa.array(n.astype(np.int64))], names=["language", "word", "n"]
                 )
 
 
@@ -180,7 +216,7 @@ def _expectation(model):
             weight = np.zeros((len(words), len(own.languages)))
             weight[np.arange(len(words)), batch.column("language").to_numpy()] = batch.column("n").to_numpy()
             if len(words):
-                for word, lattice in _blocks(own.pieces, b"".join(words), end - [len(x) for x in words], end):
+                for word, lattice in _blocks(own.pieces, b"".join(words), end - [len(x) for x in words], end, FITTED_PART):
                     total += lattice.expected(own.p, weight[word])
         piece, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -210,7 +246,7 @@ def fit(labelled: DataFrame, pieces: Pieces, text_col: str = "text", lang_col: s
         share = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * sample_rows // len(languages) // sizes[lang] + 1)).otherwise(share)
         number = F.when(F.col("lang") == lang, i).otherwise(number)
     taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(number.alias("language"), "text")
-    counts = taken.mapInArrow(_counted, "language int, code bigint, word binary, n bigint").groupBy("language", "code").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    counts = taken.mapInArrow(_counted, "language int, word binary, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "words")
     for _ in range(rounds):
         check_broadcast(model.p.nbytes + pieces.prints.nbytes, "the language model")
@@ -251,15 +287,17 @@ def _predicted(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
         sums = _Sums(own)
+        keyed = textcols.Prints(textcols.draw_seed())
         names = np.array([*own.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, data, offsets in textcols.slices(batch.column(1)):
-                found = textcols.words(data, offsets, lower=False)
+                found = textcols.words(data, offsets, keyed)
                 total = np.zeros((b - a, max(1, len(own.languages))))
-                if len(found.code) and own.languages:
-                    running = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(sums.of(data.tobytes(), found), axis=0)])
-                    total = running[found.first[1:]] - running[found.first[:-1]]
+                worded = np.flatnonzero(np.diff(found.first))
+                if len(worded) and own.languages:
+                    # each row's words alone are added, so that equal texts get equal sums
+                    total[worded] = np.add.reduceat(sums.of(data.tobytes(), found), found.first[worded], axis=0)
                 best = total.argmax(1)
                 score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 no = ~lettered[a:b] | (len(own.languages) == 0)

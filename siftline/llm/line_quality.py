@@ -21,8 +21,8 @@ from .work import Scratch
 #: Labelled rows used for fitting, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 3_000
 STEPS = 150
-#: Bytes of text that are read from the sample at a time, and lines taken in one pass of the field.
-_LINES = 200_000
+#: Lines of the sample that fitting takes, at most (whole documents, chosen by hash whatever their length).
+SAMPLE_LINES = 200_000
 OWN = 11
 #: Own, before and after, and a constant.
 WIDTH = 3 * OWN + 1
@@ -43,14 +43,14 @@ class Lines:
     row: np.ndarray
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
+def lines_of(data: np.ndarray, offsets: np.ndarray, keyed: textcols.Prints) -> Lines:
     newline = data == 10
     begin = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(newline) + 1]))
     begin = begin[begin < len(data)]
     if not len(begin):
         return Lines(np.zeros((0, OWN)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     row = np.searchsorted(offsets, begin, side="right") - 1
-    found = textcols.words(data, offsets, lower=True)
+    found = textcols.words(data, offsets, keyed, lower=True)
     line = np.searchsorted(begin, found.start, side="right") - 1
     n_words = np.bincount(line, minlength=len(begin))
     kinds = np.stack([np.add.reduceat(kind[data], begin) for kind in _KINDS], 1)
@@ -66,7 +66,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     # lines that occurred before in the same document
     first_word = np.searchsorted(line, np.arange(len(begin)))
     last_word = np.searchsorted(line, np.arange(len(begin)), side="right")
-    body = textcols.Rolling(found.code).ranges(first_word, last_word)
+    body = keyed.ranges(found.code.view(np.uint8), 8 * first_word, 8 * last_word)
     order = np.lexsort((body, row))
     twice = np.zeros(len(begin), dtype=bool)
     twice[order[1:]] = (body[order][1:] == body[order][:-1]) & (row[order][1:] == row[order][:-1])
@@ -144,9 +144,10 @@ def _weighted(lines: Lines, good: np.ndarray, rows: int) -> tuple[np.ndarray, np
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of the sample's documents: (doc, label, sizes and features of all lines as bytes)."""
+    keyed = textcols.Prints(textcols.draw_seed())
     for batch in batches:
         for a, b, data, offsets in textcols.slices(batch.column(0)):
-            lines = lines_of(data, offsets)
+            lines = lines_of(data, offsets, keyed)
             x = features(lines).astype(np.float32)
             cut = np.searchsorted(lines.row, np.arange(b - a + 1))
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +163,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, steps: int = STEPS, prior: float | None = None) -> Field:
     """Fits on about ``sample_rows`` rows, chosen by the text's hash, of those with a text and a label of 0 or 1.
 
-    Lines of the sample's longest documents beyond ``_LINES`` in all are left out of fitting, not of scoring.  Without
+    Documents of the sample are taken in the order of a hash as long as ``SAMPLE_LINES`` hold them; without
     labels of both kinds every document gets the share of good labels as its score.  ``prior`` is that share where
     ``labelled`` was sampled by label; by default it is counted over ``labelled``.
     """
@@ -179,13 +180,17 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     share = F.when(F.col("label") == 1, min(1_000_000, 500_000 * sample_rows // sizes[1] + 1)).otherwise(min(1_000_000, 500_000 * sample_rows // sizes[0] + 1))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
     kept = scratch.keep(sample.mapInArrow(_line_rows, "label int, sizes binary, x binary"), "lines")
-    numbered = kept.orderBy(F.length("sizes"), F.xxhash64("x")).limit(2 * sample_rows)
+    counted = kept.select(F.xxhash64("sizes", "x").alias("at"), (F.length("sizes") / 8).cast("bigint").alias("lines")).orderBy("at").limit(2 * sample_rows)
+    taken, filled = [], 0
+    for r in counted.collect():  # two numbers for each document of the bounded sample
+        if r["lines"] and filled + r["lines"] <= SAMPLE_LINES:
+            taken, filled = [*taken, r["at"]], filled + r["lines"]
+    numbered = kept.withColumn("at", F.xxhash64("sizes", "x")).where(F.col("at").isin(taken)).orderBy("at").limit(2 * sample_rows)
     x_parts, label_of, size_parts, n_lines = [], [], [], 0
     for r in numbered.toLocalIterator():
-        lines = len(r["sizes"]) // 8
-        if not lines or n_lines + lines > _LINES:
-            continue
-        n_lines += lines
+        n_lines += len(r["sizes"]) // 8
+        if n_lines > SAMPLE_LINES:  # equal documents share a hash
+            break
         x_parts.append(np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH))
         size_parts.append(np.frombuffer(r["sizes"], np.int64))
         label_of.append(r["label"])
@@ -229,9 +234,10 @@ def _calibrated(mean: np.ndarray, label: np.ndarray, prior: float) -> tuple[floa
 def _scored(field_):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Field = field_.value
+        keyed = textcols.Prints(textcols.draw_seed())
         for batch in batches:
             for a, b, data, offsets in textcols.slices(batch.column(1)):
-                lines = lines_of(data, offsets)
+                lines = lines_of(data, offsets, keyed)
                 out = np.full(b - a, own.prior)
                 bad = np.zeros(b - a, dtype=np.int64)
                 if len(lines.row):

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textcols
-from .repeats import Grain, clustered, passages, sampled_runs, window_rows
-from .work import Scratch
+from .repeats import Grain, clustered, counted_runs, documents, passages, same_document, sampled_runs, window_rows
+from .work import Scratch, met_by_key
 
 WIDTH = 20
 GRAM = 8
-SHARD_LIMIT = 4096
+SHARD_LIMIT = 256
 _SHARD_ROWS = 2000
 
 
@@ -95,19 +95,19 @@ class SuffixAutomaton:
 
 
 def _earlier_in_shard(width: int):
-    """Windows of a shard's passages that occurred before, as (doc, lo, n) ranges of window starts."""
+    """Windows of a shard's passages that occurred before, as (doc, tag, lo, n) ranges of window starts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in clustered(batches, _SHARD_ROWS):
             keys = table.column("key").to_numpy()
-            docs = table.column("doc").to_pylist()
-            los = table.column("lo").to_pylist()
-            units = table.column("units").to_pylist()
-            out_doc, out_lo, out_n = [], [], []
+            docs, tags, los, units = (table.column(c).to_pylist() for c in ("doc", "tag", "lo", "units"))
+            out_doc, out_tag, out_lo, out_n = [], [], [], []
             automaton = SuffixAutomaton()
             for row, key in enumerate(keys):
                 if row and key != keys[row - 1]:
                     automaton = SuffixAutomaton()
+                elif row and (docs[row], tags[row], los[row]) == (docs[row - 1], tags[row - 1], los[row - 1]):
+                    continue  # a repeated row
                 automaton.restart()
                 feed = automaton.feed
                 hits = [i for i, word in enumerate(np.frombuffer(units[row], np.int64).tolist()) if feed(word) >= width]
@@ -116,62 +116,65 @@ def _earlier_in_shard(width: int):
                     begin = here if begin is None else begin
                     if after != here + 1:
                         out_doc.append(docs[row])
+                        out_tag.append(tags[row])
                         out_lo.append(los[row] + begin - width + 1)
                         out_n.append(here - begin + 1)
                         begin = None
-            yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_lo, pa.int32()), pa.array(out_n, pa.int32())], names=["doc", "lo", "n"])
+            columns = ((out_doc, pa.int64()), (out_tag, pa.int64()), (out_lo, pa.int32()), (out_n, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["doc", "tag", "lo", "n"])
 
     return scan
 
 
+def _after_first(rows: DataFrame, key: str, copies: str, scratch: Scratch, name: str) -> DataFrame:
+    """Occurrences ``(doc, tag, lo, ...)`` of each key but for the earliest; rows at the same place are one occurrence."""
+    first = rows.groupBy(key).agg(F.min(F.struct("doc", "tag", "lo")).alias("first"), F.count(F.lit(1)).alias(copies)).where(F.col(copies) >= 2)
+    met = met_by_key(rows, scratch.keep(first, name), key, copies, ("doc", "tag", "lo"))
+    return met.where(~F.struct("doc", "tag", "lo").eqNullSafe(F.col("first")))
+
+
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GRAM, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """Ranges ``(doc, lo, n)`` of window starts of ``docs(doc, text)`` whose windows start earlier in the corpus."""
-    grain = Grain("word", width, gram)
-    runs = scratch.keep(sampled_runs(docs, grain), "runs")
-    bodies = scratch.keep(
-        runs.groupBy("key", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "lo", "n")).alias("first")),
-        "bodies",
-    )
-    scratch.drop()  # lets go of the shuffle behind the table, here and below
-    crowded = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd >= 2")
-    copied = bodies.where("copies >= 2").select("key", "body", "first")
-    later = (
-        runs.join(copied, ["key", "body"])
-        .where(~((F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("lo") == F.col("first.lo"))))
-        .select("doc", "lo", "n")
+    """Ranges ``(doc, tag, lo, n)`` of window starts of ``docs(doc, tag, text)`` whose windows start earlier in the corpus."""
+    grain = Grain("word", width, gram, textcols.Prints(textcols.draw_seed()))
+    index = scratch.keep(counted_runs(docs, grain).groupBy("key", "body").agg(F.sum("copies").alias("copies")), "index")
+    scratch.drop()  # lets go of the shuffle behind the table
+    crowded = scratch.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd >= 2"), "crowded")
+    meeting = scratch.keep(met_by_key(index, crowded, "key", "crowd", ("body",), "left").where("copies >= 2 or crowd is not null"), "meeting")
+    scratch.drop("index", "crowded")
+    rows = scratch.keep(met_by_key(sampled_runs(docs, grain), meeting, "body", "copies", ("doc", "tag", "lo")), "rows")
+    scratch.drop("meeting")
+    later = scratch.keep(_after_first(rows.where("copies >= 2").select("body", "doc", "tag", "lo", "n"), "body", "times", scratch, "firsts").select("doc", "tag", "lo", "n"), "later")
+    wanted = (
+        rows.where("crowd is not null")
+        .groupBy("key", "body")
+        .agg(F.min(F.struct("doc", "tag", "lo", "n")).alias("first"), F.max("crowd").alias("crowd"))
+        .select("first.doc", "first.tag", "key", F.lit(False).alias("single"), "crowd", "first.lo", "first.n")
     )
-    later = scratch.keep(later, "later")
-    scratch.drop("runs")
-    wanted = bodies.join(crowded, "key").select("first.doc", "key", "body", F.lit(False).alias("single"), "crowd", "first.lo", "first.n")
     found = scratch.keep(passages(docs, wanted, grain), "passages")
-    del copied, crowded, wanted
-    scratch.drop("bodies")
+    scratch.drop("rows", "firsts")
     in_shard = (
         found.where(F.col("crowd") <= shard_limit)
-        .select("key", "doc", "lo", "units")
+        .select("key", "doc", "tag", "lo", "units")
         .repartition("key")
-        .sortWithinPartitions("key", "doc", "lo")
-        .mapInArrow(_earlier_in_shard(width), "doc bigint, lo int, n int")
+        .sortWithinPartitions("key", "doc", "tag", "lo")
+        .mapInArrow(_earlier_in_shard(width), "doc bigint, tag bigint, lo int, n int")
     )
     windows = window_rows(found.where(F.col("crowd") > shard_limit), grain)
-    first = windows.groupBy("key", "print").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies >= 2")
-    crowd_later = (
-        windows.join(first, ["key", "print"])
-        .where(~((F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("at") == F.col("first.at"))))
-        .select("doc", F.col("at").alias("lo"), F.lit(1).alias("n"))
-    )
-    return later.unionByName(in_shard).unionByName(crowd_later)
+    in_crowd = _after_first(windows, "print", "times", scratch, "prints").select("doc", "tag", "lo", F.lit(1).alias("n"))
+    return later.unionByName(in_shard).unionByName(in_crowd)
 
 
 KEPT_SCHEMA = "doc bigint, text string, n_words bigint, n_removed bigint, kept string, kept_sha256 string, spans array<struct<begin:int,end:int>>"
 
 
 def _strip(width: int, with_text: bool):
+    plain = textcols.Prints(0)
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2).to_pylist()
             for a, b, data, offsets in textcols.slices(batch.column(1)):
-                found = textcols.words(data, offsets, lower=False)
+                found = textcols.words(data, offsets, plain)
                 raw = data.tobytes()
                 cols = {k: [] for k in ("text", "n_words", "n_removed", "kept", "sha", "spans")}
                 for row in range(a, b):
@@ -225,17 +228,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The columns in ``carry`` follow, renamed to ``carried_0`` and so on.
 
     Words are maximal runs without the six ASCII white-space characters.  Null or empty text has no words and loses
-    none.  Rows that repeat an id are one document given again: they don't count as earlier than each other and
-    share their result; a null id sorts before all others.  Other columns are not read, whatever their names.
+    none.  A row given again is the same document: it doesn't count as earlier than itself, and its rows share their
+    result.  Rows that share an id with unlike texts are documents in the order of a hash of their texts; a null id
+    sorts before all others.  Other columns are not read, whatever their names.
     ``kept`` is the text with each removed span and the space after it cut out; untouched text stays as it is.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_windows(source, scratch, width, gram, shard_limit).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
+    marks = repeated_windows(documents(docs, id_col, text_col), scratch, width, gram, shard_limit).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "n")).alias("marks"))
     marks = scratch.keep(marks, "marks")
-    scratch.drop("later", "passages")
+    scratch.drop("later", "passages", "prints")
     names = [f"carried_{i}" for i in range(len(carry))]
-    whole = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
-    joined = whole.alias("s").join(marks.alias("m"), F.col("s.doc").eqNullSafe(F.col("m.doc")), "left").select("s.doc", "s.text", "m.marks", *names)
-    schema = StructType([*StructType.fromDDL(KEPT_SCHEMA).fields, *whole.schema.fields[2:]])
+    whole = documents(docs, id_col, text_col, *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    joined = whole.alias("s").join(marks.alias("m"), same_document("s", "m"), "left").select("s.doc", "s.text", "m.marks", *names)
+    schema = StructType([*StructType.fromDDL(KEPT_SCHEMA).fields, *whole.schema.fields[3:]])
     return joined.mapInArrow(_strip(width, with_text), schema).withColumnRenamed("doc", id_col)

@@ -1,11 +1,11 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
-Bytes repeat where a string of ``width`` bytes starts anywhere else.  The index holds *sparse suffix arrays*: for
-each run of windows with one minimiser, the suffix that begins at the minimiser, ordered by the fingerprint of its
-first ``gram`` bytes.  (Long matches need suffixes with an equal head to be neighbours, not alphabetical order.)  Each
-new batch of documents becomes a level of its own.  Levels of equal rank are merge-scanned: suffixes with an equal head
-meet, their counts add up, and the two levels become one of the next rank; so a suffix is rewritten once for each
-doubling of the corpus and not once for each batch.
+Bytes repeat where a string of ``width`` bytes starts anywhere else.  The index holds *sparse suffixes*: for each run
+of windows with one minimiser, the suffix that begins at the minimiser, as the fingerprint of its first ``gram`` bytes
+(``key``), that of the whole run around it (``body``), and how often both occur together.  (Long matches need suffixes
+with an equal head to be neighbours, not alphabetical order.)  Each new batch of documents becomes a level of its own.
+Levels of equal rank are merge-scanned: suffixes with an equal head meet, their counts add up, and the two levels
+become one of the next rank; so a suffix is rewritten once for each doubling of the corpus and not once for each batch.
 
 Suffixes that continue alike on both sides for the whole run repeat as a whole.  Where heads meet but the runs differ
 (the ends of a repeated passage), the passages are cut from the texts, dealt by head and given a dense suffix array by
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols
-from .repeats import Grain, clustered, passages, sampled_runs, window_rows
-from .work import Scratch
+from .repeats import Grain, clustered, counted_runs, documents, passages, same_document, sampled_runs, window_rows
+from .work import Scratch, met_by_key
 
 WIDTH = 200
-GRAM = 120
+GRAM = 64
 BATCHES = 4
-SHARD_LIMIT = 4096
+SHARD_LIMIT = 256
 _SHARD_ROWS = 2000
 
 
@@ -44,8 +44,8 @@ class IndexFamily:
     _made: int = 0
 
     def add(self, suffixes: DataFrame) -> None:
-        """Takes a batch's ``(key, body)`` rows as a new level."""
-        rank, name = 0, self._write(suffixes.groupBy("key", "body").agg(F.count(F.lit(1)).alias("copies")))
+        """Takes a batch's ``(key, body, copies)`` rows as a new level."""
+        rank, name = 0, self._write(suffixes.groupBy("key", "body").agg(F.sum("copies").alias("copies")))
         while self.levels and self.levels[-1][0] == rank:
             _, older = self.levels.pop()
             merged = self._write(self._merge([older, name]))
@@ -73,27 +73,34 @@ class IndexFamily:
 def suffix_classes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Dense suffix array of ``data`` by prefix doubling, cut at ``width`` bytes: (order, rank of each suffix's head).
 
-    Suffixes shorter than ``width`` get ranks of their own; two suffixes have equal rank just if their first
+    Suffixes shorter than ``width`` get ranks of their own; two longer ones have equal rank just if their first
     ``width`` bytes are equal.
     """
     n = len(data)
-    rank = data.astype(np.int64) + 1
-    reach = 1
-    order = np.argsort(rank, kind="stable")
+    reach = min(8, width)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.zeros(n, dtype=np.uint64)
+    for i in range(reach):
+        value = (value << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
+    order, rank = _ranked(value)
     while reach < width:
         step = min(reach, width - reach)
         ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - step] = rank[step:]
-        pair = rank * (int(rank.max()) + 1) + ahead
-        order = np.argsort(pair, kind="stable")
-        new = np.ones(n, dtype=np.int64)
-        new[1:] = pair[order[1:]] != pair[order[:-1]]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
+        ahead[: max(0, n - step)] = rank[step:]
+        order, rank = _ranked(rank * (n + 1) + ahead)
         reach += step
     return order, rank
 
 
+def _ranked(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(value, kind="stable")
+    new = np.ones(len(value), dtype=np.int64)
+    new[1:] = value[order[1:]] != value[order[:-1]]
+    rank = np.empty(len(value), dtype=np.int64)
+    rank[order] = np.cumsum(new)
+    return order, rank
+
+
 def _repeats_in_shard(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in clustered(batches, _SHARD_ROWS):
@@ -123,44 +130,46 @@ def _repeats_in_shard(width: int):
             count = np.diff(np.append(first, len(at)))
             rows = row[at[first]]
             lo = table.column("lo").to_numpy()[rows] + offset[at[first]]
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc").combine_chunks().take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc", "lo", "n"]
-            )
+            doc, tag = (table.column(c).combine_chunks().take(pa.array(rows)) for c in ("doc", "tag"))
+            yield pa.RecordBatch.from_arrays([doc, tag, pa.array(lo.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc", "tag", "lo", "n"])
 
     return scan
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """Ranges ``(doc, lo, n)`` of window starts of ``docs(doc, text)`` whose windows start anywhere else too."""
-    grain = Grain("byte", width, gram)
-    dealt = sampled_runs(docs, grain).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
-    runs = scratch.keep(dealt, "runs", "batch")
+    """Ranges ``(doc, tag, lo, n)`` of window starts of ``docs(doc, tag, text)`` whose windows start anywhere else too."""
+    grain = Grain("byte", width, gram, textcols.Prints(textcols.draw_seed()))
+    runs = scratch.keep(counted_runs(docs, grain, batches), "runs", "batch")
     family = IndexFamily(scratch)
     for number in range(batches):
-        family.add(runs.where(F.col("batch") == number).select("key", "body"))
-    index = family.scan()
-    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd >= 2")
-    meeting = index.join(crowded, "key", "left").where("copies >= 2 or crowd is not null")
-    rows = scratch.keep(runs.drop("batch").join(meeting, ["key", "body"]), "rows")
-    scratch.drop("runs", *(name for _, name in family.levels))
-    copied = rows.where("copies >= 2").select("doc", "lo", "n")
+        family.add(runs.where(F.col("batch") == number).select("key", "body", "copies"))
+    scratch.drop("runs")
+    index = scratch.keep(family.scan(), "index")
+    scratch.drop(*(name for _, name in family.levels))
+    crowded = scratch.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd >= 2"), "crowded")
+    meeting = scratch.keep(met_by_key(index, crowded, "key", "crowd", ("body",), "left").where("copies >= 2 or crowd is not null"), "meeting")
+    scratch.drop("index", "crowded")
+    rows = scratch.keep(met_by_key(sampled_runs(docs, grain), meeting, "body", "copies", ("doc", "tag", "lo")), "rows")
+    scratch.drop("meeting")
+    copied = rows.where("copies >= 2").select("doc", "tag", "lo", "n")
     wanted = (
         rows.where("crowd is not null")
         .groupBy("key", "body")
-        .agg(F.min(F.struct("doc", "lo", "n")).alias("first"), F.max("copies").alias("copies"), F.max("crowd").alias("crowd"))
-        .select("first.doc", "key", "body", (F.col("copies") == 1).alias("single"), "crowd", "first.lo", "first.n")
+        .agg(F.min(F.struct("doc", "tag", "lo", "n")).alias("first"), F.max("copies").alias("copies"), F.max("crowd").alias("crowd"))
+        .select("first.doc", "first.tag", "key", (F.col("copies") == 1).alias("single"), "crowd", "first.lo", "first.n")
     )
     found = scratch.keep(passages(docs, wanted, grain), "passages")
+    scratch.drop()
     in_shard = (
         found.where(F.col("crowd") <= shard_limit)
-        .select("key", "doc", "lo", "n", "single", "units")
+        .select("key", "doc", "tag", "lo", "n", "single", "units")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_repeats_in_shard(width), "doc bigint, lo int, n int")
+        .mapInArrow(_repeats_in_shard(width), "doc bigint, tag bigint, lo int, n int")
     )
     windows = window_rows(found.where(F.col("crowd") > shard_limit), grain)
-    twice = windows.groupBy("key", "print").agg(F.count(F.lit(1)).alias("copies")).where("copies >= 2")
-    in_crowd = windows.where("single").join(twice, ["key", "print"]).select("doc", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    twice = scratch.keep(windows.groupBy("print").agg(F.count(F.lit(1)).alias("copies")).where("copies >= 2"), "twice")
+    in_crowd = met_by_key(windows.where("single"), twice, "print", "copies", ("doc", "tag", "lo")).select("doc", "tag", "lo", F.lit(1).alias("n"))
     return copied.unionByName(in_shard).unionByName(in_crowd)
 
 
@@ -213,11 +222,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of ``docs``: id, ``n_bytes``, ``n_removed``, removed ``spans``, ``kept`` bytes and their SHA-256.
 
     Null text reads as empty.  Documents shorter than ``width`` bytes keep everything.  Every row is a document: a
-    row given twice repeats itself and loses all its windows in both; rows that share an id with unlike texts get the
-    spans of both, cut to their length.  Ids may be null.  Other columns are not read, whatever their names.
+    row given twice repeats itself and loses all its windows in both, and rows that share an id (null, too) with unlike
+    texts are told apart by their texts.  Other columns are not read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_windows(source, scratch, width, gram, batches, shard_limit).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
-    joined = source.alias("s").join(marks.alias("m"), F.col("s.doc").eqNullSafe(F.col("m.doc")), "left").select("s.doc", "s.text", "m.marks")
+    source = documents(docs, id_col, text_col)
+    marks = repeated_windows(source, scratch, width, gram, batches, shard_limit).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "n")).alias("marks"))
+    marks = scratch.keep(marks, "marks")
+    scratch.drop("rows", "passages", "twice")
+    joined = source.alias("s").join(marks.alias("m"), same_document("s", "m"), "left").select("s.doc", "s.text", "m.marks")
     return joined.mapInArrow(_cut(width, with_text), CUT_SCHEMA).withColumnRenamed("doc", id_col)

@@ -1,22 +1,28 @@
-"""Vectorised text columns: words, rolling fingerprints and minimiser runs of whole Arrow batches.
+"""Vectorised text columns: words, keyed fingerprints and minimiser runs of whole Arrow batches.
 
 Every function works on the concatenated UTF-8 bytes of a slice of an Arrow string column, so a task spends
 nanoseconds per byte and never a Python call per word.  Slices are bounded by bytes (a single longer document
 forms its own slice), so memory follows the slice and not the batch.
+
+Fingerprints are keyed: an operator draws a seed for each run and hands it to its tasks, and values are joined by a
+non-linear mixer.  So no text can be written whose fingerprints collide, and equal fingerprints of unlike texts are as
+rare as 64 (or, where two are compared, 128) random bits that agree.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _MASK = (1 << 64) - 1
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+#: Longer byte ranges are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,7 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -38,40 +43,73 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 #: All ASCII that is neither letter nor digit.
 NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-
-_powers_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers_cache:
-        base = np.empty(size, dtype=np.uint64)
-        inverse = np.empty(size, dtype=np.uint64)
-        for out, r in ((base, _R), (inverse, _R_INV)):
-            out[0] = 1
-            filled = 1
-            while filled < size:
-                out[filled : 2 * filled] = out[:filled] * np.uint64(pow(r, filled, 1 << 64))
-                filled *= 2
-        _powers_cache.clear()
-        _powers_cache[size] = (base, inverse)
-    return _powers_cache[size]
-
-
-class Rolling:
-    """Fingerprint of any range of a sequence of 64-bit values, in constant time per range."""
-
-    def __init__(self, values: np.ndarray):
-        power, self._inverse = _powers(len(values) + 1)
-        self._sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * power[: len(values)], out=self._sums[1:])
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
-
-    def grams(self, n: int) -> np.ndarray:
-        count = max(0, len(self._sums) - n)
-        return mix((self._sums[n : n + count] - self._sums[:count]) * self._inverse[:count] + np.uint64(n))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def draw_seed() -> int:
+    """A seed for the fingerprints of one run."""
+    return secrets.randbits(63)
+
+
+@dataclass(frozen=True)
+class Prints:
+    """Keyed fingerprints; those of one seed can be compared."""
+
+    seed: int
+    _keys: np.ndarray = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self):
+        keys = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([self.seed & _MASK], dtype=np.uint64)))
+        object.__setattr__(self, "_keys", keys | np.uint64(1))
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Fingerprint of the sequence of two values."""
+        out = a * self._keys[0]
+        out += b * self._keys[1]
+        out ^= out >> np.uint64(32)
+        out *= self._keys[2]
+        out ^= out >> np.uint64(29)
+        return out
+
+    def ranges(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of byte ranges of ``data``."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+        length = end - begin
+        out = mix(length.astype(np.uint64) * self._keys[3] + self._keys[4])
+        rows = np.flatnonzero((length > 0) & (length <= _LONG))
+        at = 0
+        while len(rows):
+            left = length[rows] - at
+            part = eight[begin[rows] + at] & _FIRST_BYTES[np.minimum(left, 8)]
+            out[rows] = self.join(out[rows], part)
+            at += 8
+            rows = rows[left > 8]
+        key = self._keys[:4].tobytes()
+        for row in np.flatnonzero(length > _LONG).tolist():
+            out[row] = int.from_bytes(hashlib.blake2b(data[begin[row] : end[row]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return out
+
+    def grams(self, values: np.ndarray, n: int, reach: int = 1) -> np.ndarray:
+        """Fingerprints of ``n`` consecutive units from each unit on, by doubling; a value covers ``reach`` <= ``n`` units."""
+        out = values
+        while reach < n:
+            step = min(reach, n - reach)
+            out = self.join(out[: max(0, len(out) - step)], out[step:])
+            reach += step
+        return out
+
+    def byte_grams(self, data: np.ndarray, n: int) -> np.ndarray:
+        """Fingerprints of ``n`` consecutive bytes from each byte on."""
+        if n < 8:
+            return self.grams(mix(data.astype(np.uint64) + self._keys[5]), n)
+        values = np.empty(max(0, len(data) - 7), dtype=np.uint64)
+        for shift in range(min(8, len(values))):
+            own = values[shift::8]
+            own[:] = np.frombuffer(data[shift : shift + 8 * len(own)].tobytes(), "<u8")
+        values *= self._keys[6]
+        values ^= values >> np.uint64(31)
+        return self.grams(values, n, 8)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,7 +142,7 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _SEP) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, prints: Prints, lower: bool = False, separators: np.ndarray = _SEP) -> Words:
     sep = separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -114,8 +152,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.nda
     stop = inside
     stop[:-1] &= sep[1:] | edge[1:-1]
     begins, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    values = _BYTE[_LOWER[data] if lower else data]
-    code = Rolling(values).ranges(begins, ends)
+    code = prints.ranges(_LOWER[data] if lower else data, begins, ends)
     first = np.searchsorted(begins, offsets, side="left")
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(begins, ends, row, code, first)
@@ -126,8 +163,8 @@ class Runs:
     """Runs of consecutive windows that share a minimiser.
 
     A run holds the windows that start at ``lo..hi`` and covers the units ``lo:hi + width``.  ``key`` is the
-    fingerprint of the minimising gram and ``body`` of all covered units, so two equal windows always lie in
-    runs of equal key, and two runs of equal key and body hold the same windows.
+    fingerprint of the minimising gram and ``body`` of it and all covered units, so two equal windows always lie in
+    runs of equal key, and two runs of equal body hold the same windows.
     """
 
     row: np.ndarray
@@ -137,15 +174,14 @@ class Runs:
     body: np.ndarray
 
 
-def minimiser_runs(rolling: Rolling, first: np.ndarray, width: int, gram: int) -> Runs:
-    """Runs over all windows of ``width`` units inside the rows that ``first`` delimits."""
+def minimiser_runs(prints: Prints, grams: np.ndarray, first: np.ndarray, width: int, gram: int) -> Runs:
+    """Runs over all windows of ``width`` units inside the rows that ``first`` delimits; ``grams`` are of all units."""
     lengths = np.diff(first)
     counts = np.maximum(lengths - width + 1, 0)
     total = int(counts.sum())
     if not total:
         none = np.zeros(0, dtype=np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    grams = rolling.grams(gram)
     bits = np.uint64(max(1, int(len(grams)).bit_length()))
     at = np.arange(len(grams), dtype=np.uint64)
     best = ((grams >> bits) << bits) | at  # the leftmost gram wins a tie, in every copy of a window alike
@@ -162,16 +198,8 @@ def minimiser_runs(rolling: Rolling, first: np.ndarray, width: int, gram: int) -
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], total) - 1
     lo, hi = window[begin], window[last]
-    return Runs(row[begin], lo, hi, grams[chosen[begin]], rolling.ranges(lo, hi + width))
-
-
-def spans_of(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal covered ranges of windows of ``width`` units at sorted ``starts``."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > width)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + width).tolist(), strict=True))
-
-
-def bytes_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+    key = grams[chosen[begin]]
+    body = prints.join(key, (hi - lo).astype(np.uint64))
+    for k in range(-(-(2 * width - gram) // gram)):  # grams side by side cover the run, the last one up to its end
+        body = prints.join(body, grams[np.minimum(lo + k * gram, hi + width - gram)])
+    return Runs(row[begin], lo, hi, key, body)

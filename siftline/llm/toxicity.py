@@ -23,8 +23,6 @@ from .work import Scratch, check_broadcast
 
 #: Labelled rows used for learning, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 24_000
-#: Entries of the lexicon and of the exceptions, at most; the best are taken.
-LEXICON = 5_000
 #: A term must be in so many toxic documents, and so many times likelier there.
 LEAST_DOCS, LEAST_RATIO = 3, 12.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -157,6 +155,14 @@ def _feature_rows(lexicon):
     return features
 
 
+def _bounded(entries: DataFrame, text: str, what: str) -> list:
+    """All entries, which a bounded sample bounds; refused where they could not be broadcast."""
+    entries = entries.orderBy(text)
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
+    check_broadcast(200 * size["n"] + 4 * size["chars"], what)
+    return entries.collect()
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns from about ``sample_rows`` rows, chosen by the text's hash, of those with a text and a label of 0 or 1.
 
@@ -177,10 +183,10 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     counts = rows.mapInArrow(_term_rows, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counts.withColumn("weight", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= float(np.log(LEAST_RATIO))))
-    taken = best.orderBy(F.desc("toxic"), F.desc("weight"), "term").limit(LEXICON).collect()
+    taken = _bounded(best.select("term", "weight"), "term", "the lexicon")
     terms = {r["term"]: r["weight"] for r in taken}
     seen = rows.mapInArrow(_phrase_rows(spark.sparkContext.broadcast(set(terms))), "phrase string, clean bigint, toxic bigint").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    harmless = seen.where((F.col("clean") >= LEAST_DOCS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(LEXICON).collect()
+    harmless = _bounded(seen.where((F.col("clean") >= LEAST_DOCS) & (F.col("toxic") == 0)).select("phrase"), "phrase", "the exceptions")
     lexicon = Lexicon(terms, {r["phrase"] for r in harmless} | {f" {x.strip()} " for x in exceptions})
     check_broadcast(lexicon.n_bytes(), "the lexicon")
     points = rows.mapInArrow(_feature_rows(spark.sparkContext.broadcast(lexicon)), "x0 double, x1 double, x2 double, label int").groupBy("x0", "x1", "x2", "label").count().toArrow()

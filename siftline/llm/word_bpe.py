@@ -98,11 +98,38 @@ def _unpack_numbers(packed: bytes) -> np.ndarray:
 BLOCK_SCHEMA = "block bigint, docs array<bigint>, lengths array<int>, sequence binary, words binary"
 
 
-def _split(block_bytes: int):
+def _same_words(held: list[tuple], offsets: np.ndarray, raw: bytes, number: np.ndarray) -> bool:
+    """Whether each word of ``held`` has the bytes of the word ``number`` that its fingerprint made it."""
+    data, at = np.frombuffer(raw, np.uint8), 0
+    for _, begin, end, text in held:
+        own = number[at : at + len(begin)]
+        at += len(begin)
+        length = end.astype(np.int64) - begin
+        if (length != offsets[own + 1] - offsets[own]).any():
+            return False
+        # fingerprints of equally long words of up to eight bytes are different
+        long = np.flatnonzero(length > 8)
+        if (np.frombuffer(text, np.uint8)[_ranges(begin[long].astype(np.int64), length[long])] != data[_ranges(offsets[own[long]], length[long])]).any():
+            return False
+    return True
+
+
+def _exact_codes(held: list[tuple]) -> list[tuple]:
+    """``held`` with codes that no two words share, whatever their fingerprints."""
+    known: dict[bytes, int] = {}
+    out = []
+    for _, begin, end, text in held:
+        codes = [known.setdefault(text[s:e], len(known)) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        out.append((np.array(codes, dtype=np.uint64), begin, end, text))
+    return out
+
+
+def _split(block_bytes: int, prints: textcols.Prints):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, lengths, held, size = [], [], [], 0  # held: code, begin and end of each word of a slice, and its bytes
 
-        def flush() -> pa.RecordBatch:
+        def numbered() -> tuple[np.ndarray, list[bytes]]:
+            """The number of each word in the block, frequent words first, and the words."""
             distinct, first, back, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")
             number = np.empty(len(order), dtype=np.uint32)
@@ -114,14 +141,22 @@ def _split(block_bytes: int):
                 at = first[here] - base
                 for i, s, e in zip(number[here].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
                     words[i] = raw[s:e]
+            return number[back], words
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            number, words = numbered()
+            if not _same_words(held, np.append(0, np.cumsum([len(w) for w in words])).astype(np.int64), b"".join(words), number):
+                held = _exact_codes(held)
+                number, words = numbered()
             # a name that no two blocks share; written once, so a later failure reads the same one
-            row = (uuid.uuid4().int & ((1 << 63) - 1), docs, lengths, _pack_numbers(number[back]), _pack(words))
+            row = (uuid.uuid4().int & ((1 << 63) - 1), docs, lengths, _pack_numbers(number), _pack(words))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "lengths", "sequence", "words"])
 
         for batch in batches:
             for a, b, data, offsets in textcols.slices(batch.column(1), _SLICE_BYTES):
-                found = textcols.words(data, offsets, lower=False)
+                found = textcols.words(data, offsets, prints)
                 docs += batch.column(0).slice(a, b - a).to_pylist()
                 lengths += np.diff(found.first).tolist()
                 held.append((found.code, found.start.astype(np.uint32), found.end.astype(np.uint32), data.tobytes()))
@@ -135,7 +170,7 @@ def _split(block_bytes: int):
     return split
 
 
-def _words_of(rounds: int, own: int):
+def _words_of(rounds: int, own: int, prints: textcols.Prints):
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,12 +178,7 @@ def _words_of(rounds: int, own: int):
                 if len(offsets) < 2:
                     continue
                 data = np.frombuffer(raw, np.uint8)
-                code = np.concatenate(
-                    [
-                        textcols.Rolling(textcols.bytes_values(data[o[0] : o[-1]])).ranges(o[:-1] - o[0], o[1:] - o[0])
-                        for o in (offsets[i : i + _WORDS_AT_ONCE // 4 + 1] for i in range(0, len(offsets) - 1, _WORDS_AT_ONCE // 4))
-                    ]
-                )
+                code = prints.ranges(data, offsets[:-1], offsets[1:])
                 for at in np.array_split(mine := np.flatnonzero(code % np.uint64(rounds) == own), max(1, len(mine) // 50_000)):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -289,13 +319,14 @@ def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "bpe")
     buckets = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    prints = textcols.Prints(textcols.draw_seed())
     split = _Bucketed(scratch, "blocks", buckets)
-    split.add(source.mapInArrow(_split(block_bytes), BLOCK_SCHEMA))
+    split.add(source.mapInArrow(_split(block_bytes, prints), BLOCK_SCHEMA))
     blocks = split.read()
     held = spark.sparkContext.broadcast(encoder)
     table = _Bucketed(scratch, "ids", buckets)
     for own in range(rounds):
-        words = blocks.select("block", "words").mapInArrow(_words_of(rounds, own), "word binary, block bigint, number int")
+        words = blocks.select("block", "words").mapInArrow(_words_of(rounds, own, prints), "word binary, block bigint, number int")
         ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(held), PART_SCHEMA)
         table.add(ids.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_gathered, PART_SCHEMA))
         del words, ids

@@ -38,6 +38,12 @@ class Scratch:
         self.spark = spark
         self._schemas: dict[str, StructType] = {}
         self.path = f"{root.rstrip('/')}/siftline-{name}-{uuid.uuid4().hex}"
+        path, files = self._files("")
+        files.deleteOnExit(path)  # results are read from the tables, so they stay until the session's JVM ends
+
+    def _files(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
@@ -53,18 +59,45 @@ class Scratch:
         return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads, and lets Spark release the shuffles behind them."""
-        jvm = self.spark.sparkContext._jvm
+        """Deletes tables that no later step reads, and asks for the release of shuffles that nothing refers to.
+
+        The request frees disk earlier; nothing depends on it.
+        """
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+            path, files = self._files(name)
+            files.delete(path, True)
+        self.spark.sparkContext._jvm.System.gc()
+
+
+#: No more than so many keys are dealt by salts, and at most twice as many salts.
+HOT_KEYS = 100_000
+
+
+def met_by_key(rows: DataFrame, table: DataFrame, key: str, copies: str, salted_by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Join of many ``rows`` with a ``table`` of distinct keys and the number of ``copies`` of each.
+
+    A key with more than one ``HOT_KEYS``-th of all copies is dealt over as many tasks as its share asks for, by the
+    hash of the columns ``salted_by``.  There are fewer than ``HOT_KEYS`` such keys whatever the size of the table, so
+    that they can be broadcast.
+    """
+    total = table.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
+    share = max(1, total // HOT_KEYS)
+    salts = F.ceil(F.col(copies) / share).cast("int")
+    hot = table.where(F.col(copies) > max(share, 64)).select(key, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salted_by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    every = F.when(F.col(copies) > max(share, 64), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    right = table.withColumn("_salt", F.explode(every))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts into which keys are hashed for sampling; fine enough for any number of labels.
+_SHARES = 1 << 50
+
+
 def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
     """About ``rows`` labelled keys, chosen by the key's hash and small enough to broadcast; ``balanced``: of each label alike.
 
@@ -76,5 +109,5 @@ def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced:
     sizes = {r["kind"]: r["n"] for r in known.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy("kind").limit(64).collect()}
     share = F.lit(0)
     for value, n in sizes.items():
-        share = F.when(kind == value, min(1_000_000, 1_000_000 * rows // len(sizes) // n + 1)).otherwise(share)
-    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)), sizes
+        share = F.when(kind == value, min(_SHARES, _SHARES * rows // len(sizes) // n + 1)).otherwise(share)
+    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(_SHARES)) < share)), sizes
