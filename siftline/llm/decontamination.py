@@ -33,7 +33,7 @@ LEAST_WORDS = 8
 #: Bytes that a word of a test item takes in the lookups of a task, with room to spare.
 _WORD_BYTES = 64
 
-FOUND_SCHEMA = "doc bigint, item bigint, score double, matched int, begin int, end int"
+FOUND_SCHEMA = "doc bigint, tag bigint, item bigint, score double, matched int, begin int, end int"
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
@@ -120,7 +120,7 @@ def _found(lookups, keyed: textcols.Prints, seed: int, least_score: float, least
         prints, owner, place, items, ids = lookups.value
         quick = Filter(prints)
         for batch in batches:
-            for a, _, data, offsets in textcols.slices(batch.column(1)):
+            for a, _, data, offsets in textcols.slices(batch.column(2)):
                 found = textcols.words(data, offsets, keyed, lower=True, separators=textcols.NOT_WORD)
                 grams = keyed.grams(found.code, seed)
                 at = quick.maybe(grams)
@@ -149,12 +149,12 @@ def _found(lookups, keyed: textcols.Prints, seed: int, least_score: float, least
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(out["row"], pa.int64())),
+                        *(batch.column(i).take(pa.array(out["row"], pa.int64())) for i in (0, 1)),
                         pa.array(out["item"], pa.int64()),
                         pa.array(out["score"], pa.float64()),
                         *(pa.array(out[k], pa.int32()) for k in ("matched", "begin", "end")),
                     ],
-                    names=["doc", "item", "score", "matched", "begin", "end"],
+                    names=["doc", "tag", "item", "score", "matched", "begin", "end"],
                 )
 
     return find
@@ -176,14 +176,14 @@ def contaminated(
     """One row for each row of ``docs`` and test item that it holds a copy of, whole, in part or edited.
 
     Columns: ``doc_id``, ``item_id``, ``score`` (share of a whole copy's alignment score), ``matched`` words and the
-    range ``begin_word``, ``end_word`` of the document's words.  Words are lower-cased runs without ASCII space or
+    range ``begin_word``, ``end_word`` of the document's words, and ``text_hash``, which tells rows of one id apart.  Words are lower-cased runs without ASCII space or
     punctuation.  Null and empty texts hold nothing, and so do items with fewer than ``least_words`` words: too short
     to tell a copy from chance.  Repeated documents and items give repeated rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     keyed = textcols.Prints(textcols.draw_seed())
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.lower(F.col(text_col).cast("string")).alias("text"))
     tests = benchmark.select(F.col(item_id_col).cast("bigint").alias("item"), F.lower(F.col(item_text_col).cast("string")).alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     shards = max(1, -(-size * _WORD_BYTES // shard_bytes))
@@ -219,4 +219,4 @@ def contaminated(
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], FOUND_SCHEMA)
-    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "score", "matched", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"))
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), "score", "matched", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"), F.col("tag").alias("text_hash"))

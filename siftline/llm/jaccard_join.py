@@ -6,8 +6,8 @@ make poor pivots.  Pivots are single shingles and fixed classes of shingles:
 * *Regions.*  Each shingle is a pivot, and a document lies nearest to the pivots it contains.  With any order over
   pivots, two documents within the threshold share one of the first ``size - needed + 1`` pivots of each.  So a
   document is replicated to the regions of those boundary pivots only, and the join by region is exact.  Pivots come
-  rarest first: long shingles before short ones; those whose region turns out to be too large are moved behind all
-  others and the regions are dealt again.  Any order gives the same result.
+  rarest first: long shingles before short ones, and behind all others the ``HOT_KEYS`` at most that a first scan finds
+  in more than a ``HOT_KEYS``-th of all places.  Any order gives the same result.
 * *Windows.*  All shingles fall into ``CLASSES`` classes by hash.  The counts of a document in the classes are its
   symmetric-difference distances to those pivot sets but for constants.  By the triangle inequality, the counts of two
   linked documents differ in sum by at most ``(1 - t) / (1 + t)`` of their sizes; and their sizes by a factor ``t``.
@@ -15,7 +15,8 @@ make poor pivots.  Pivots are single shingles and fixed classes of shingles:
   need no further comparison.  Regions with several components recur with another pivot document, and what is left is
   compared pair by pair inside tasks, block by block, where only pairs inside the windows leave the task.
 
-Equal sets are collapsed before, so copies cost one row each.  Links are checked on whole sets.
+Equal sets are collapsed before, so copies cost one row each.  Pairs inside the windows are checked on whole sets, which
+are made for the documents of those pairs alone.
 """
 
 from __future__ import annotations
@@ -30,15 +31,12 @@ from pyspark.sql import functions as F
 
 from . import textcols
 from .components import connected_components
-from .repeats import clustered
-from .work import Scratch, check_broadcast
+from .repeats import clustered, documents, same_document
+from .work import HOT_KEYS, Scratch, met_by_key
 
 CLASSES = 64
-#: A region with more documents counts as too large for the order of pivots, and is moved back.
+#: A pivot in fewer documents is never moved back.
 LARGE_REGION = 48
-#: How many pivots are moved back at most in a round (8 bytes each are broadcast); any choice is exact.
-MOVED_BACK = 400_000
-ROUNDS = 3
 BLOCK = 2048
 
 
@@ -93,13 +91,13 @@ def _ordered(row, prints, letters, moved_back: np.ndarray):
     return row[new], prints[new]
 
 
-SKETCH_SCHEMA = "doc bigint, n bigint, f1 bigint, f2 bigint, classes binary, pivots array<bigint>"
+SKETCH_SCHEMA = "doc bigint, tag bigint, n bigint, f1 bigint, f2 bigint, classes binary, pivots array<bigint>"
 
 
 def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in textcols.slices(batch.column(1)):
+            for a, b, data, offsets in textcols.slices(batch.column(2)):
                 row, prints = _ordered(*_shingles(data, offsets, like.words, keyed), moved_back.value)
                 rows = b - a
                 size = np.bincount(row, minlength=rows)
@@ -114,13 +112,14 @@ def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, rows),
+                        batch.column(1).slice(a, rows),
                         pa.array(size),
                         pa.array(f1.view(np.int64)),
                         pa.array(f2.view(np.int64)),
                         pa.array([classes[i : i + CLASSES].tobytes() for i in range(0, len(classes), CLASSES)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)).astype(np.int32)), pa.array(prints[first].view(np.int64))),
                     ],
-                    names=["doc", "n", "f1", "f2", "classes", "pivots"],
+                    names=["doc", "tag", "n", "f1", "f2", "classes", "pivots"],
                 )
 
     return sketch
@@ -183,55 +182,72 @@ def _region_pairs(like: Similarity):
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs whose whole sets are within the threshold."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    union = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").where(both * like.den >= union * like.num).select("a", "b")
+def _with_copies(pairs: DataFrame, table: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """Rows of ``table(doc, ...)`` for the documents in column ``b`` of ``pairs``, with the number of those pairs."""
+    asked = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asked"))
+    return scratch.keep(asked.join(table.withColumnRenamed("doc", "b"), "b"), name)
+
+
+def _pivot_counts(source: DataFrame, like: Similarity, keyed: textcols.Prints, large_region: int) -> DataFrame:
+    """``(pivot, docs)`` of pivots that lie on the boundary of more than ``large_region`` documents."""
+    nothing = source.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64))
+    pivots = source.mapInArrow(_sketch(like, nothing, keyed), SKETCH_SCHEMA).select(F.explode("pivots").alias("pivot"))
+    return pivots.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > large_region)
+
+
+def _hot_pivots(counted: DataFrame) -> np.ndarray:
+    """Pivots with more than a ``HOT_KEYS``-th of all counts, so fewer than ``HOT_KEYS``."""
+    total = counted.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
+    hot = counted.where(F.col("docs") > total // HOT_KEYS).toArrow().column("pivot").to_numpy()
+    return np.unique(hot.astype(np.int64).view(np.uint64))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Similarity = Similarity(), large_region: int = LARGE_REGION) -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id``, the smallest id reachable by links, and ``text_hash``.
 
     Words are lower-cased (A-Z) runs without ASCII white space.  A text with fewer words than a shingle is one shingle
     of all its words.  Null and empty texts have no shingles and are linked with nothing.  A row given twice has two
-    equal sets, which are linked.  Rows that share an id are one document with several texts: what links to one of them
-    is in the component of all.  Rows with a null id keep a null component unless their set equals or is linked with
-    another's.  Other columns are not read, whatever their names.
+    equal sets, which are linked.  Rows that share an id (null, too) with unlike texts are documents of their own.  A
+    component without an id has null.  Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    source = documents(docs, id_col, text_col)
     keyed = textcols.Prints(textcols.draw_seed())
-    moved = np.zeros(0, np.uint64)
-    for round_ in range(ROUNDS):
-        check_broadcast(moved.nbytes, "the pivots that are moved back")
-        sketched = scratch.keep(source.mapInArrow(_sketch(like, spark.sparkContext.broadcast(moved), keyed), SKETCH_SCHEMA), f"sketches-{round_}")
-        kinds = sketched.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), F.first("classes").alias("classes"), F.first("pivots").alias("pivots"))
-        kinds = scratch.keep(kinds.where("doc is not null"), f"kinds-{round_}")
-        entries = kinds.select(F.explode("pivots").alias("pivot"), "doc")
-        regions = scratch.keep(entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("seat")).where("docs >= 2"), f"regions-{round_}")
-        if round_ == ROUNDS - 1:
-            break
-        large = regions.where(F.col("docs") > large_region).orderBy(F.desc("docs"), "pivot").select("pivot").limit(MOVED_BACK).toPandas()["pivot"].to_numpy()
-        more = np.union1d(moved, large.astype(np.int64).view(np.uint64))
-        if len(more) == len(moved) or more.nbytes > 4 * 8 * MOVED_BACK:
-            break
-        moved = more
-        scratch.drop(f"sketches-{round_}", f"kinds-{round_}", f"regions-{round_}")
-    members = scratch.keep(entries.join(regions.select("pivot", "seat"), "pivot").select("pivot", "doc", "seat"), "members")
+    counted = scratch.keep(_pivot_counts(source, like, keyed, large_region), "counted")
+    hot = spark.sparkContext.broadcast(_hot_pivots(counted))
+    scratch.drop("counted")
+    sketched = scratch.keep(source.mapInArrow(_sketch(like, hot, keyed), SKETCH_SCHEMA), "sketches")
+    # equal sets are one kind; the number that it gets is written with it
+    row = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "tag")).alias("row")
+    kinds = sketched.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("id"), row, F.first("classes").alias("classes"), F.first("pivots").alias("pivots"))
+    kinds = scratch.keep(kinds.withColumn("doc", F.monotonically_increasing_id()), "kinds")
+    entries = kinds.select(F.explode("pivots").alias("pivot"), "doc")
+    regions = scratch.keep(entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("seat")).where("docs >= 2"), "regions")
+    members = scratch.keep(met_by_key(entries, regions, "pivot", "docs", ("doc",)).select("pivot", "doc", "seat"), "members")
     shapes = kinds.select("doc", "n", "classes")
-    involved = members.select("doc").distinct()
-    sets = scratch.keep(source.join(involved, "doc", "left_semi").select("doc", "text").mapInArrow(_sets(like.words, keyed), "doc bigint, shingles array<bigint>"), "sets")
-    scratch.drop(f"regions-{round_}")  # and lets go of the shuffles so far, as below
-
-    def seated(pairs: DataFrame) -> DataFrame:
+    scratch.drop("regions")  # and lets go of the shuffles so far, as below
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs ``(a, b)`` whose whole sets are within the threshold."""
+        pairs = scratch.keep(pairs, f"{name}-pairs")
+        involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+        asked = kinds.join(involved, "doc").select(F.col("doc").alias("kind"), "row.doc", "row.tag")
+        texts = source.alias("s").join(asked.alias("k"), same_document("s", "k")).select(F.col("kind").alias("doc"), "text")
+        sets = texts.mapInArrow(_sets(like.words, keyed), "doc bigint, shingles array<bigint>").groupBy("doc").agg(F.first("shingles").alias("shingles"))
+        sets = scratch.keep(sets, f"{name}-sets")
+        right = _with_copies(pairs, sets.select("doc", F.col("shingles").alias("y")), f"{name}-right", scratch)
+        met = met_by_key(pairs, right, "b", "asked", ("a",)).join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+        both = F.size(F.array_intersect("x", "y")).cast("bigint")
+        union = F.size("x") + F.size("y") - both
+        return met.where(both * like.den >= union * like.num).select("a", "b")
+
+    def seated(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.keep(pairs.where("a <> b").distinct(), f"{name}-asked")
         a = shapes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("classes").alias("classes_a"))
-        b = shapes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("classes").alias("classes_b"))
-        met = pairs.where("a <> b").distinct().join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "classes_a", "classes_b")
-        return _verified(met.mapInArrow(_inside_windows(like), "a bigint, b bigint").distinct(), sets, like)
+        b = _with_copies(pairs, shapes.select("doc", F.col("n").alias("n_b"), F.col("classes").alias("classes_b")), f"{name}-seats", scratch)
+        met = met_by_key(pairs, b, "b", "asked", ("a",)).join(a, "a").select("a", "b", "n_a", "n_b", "classes_a", "classes_b")
+        return verified(met.mapInArrow(_inside_windows(like), "a bigint, b bigint").distinct(), name)
 
     def labelled(components: DataFrame) -> DataFrame:
         """Members of regions that still hold several components."""
@@ -239,15 +255,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high")
         return named.join(mixed, "pivot")
 
-    links = scratch.keep(seated(members.select(F.col("doc").alias("a"), F.col("seat").alias("b"))), "links-0")
-    scratch.drop()
+    links = scratch.keep(seated(members.select(F.col("doc").alias("a"), F.col("seat").alias("b")), "first"), "links-0")
+    scratch.drop(*(f"first-{x}" for x in ("asked", "seats", "pairs", "sets", "right")))
     components = connected_components(links, scratch, "components-0")
     # recursion: another seat for the regions that are not yet one component, from the component that is last in order
     left = labelled(components)
     seats = left.where("component = high").groupBy("pivot").agg(F.min("doc").alias("seat"))
-    more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")))
+    more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")), "second")
     links = scratch.keep(links.unionByName(more_links), "links-1")
-    scratch.drop("links-0")
+    scratch.drop("links-0", *(f"second-{x}" for x in ("asked", "seats", "pairs", "sets", "right")))
     components = connected_components(links, scratch, "components-1")
     left = labelled(components).join(shapes, "doc")
     blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
@@ -266,12 +282,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         )
     )
     pairs = dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like), "a bigint, b bigint").distinct()
-    links = scratch.keep(links.unionByName(_verified(pairs, sets, like)), "links-2")
-    scratch.drop("links-1", "members", "sets")
+    links = scratch.keep(links.unionByName(verified(pairs, "third")), "links-2")
+    scratch.drop("links-1", "members", *(f"third-{x}" for x in ("pairs", "sets", "right")))
     components = connected_components(links, scratch, "components-2")
-    named = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", F.coalesce("component", "doc").alias("component"))
-    # rows that share an id: a node may stand for several kinds
+    joined = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", "id", F.coalesce("component", "doc").alias("component"))
+    least = joined.groupBy("component").agg(F.min("id").alias("least"))
+    named = joined.join(least, "component").select("n", "f1", "f2", "least")
     return (
         sketched.join(named, ["n", "f1", "f2"], "left")
-        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.col("tag").alias("text_hash"))
     )

@@ -56,7 +56,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), like=jaccard.Similarity(words=3, num=90, den=100))
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), like=jaccard.Similarity(words=3, num=90, den=100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .work import Scratch, met_by_key
 WIDTH = 200
 GRAM = 64
 BATCHES = 4
-SHARD_LIMIT = 256
+SHARD_LIMIT = 4096
 _SHARD_ROWS = 2000
 
 
