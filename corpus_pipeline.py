@@ -18,6 +18,12 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _same_rows(rows: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """``rows`` that have, or lack, a row of ``marked`` with their id (null, too) and hash of the text."""
+    same = F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.text_hash") == F.col("m.text_hash"))
+    return rows.alias("r").join(marked.select("doc_id", "text_hash").alias("m"), same, how)
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language; ``lang`` becomes the recognised one.
 
@@ -33,10 +39,26 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near duplicates."""
+    """Keeps one document, the one with the smallest id, of each group of near duplicates.
+
+    Of rows that share that id the one with the smallest hash of its text stays, and of equal rows one.  Rows with a
+    null id and no near duplicate with an id form groups by their texts.
+    """
+    scratch = Scratch(spark, "groups")
     groups = jaccard_join.jaccard_components(docs, like=jaccard_join.Similarity(words=5, num=80, den=100))
-    losers = Scratch(spark, "losers").keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "losers")
-    return _documents(docs).join(losers, "doc_id", "left_anti").select(*COLUMNS)
+    groups = scratch.keep(groups.select("doc_id", "component_id", "text_hash"), "groups")
+    alone = F.when(F.col("component_id").isNull(), F.col("text_hash"))
+    first = groups.groupBy("component_id", alone.alias("alone")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("rows")
+    )
+    shared = scratch.keep(first.where("rows > 1").select("component_id", "alone", "first"), "shared")
+    met = groups.withColumn("alone", alone).alias("g").join(shared.alias("s"), F.col("g.component_id").eqNullSafe(F.col("s.component_id")) & F.col("g.alone").eqNullSafe(F.col("s.alone")))
+    same = F.col("g.doc_id").eqNullSafe(F.col("s.first.doc_id")) & (F.col("g.text_hash") == F.col("s.first.text_hash"))
+    met = met.groupBy("g.doc_id", "g.text_hash").agg(F.first(same).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    marked = scratch.keep(met.where("not stays or rows > 1").select("doc_id", "text_hash", "stays"), "marked")
+    rows = _documents(docs).withColumn("text_hash", F.xxhash64("text"))
+    equal = _same_rows(rows, marked.where("stays"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return _same_rows(rows, marked, "left_anti").unionByName(equal).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +70,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole, in part or edited."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = Scratch(spark, "leaks").keep(found.select("doc_id").distinct(), "leaks")  # few, so that Spark may broadcast them
-    return _documents(docs).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = Scratch(spark, "leaks").keep(found.select("doc_id", "text_hash").distinct(), "leaks")  # few, so that Spark may broadcast them
+    return _same_rows(_documents(docs).withColumn("text_hash", F.xxhash64("text")), found, "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
