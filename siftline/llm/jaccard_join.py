@@ -15,8 +15,9 @@ make poor pivots.  Pivots are single shingles and fixed classes of shingles:
   need no further comparison.  Regions with several components recur with another pivot document, and what is left is
   compared pair by pair inside tasks, block by block, where only pairs inside the windows leave the task.
 
-Equal sets are collapsed before, so copies cost one row each.  Pairs inside the windows are checked on whole sets, which
-are made for the documents of those pairs alone.
+Equal sets are collapsed before, so copies cost one row each.  Pairs inside the windows go through windows of
+``FINE_CLASSES`` classes, which tell long documents apart, and are then checked on whole sets, which are made for the
+documents of those pairs alone.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .repeats import clustered, documents, same_document
 from .work import HOT_KEYS, Scratch, met_by_key
 
 CLASSES = 64
+#: Classes of the second window, through which pairs go before whole sets are made; enough for sets of 20,000 shingles.
+FINE_CLASSES = 1024
 #: A pivot in fewer documents is never moved back.
 LARGE_REGION = 48
 BLOCK = 2048
@@ -105,8 +108,6 @@ def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
                 f1, f2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                 np.add.at(f1, row, prints)
                 np.add.at(f2, row, textcols.mix(prints ^ np.uint64(0x5851F42D4C957F2D)))
-                classes = np.bincount(row * CLASSES + (prints % np.uint64(CLASSES)).astype(np.int64), minlength=rows * CLASSES)
-                classes = np.minimum(classes, 255).astype(np.uint8)
                 taken = np.where(size > 0, like.boundary(size), 0)
                 first = np.arange(len(row)) - begin[row] < taken[row]
                 yield pa.RecordBatch.from_arrays(
@@ -116,7 +117,7 @@ def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
                         pa.array(size),
                         pa.array(f1.view(np.int64)),
                         pa.array(f2.view(np.int64)),
-                        pa.array([classes[i : i + CLASSES].tobytes() for i in range(0, len(classes), CLASSES)], pa.binary()),
+                        _class_counts(row, prints, rows, CLASSES),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)).astype(np.int32)), pa.array(prints[first].view(np.int64))),
                     ],
                     names=["doc", "tag", "n", "f1", "f2", "classes", "pivots"],
@@ -125,6 +126,24 @@ def _sketch(like: Similarity, moved_back, keyed: textcols.Prints):
     return sketch
 
 
+def _class_counts(row: np.ndarray, prints: np.ndarray, rows: int, classes: int) -> pa.Array:
+    """How many shingles of each row are in each class, up to 255, as bytes."""
+    counts = np.bincount(row * classes + (prints % np.uint64(classes)).astype(np.int64), minlength=rows * classes)
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return pa.array([counts[i : i + classes].tobytes() for i in range(0, len(counts), classes)], pa.binary())
+
+
+def _fine_windows(words: int, keyed: textcols.Prints):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in textcols.slices(batch.column(1)):
+                row, prints = _ordered(*_shingles(data, offsets, words, keyed), np.zeros(0, np.uint64))
+                size = pa.array(np.bincount(row, minlength=b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, _class_counts(row, prints, b - a, FINE_CLASSES)], names=["doc", "n", "classes"])
+
+    return windows
+
+
 def _sets(words: int, keyed: textcols.Prints):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +159,7 @@ def _sets(words: int, keyed: textcols.Prints):
 
 
 def _gap(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(left), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-    y = np.frombuffer(b"".join(right), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+    x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(len(left), -1).astype(np.int16) for side in (left, right))
     return np.abs(x - y).sum(axis=1, dtype=np.int64)
 
 
@@ -149,8 +167,8 @@ def _inside_windows(like: Similarity):
     """Keeps pairs that the windows allow: columns a, b, n_a, n_b, classes_a, classes_b."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 near = like.near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), _gap(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
@@ -222,32 +240,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "tag")).alias("row")
     kinds = sketched.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("id"), row, F.first("classes").alias("classes"), F.first("pivots").alias("pivots"))
     kinds = scratch.keep(kinds.withColumn("doc", F.monotonically_increasing_id()), "kinds")
+    sketched = scratch.keep(sketched.select("doc", "tag", "n", "f1", "f2"), "rows")
+    scratch.drop("sketches")
     entries = kinds.select(F.explode("pivots").alias("pivot"), "doc")
     regions = scratch.keep(entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("seat")).where("docs >= 2"), "regions")
     members = scratch.keep(met_by_key(entries, regions, "pivot", "docs", ("doc",)).select("pivot", "doc", "seat"), "members")
+    kinds = scratch.keep(kinds.drop("pivots"), "shapes")
     shapes = kinds.select("doc", "n", "classes")
-    scratch.drop("regions")  # and lets go of the shuffles so far, as below
+    scratch.drop("kinds", "regions")  # and lets go of the shuffles so far, as below
+
+    def made_of(pairs: DataFrame, make, schema: str, name: str) -> DataFrame:
+        """What ``make`` makes of the texts of all kinds in ``pairs``: one row for each."""
+        involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+        asked = kinds.join(involved, "doc").select(F.col("doc").alias("kind"), "row.doc", "row.tag")
+        texts = source.alias("s").join(asked.alias("k"), same_document("s", "k")).select(F.col("kind").alias("doc"), "text").mapInArrow(make, schema)
+        columns = [c for c in texts.columns if c != "doc"]
+        return scratch.keep(texts.groupBy("doc").agg(*(F.first(c).alias(c) for c in columns)), name)
+
+    def windowed(pairs: DataFrame, shapes: DataFrame, name: str) -> DataFrame:
+        """Pairs ``(a, b)`` that the windows of their ``shapes(doc, n, classes)`` allow."""
+        a, b = (shapes.select(F.col("doc"), F.col("n").alias(f"n_{x}"), F.col("classes").alias(f"classes_{x}")) for x in "ab")
+        met = met_by_key(pairs, _with_copies(pairs, b, f"{name}-right", scratch), "b", "asked", ("a",)).join(a.withColumnRenamed("doc", "a"), "a")
+        near = scratch.keep(met.select("a", "b", "n_a", "n_b", "classes_a", "classes_b").mapInArrow(_inside_windows(like), "a bigint, b bigint"), f"{name}-near")
+        scratch.drop(f"{name}-right")
+        return near
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs ``(a, b)`` whose whole sets are within the threshold."""
         pairs = scratch.keep(pairs, f"{name}-pairs")
-        involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        asked = kinds.join(involved, "doc").select(F.col("doc").alias("kind"), "row.doc", "row.tag")
-        texts = source.alias("s").join(asked.alias("k"), same_document("s", "k")).select(F.col("kind").alias("doc"), "text")
-        sets = texts.mapInArrow(_sets(like.words, keyed), "doc bigint, shingles array<bigint>").groupBy("doc").agg(F.first("shingles").alias("shingles"))
-        sets = scratch.keep(sets, f"{name}-sets")
-        right = _with_copies(pairs, sets.select("doc", F.col("shingles").alias("y")), f"{name}-right", scratch)
+        fine = made_of(pairs, _fine_windows(like.words, keyed), "doc bigint, n bigint, classes binary", f"{name}-fine")
+        pairs = windowed(pairs, fine, f"{name}-fine")
+        scratch.drop(f"{name}-fine", f"{name}-pairs")
+        sets = made_of(pairs, _sets(like.words, keyed), "doc bigint, shingles array<bigint>", f"{name}-sets")
+        right = _with_copies(pairs, sets.withColumnRenamed("shingles", "y"), f"{name}-right", scratch)
         met = met_by_key(pairs, right, "b", "asked", ("a",)).join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         both = F.size(F.array_intersect("x", "y")).cast("bigint")
         union = F.size("x") + F.size("y") - both
-        return met.where(both * like.den >= union * like.num).select("a", "b")
+        linked = scratch.keep(met.where(both * like.den >= union * like.num).select("a", "b"), f"{name}-linked")
+        scratch.drop(*(f"{name}-{x}" for x in ("fine-near", "sets", "right")))
+        return linked
 
     def seated(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs.where("a <> b").distinct(), f"{name}-asked")
-        a = shapes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("classes").alias("classes_a"))
-        b = _with_copies(pairs, shapes.select("doc", F.col("n").alias("n_b"), F.col("classes").alias("classes_b")), f"{name}-seats", scratch)
-        met = met_by_key(pairs, b, "b", "asked", ("a",)).join(a, "a").select("a", "b", "n_a", "n_b", "classes_a", "classes_b")
-        return verified(met.mapInArrow(_inside_windows(like), "a bigint, b bigint").distinct(), name)
+        return verified(windowed(pairs, shapes, name), name)
 
     def labelled(components: DataFrame) -> DataFrame:
         """Members of regions that still hold several components."""
@@ -256,14 +291,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return named.join(mixed, "pivot")
 
     links = scratch.keep(seated(members.select(F.col("doc").alias("a"), F.col("seat").alias("b")), "first"), "links-0")
-    scratch.drop(*(f"first-{x}" for x in ("asked", "seats", "pairs", "sets", "right")))
+    scratch.drop()
     components = connected_components(links, scratch, "components-0")
     # recursion: another seat for the regions that are not yet one component, from the component that is last in order
     left = labelled(components)
     seats = left.where("component = high").groupBy("pivot").agg(F.min("doc").alias("seat"))
     more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")), "second")
     links = scratch.keep(links.unionByName(more_links), "links-1")
-    scratch.drop("links-0", *(f"second-{x}" for x in ("asked", "seats", "pairs", "sets", "right")))
+    scratch.drop("links-0")
     components = connected_components(links, scratch, "components-1")
     left = labelled(components).join(shapes, "doc")
     blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
@@ -283,7 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     pairs = dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like), "a bigint, b bigint").distinct()
     links = scratch.keep(links.unionByName(verified(pairs, "third")), "links-2")
-    scratch.drop("links-1", "members", *(f"third-{x}" for x in ("pairs", "sets", "right")))
+    scratch.drop("links-1", "members")
     components = connected_components(links, scratch, "components-2")
     joined = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", "id", F.coalesce("component", "doc").alias("component"))
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
