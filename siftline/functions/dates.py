@@ -53,11 +53,11 @@ def absolute(raw: Column) -> Column:
 
 
 def relative(raw: Column, now: Column) -> Column:
-    """``[Posted] N units ago`` before the clock; a month is 30 days, a year 365; N must be positive (DAT-05)."""
-    value = F.regexp_replace(trim(raw), r"(?i)^posted\s+", "")
-    pattern = r"(?i)^(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago$"
-    n = F.regexp_extract(value, pattern, 1).try_cast("bigint")
-    unit = F.lower(F.regexp_extract(value, pattern, 2))
+    """``[... posted] N units ago`` before the clock; a month is 30 days, a year 365; N must be positive (DAT-05)."""
+    words = F.split(F.trim(F.substring_index(F.regexp_replace(F.lower(trim(raw)), r"\s+", " "), "posted", -1)), " ")
+    shaped = (F.size(words) == 3) & (F.get(words, F.lit(2)) == "ago") & F.get(words, F.lit(0)).rlike(r"^\d+$")
+    n = F.when(shaped, F.get(words, F.lit(0))).try_cast("bigint")
+    unit = F.regexp_replace(F.get(words, F.lit(1)), "s$", "")
     seconds = F.lit(None).cast("bigint")
     for name, size in UNIT_SECONDS.items():
         seconds = F.when(unit == name, n * size).otherwise(seconds)
@@ -76,22 +76,24 @@ def month_key(raw: Column) -> Column:
 
 def ukrainian(raw: Column, now: Column) -> Column:
     """``8 квітня [2026]``; without a year the clock's, or the one before if that is over a day ahead (DAT-07)."""
-    pattern = r"^(\d{1,2})\s+([^\d\s]+?)(?:\s+(\d{4}))?$"
-    value = trim(raw)
-    day = F.regexp_extract(value, pattern, 1).try_cast("int")
-    key = month_key(F.regexp_extract(value, pattern, 2))
+    words = F.split(trim(raw), r"\s+")
+    first, year = F.get(words, F.lit(0)), F.get(words, F.lit(2))
+    shaped = F.size(words).between(2, 3) & first.rlike(r"^\d{1,2}$") & ~F.get(words, F.lit(1)).rlike(r"\d") & (year.isNull() | year.rlike(r"^\d{4}$"))
+    day = F.when(shaped, first).try_cast("int")
+    key = month_key(F.get(words, F.lit(1)))
     month = F.lit(None).cast("int")
     for i, name in enumerate(MONTHS_UK, 1):
         month = F.when(key == name, i).otherwise(month)
-    given = F.regexp_extract(value, pattern, 3).try_cast("int")
+    given = F.when(shaped, year).try_cast("int")
 
-    def at(year: Column) -> Column:
+    def at(year: Column, month: Column, day: Column) -> Column:
         # a day beyond the month's end runs on into the next month
-        first = F.make_date(year, month, F.lit(1))
-        return F.when(day.between(1, 31), F.date_add(first, day - 1).cast("timestamp"))
+        return F.when(day.between(1, 31), F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
 
-    own = at(F.year(now))
-    return F.when(given.isNotNull(), at(given)).when(own > now + F.expr("INTERVAL 24 HOURS"), at(F.year(now) - 1)).otherwise(own)
+    own = at(F.year(now), month, day)
+    before = at(F.year(own) - 1, F.month(own), F.dayofmonth(own))
+    ahead = own.cast("timestamp") > now + F.expr("INTERVAL 24 HOURS")
+    return F.when(given.isNotNull(), at(given, month, day)).when(ahead, before).otherwise(own).cast("timestamp")
 
 
 def first_ukrainian(listing: Column, detail: Column, now: Column) -> Column:

@@ -22,29 +22,42 @@ _NULLABLE = ("apply_url", "posted_at", "is_remote", "position", "user_id")
 
 
 class Snapshots:
-    """Tables in numbered folders with a pointer to the current one."""
+    """Tables in numbered folders; the highest one that was written to its end is the current one.
+
+    Spark marks a finished write, so a run that stops between leaves the table as it was.  The version before the
+    current one stays for readers that still hold it; older ones are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/current")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema("value string").text(f"{self.root}/{name}/current") if there else None
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[int]:
+        path, files = self._folder(name)
+        if not files.exists(path):
+            return []
+        found = [s.getPath().getName() for s in files.listStatus(path)]
+        numbers = [int(x[1:]) for x in found if x[:1] == "v" and x[1:].isdigit()]
+        return sorted(n for n in numbers if files.exists(self._folder(f"{name}/v{n}/_SUCCESS")[0]))
 
     def version(self, name: str) -> int:
-        pointer = self._pointer(name)
-        return int(pointer.first()[0]) if pointer is not None else 0
+        return max(self._versions(name), default=0)
 
     def read(self, name: str, ddl: str) -> DataFrame:
         version = self.version(name)
         return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}/v{version}") if version else self.spark.createDataFrame([], ddl)
 
     def write(self, name: str, table: DataFrame, *partition_by: str) -> None:
-        version = self.version(name) + 1
+        versions = self._versions(name)
+        version = max(versions, default=0) + 1
         writer = table.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{version}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+        for old in versions[:-1]:
+            path, files = self._folder(f"{name}/v{old}")
+            files.delete(path, True)
 
 
 def _field(side: str, name: str) -> Column:

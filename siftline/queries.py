@@ -16,6 +16,7 @@ from .functions import dates, identity, lists, pay, places, text
 from .operators import listing, stages, store
 from .operators.listing import Page
 from .operators.stages import BroadRules, KeywordRules
+from .sources import boards
 
 CLOCK = datetime(2024, 1, 31)
 SYNONYMS = ("the", "que")
@@ -418,12 +419,20 @@ def watermark_upsert(spark, sf_dir):
     return store.replaced(old, new, *keys)
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')")
+@query("SELECT doc_id, source FROM documents")
 def union_sources(spark, sf_dir):
-    from functools import reduce
+    """All documents as two sources, beside a third that fails."""
+    given = {"id": F.col("doc_id"), "source": F.col("source")}
+    fields = [f.split() for f in schema.JOB_FIELDS.split(", ")]
+    docs = table(spark, sf_dir, "documents").select(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields))
+    even = F.pmod(F.length("source"), F.lit(2)) == 0
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return reduce(DataFrame.unionByName, [docs.where(F.col("source") == s) for s in ("src1", "src2", "src3")])
+    def broken():
+        raise OSError("this source can't be read")
+
+    found = boards.union(spark, {"even": lambda: docs.where(even), "odd": lambda: docs.where(~F.coalesce(even, F.lit(False))), "broken": broken})
+    assert list(found.errors) == ["broken"]
+    return found.jobs.select(F.col("id").cast("bigint").alias("doc_id"), "source")
 
 
 # ---- scalar rules --------------------------------------------------------------------------------------------------
@@ -473,10 +482,10 @@ _TITLES = "CASE doc_id % 6 WHEN 0 THEN 'Front-End lead' WHEN 1 THEN 'Senior Back
 
 
 def _titled(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_TITLES).alias("title"), F.substring("text", 1, 100).alias("body"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("Back End"), F.lit("Віддалено"))).alias("tags"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_TITLES).alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("Back End"), F.lit("Віддалено"))).alias("tags"))
 
 
-_PARTS = f"lower(trim({_TITLES})) || ' ' || lower(trim(substring(text, 1, 100))) || ' ' || CASE WHEN doc_id % 7 = 0 THEN 'back end віддалено ' ELSE '' END"
+_PARTS = f"lower(trim({_TITLES})) || ' ' || lower(trim(text)) || ' ' || CASE WHEN doc_id % 7 = 0 THEN 'back end віддалено ' ELSE '' END"
 
 
 @query(

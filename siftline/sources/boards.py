@@ -42,7 +42,10 @@ def jobs(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     staged = rows.select(*[named.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in JOB_FIELDS.split(", ")])
     tags = lists.strings(F.col("tags"))
     filled = staged.withColumns({"tags": tags, "position": text.position(F.col("title"), F.col("description"), tags), "stage1_status": F.lit(None).cast("string")})
-    return filled.withColumn("id", required(identity.assigned_id(F.col("source"), F.col("url"), F.col("apply_url")), f"{source}: no listing URL"))
+    made = filled.withColumn("id", required(identity.assigned_id(F.col("source"), F.col("url"), F.col("apply_url")), f"{source}: no listing URL"))
+    # a filter reads the required fields whatever columns are asked for, so that a bad item always fails the read
+    read = F.length(F.concat_ws("", "id", "title", "company")) >= 0
+    return made.where(read)
 
 
 def first_of_each(rows: DataFrame, url: Column, *order: Column) -> DataFrame:
@@ -82,13 +85,13 @@ def working_nomads(pages: DataFrame, countries: places.Countries) -> DataFrame:
     return jobs(
         rows,
         "working_nomads",
-        title=required(text.trim(F.col("title")), "working_nomads: no title"),
-        company=required(text.trim(F.col("company")), "working_nomads: no company"),
+        title=text.text(text.trim(F.col("title"))),
+        company=text.text(text.trim(F.col("company"))),
         url=identity.canonical_url(F.concat(F.lit("https://www.workingnomads.com/jobs/"), required(text.trim(F.col("slug")), "working_nomads: no slug"))),
         apply_url=F.nullif(apply, F.lit("")),
         description=body,
         posted_at=posted,
-        is_remote=text.remote(F.col("title"), body, tags, F.col("location_base"), F.array_join(lists.strings(F.col("locations")), ", ")),
+        is_remote=text.remote(F.col("title"), body, tags),
         country_code=countries.first(F.col("locations"), F.array("location_base")),
         salary_raw=pay.joined(F.col("salary_range"), F.col("salary_range_short")),
         tags=tags,
@@ -99,8 +102,9 @@ def himalayas(pages: DataFrame, countries: places.Countries) -> DataFrame:
     """Jobs of paged answers up to the first empty or short page; a missing limit is 20 (SRC-03 to SRC-06)."""
     answer = F.from_json("body", _HIMALAYAS, {"mode": "FAILFAST"})
     parsed = pages.select("page", answer.alias("a")).withColumn("n", F.size("a.jobs")).withColumn("most", F.when(F.col("a.limit") > 0, F.col("a.limit")).otherwise(20))
-    short = F.min(F.when((F.col("n") < F.col("most")) | (F.col("a.offset") + F.col("n") >= F.col("a.totalCount")), F.col("page"))).over(Window.partitionBy())
-    read = parsed.withColumn("last", short).where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    ended = (F.col("n") < F.col("most")) | ((F.col("a.totalCount") > 0) & (F.col("a.offset") + F.col("n") >= F.col("a.totalCount")))
+    last = parsed.where(ended).agg(F.min("page").alias("last"), F.lit(1).alias("one"))  # one row
+    read = parsed.withColumn("one", F.lit(1)).join(F.broadcast(last), "one", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
     rows = read.select(F.explode("a.jobs").alias("j")).select("j.*")
     tags = lists.merged(F.col("categories"), F.col("seniority"), F.col("parentCategories"))
     body = markup.plain(F.col("description"))
@@ -131,8 +135,10 @@ def feed(pages: DataFrame) -> DataFrame:
 
 
 def feed_token(home: Column) -> Column:
-    """The nonce in a home page's script (SRC-11)."""
-    return F.regexp_extract(home, r"""["']?nonce["']?\s*[:=]\s*["']([A-Za-z0-9]+)["']""", 1)
+    """The nonce in the feed's own object of a home page's script; a page without it is an error (SRC-11)."""
+    own = F.substring_index(F.substring_index(F.regexp_replace(home, r"var\s+ERJ\s*=\s*\{", "\u0000"), "\u0000", -1), "}", 1)
+    found = F.regexp_extract(own, r"""nonce["']?\s*:\s*["']([^"']+)["']""", 1)
+    return F.when(home.rlike(r"var\s+ERJ\s*=\s*\{") & (found != ""), found).otherwise(F.raise_error(F.lit("no feed token")).cast("string"))
 
 
 def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Countries, now: datetime) -> DataFrame:
@@ -148,7 +154,7 @@ def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Coun
         apply_url=F.col("detail.apply_url"),
         description=body,
         posted_at=dates.first_posted(F.col("card.posted"), F.col("detail.posted"), F.lit(now)),
-        is_remote=text.remote(title, body, tags, F.col("card.location"), F.col("detail.location")),
+        is_remote=text.remote(title, body, tags),
         country_code=countries.first(F.array("card.location"), F.array("detail.location")),
         salary_raw=pay.joined(F.col("card.compensation"), F.col("detail.compensation"), prefer_first=False),
         tags=tags,
@@ -170,7 +176,7 @@ def dou(pages: DataFrame, more: DataFrame | None, details: DataFrame, countries:
         url=F.col("_url"),
         description=body,
         posted_at=dates.first_ukrainian(F.col("card.posted"), F.col("detail.posted"), F.lit(now)),
-        is_remote=text.remote(title, body, tags, F.col("card.location"), F.col("detail.location")),
+        is_remote=text.remote(title, body, tags),
         country_code=countries.first(F.array("card.location"), F.array("detail.location")),
         salary_raw=text.text(F.col("detail.compensation")),
         tags=tags,
@@ -193,6 +199,7 @@ def posting_country(countries: places.Countries, *places_json: Column) -> Column
 def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries) -> DataFrame:
     """Listing pages with detail pages' postings; no title or company fails the read (SRC-15)."""
     rows = detailed(cards(pages, markup.djinni_cards), details, markup.posting, markup.POSTING)
+    rows = rows.where(F.when(F.col("detail").isNotNull(), True).otherwise(F.raise_error(F.lit("djinni: a card without a posting")).cast("boolean")))
     title, company = _pick("detail.title", "card.title"), _pick("detail.company", "card.company")
     body = markup.reader(markup.body_text, "string")(text.text(F.col("detail.description")))
     tags = lists.merged(F.array("detail.category"), F.col("detail.skills"), F.col("card.tags"))

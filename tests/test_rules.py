@@ -91,3 +91,16 @@ def test_markup(spark):
     assert markup.button_or_script(page, "https://b.io/job/1") == "https://b.io/go"
     assert value(spark, markup.plain(F.lit("<p>a&amp;b</p><p>c</p>"))) == "a&b c"
     assert markup.body_text("<p>a</p><p>b</p>") == "ab"
+
+
+def test_dates_that_need_care(spark):
+    now = F.lit(datetime(2024, 1, 10, 12))
+    row = spark.range(1).select(
+        dates.relative(F.lit("Job posted 2 days ago"), now).alias("anywhere"),
+        dates.relative(F.lit("3 Weeks ago"), now).alias("bare"),
+        dates.relative(F.lit("ago 2 days"), now).alias("none"),
+        dates.ukrainian(F.lit("30 лютого"), now).alias("over"),
+        dates.ukrainian(F.lit("8 квітня 2026"), now).alias("given"),
+        dates.ukrainian(F.lit("8 квітня 26"), now).alias("short"),
+    ).first()
+    assert [x and x.isoformat()[:10] for x in row] == ["2024-01-08", "2023-12-20", None, "2023-03-01", "2026-04-08", None]
