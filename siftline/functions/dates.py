@@ -81,9 +81,7 @@ def ukrainian(raw: Column, now: Column) -> Column:
     shaped = F.size(words).between(2, 3) & first.rlike(r"^\d{1,2}$") & ~F.get(words, F.lit(1)).rlike(r"\d") & (year.isNull() | year.rlike(r"^\d{4}$"))
     day = F.when(shaped, first).try_cast("int")
     key = month_key(F.get(words, F.lit(1)))
-    month = F.lit(None).cast("int")
-    for i, name in enumerate(MONTHS_UK, 1):
-        month = F.when(key == name, i).otherwise(month)
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS_UK)), key), F.lit(0)).cast("int")
     given = F.when(shaped, year).try_cast("int")
 
     def at(year: Column, month: Column, day: Column) -> Column:
