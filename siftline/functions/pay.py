@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text, trim
+from .text import once, text, trim
 
 # Names of pay periods.
 UNITS = {"MONTH": "month", "MONTHLY": "month", "YEAR": "year", "YEARLY": "year", "HOUR": "hour", "HOURLY": "hour", "WEEK": "week", "WEEKLY": "week"}
@@ -18,6 +18,10 @@ def shortest(number: Column) -> Column:
 
 def general(number: Column) -> Column:
     """Shortest form; from a million up and below 1e-4 with an exponent of two digits at least, as in ``1e+06`` (PRJ-27)."""
+    return once(number, _general)
+
+
+def _general(number: Column) -> Column:
     size = F.abs(number)
     whole = F.regexp_extract(shortest(size), r"^(\d+)", 1)
     digits = F.regexp_replace(F.concat(whole, F.regexp_extract(shortest(size), r"\.(\d+)$", 1)), "0+$", "")

@@ -5,6 +5,7 @@ White space is Unicode's: Spark's ``trim`` strips only U+0020.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -32,6 +33,14 @@ def blank_to_null(column: Column) -> Column:
     return F.nullif(trim(column), F.lit(""))
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` computed once, however often ``make`` refers to it.
+
+    A filter pushed below a projection repeats every expression that it refers to; nested rules would outgrow compiled code.
+    """
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def collapse(column: Column) -> Column:
     """Single spaces for runs of white space (PRJ-06)."""
     return trim(F.regexp_replace(text(column), r"(?U)\s+", " "))

@@ -33,7 +33,7 @@ _HIMALAYAS = (
 
 def required(value: Column, what: str) -> Column:
     """A value that must not be blank or null: a bad item fails the read."""
-    return F.when(text.trim(value) != "", value).otherwise(F.raise_error(F.lit(what)).cast("string"))
+    return text.once(value, lambda v: F.when(text.trim(v) != "", v).otherwise(F.raise_error(F.lit(what)).cast("string")))
 
 
 def jobs(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
@@ -42,7 +42,7 @@ def jobs(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     staged = rows.select(*[named.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in JOB_FIELDS.split(", ")])
     tags = lists.strings(F.col("tags"))
     filled = staged.withColumns({"tags": tags, "position": text.position(F.col("title"), F.col("description"), tags), "stage1_status": F.lit(None).cast("string")})
-    made = filled.withColumn("id", required(identity.assigned_id(F.col("source"), F.col("url"), F.col("apply_url")), f"{source}: no listing URL"))
+    made = filled.withColumn("id", required(text.once(F.col("url"), lambda u: identity.assigned_id(F.col("source"), u, F.col("apply_url"))), f"{source}: no listing URL"))
     # a filter reads the required fields whatever columns are asked for, so that a bad item always fails the read
     read = F.length(F.concat_ws("", "id", "title", "company")) >= 0
     return made.where(read)
