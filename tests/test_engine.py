@@ -146,3 +146,19 @@ def test_failed_sources_are_isolated(spark):
     assert found.jobs.count() == 2 and found.errors == {"b": "down"}
     with pytest.raises(RuntimeError):
         boards.union(spark, {"b": broken})
+
+
+@pytest.mark.parametrize("board", ["working_nomads", "himalayas", "europe_remotely", "dou", "djinni", "builtin"])
+def test_board_queries_agree_with_their_sql(spark, board):
+    import duckdb
+
+    from siftline import board_queries  # noqa: F401
+    from siftline.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    found = QUERIES[f"board_{board}"](spark, folder)
+    told = duckdb.connect()
+    told.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    names = ", ".join(found.columns)
+    wanted = told.execute(f"SELECT {names} FROM ({ORACLE_SQL[f'board_{board}']})").fetchall()
+    assert wanted and sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
