@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols
-from .components import connected_components
+from .components import connected_components, joined_components
 from .repeats import clustered, documents, same_document
 from .work import HOT_KEYS, Scratch, met_by_key
 
@@ -284,10 +284,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = scratch.keep(pairs.where("a <> b").distinct(), f"{name}-asked")
         return verified(windowed(pairs, shapes, name), name)
 
-    def grown(components: DataFrame, more: DataFrame) -> DataFrame:
-        """Links that join the members of ``components``, which are stars already, and those of ``more``."""
-        return components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-
     def labelled(components: DataFrame) -> DataFrame:
         """Members of regions that still hold several components."""
         named = members.join(components, members.doc == components.node, "left").select("pivot", "doc", F.coalesce("component", "doc").alias("component"))
@@ -298,11 +294,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.drop()
     components = connected_components(links, scratch, "components-0")
     # recursion: another seat for the regions that are not yet one component, from the component that is last in order
-    left = labelled(components)
+    left = scratch.keep(labelled(components), "left")
     seats = left.where("component = high").groupBy("pivot").agg(F.min("doc").alias("seat"))
     more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")), "second")
-    components = connected_components(grown(components, more_links), scratch, "components-1")
-    scratch.drop("first-linked", "second-linked")
+    components = joined_components(components, more_links, scratch, "components-1")
+    scratch.drop("left", "first-linked", "second-linked")
     left = labelled(components).join(shapes, "doc")
     blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
@@ -322,7 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like), "a bigint, b bigint").distinct()
     more_links = verified(pairs, "third")
     scratch.drop("members")
-    components = connected_components(grown(components, more_links), scratch, "components-2")
+    components = joined_components(components, more_links, scratch, "components-2")
     joined = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", "id", F.coalesce("component", "doc").alias("component"))
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     named = joined.join(least, "component").select("n", "f1", "f2", "least")
