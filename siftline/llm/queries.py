@@ -6,15 +6,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroid_clusters as centroids
 from . import chat_format as chat
 from . import decontamination as leaks
 from . import embedding_dedup as embedding
 from . import jaccard_join as jaccard
 from . import language_id as language
+from . import license_scan as licenses
 from . import line_quality as quality
 from . import substring_dedup as substring
 from . import suffix_dedup as suffix
 from . import toxicity as toxic
+from . import vector_codes as codes
 from . import word_bpe as bpe
 from .work import sampled_labels
 
@@ -107,6 +110,36 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.rows.select(F.col("vec").alias("vec_id"), "code", "error", "label_error", F.lit(found.codebooks_sha256).alias("codebooks_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.rows.select(F.col("vec").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["word"])
+
+    def labels(places: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -118,8 +151,70 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_quality": op9_line_quality,
     "op10_word_bpe": op10_word_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_license_scan": op13_license_scan,
 }
 
+_USABLE = "embedding IS NOT NULL AND len(embedding) {} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+#: Division of integers that rounds down, below zero too.
+_FLOOR = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _codes_sql() -> str:
+    """Each round's assignment by distances to all entries, then the floors of the means."""
+
+    def assigned(book: str) -> str:
+        return f"""SELECT vec_id, part, entry, d FROM (
+            SELECT vec_id, part, entry, d, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) AS place FROM (
+                SELECT v.vec_id, v.part, b.entry, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS d
+                FROM v JOIN {book} b ON b.part = v.part AND b.i = v.i GROUP BY 1, 2, 3)) WHERE place = 1"""
+
+    steps = []
+    for n in range(codes.ROUNDS):
+        steps.append(f"a{n} AS MATERIALIZED ({assigned(f'b{n}')})")
+        mean = f"SELECT a.part, a.entry, v.i, {_FLOOR} AS x FROM a{n} a JOIN v ON v.vec_id = a.vec_id AND v.part = a.part GROUP BY 1, 2, 3"
+        steps.append(f"b{n + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.i, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN ({mean}) m ON m.part = b.part AND m.entry = b.entry AND m.i = b.i)")
+    last = f"b{codes.ROUNDS}"
+    return f"""
+        WITH kept AS (SELECT vec_id, label, {_INTEGERS} AS ints FROM embeddings WHERE {_USABLE.format("> 0")}),
+        wide AS (SELECT vec_id, len(ints) // {codes.PARTS} AS n, unnest(ints) AS x, unnest(range(len(ints))) AS pos FROM kept),
+        v AS MATERIALIZED (SELECT vec_id, pos // n AS part, pos % n AS i, x FROM wide),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {codes.ENTRIES}),
+        b0 AS MATERIALIZED (SELECT part, entry, i, x FROM v JOIN seeds USING (vec_id)),
+        {", ".join(steps)},
+        final AS MATERIALIZED ({assigned(last)}),
+        coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM final GROUP BY 1)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) FROM {last}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
+def _clusters_sql() -> str:
+    def assigned(at: str) -> str:
+        return f"""SELECT vec_id, cluster, d FROM (
+            SELECT vec_id, cluster, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS place FROM (
+                SELECT v.vec_id, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN {at} c USING (i) GROUP BY 1, 2)) WHERE place = 1"""
+
+    steps = []
+    for n in range(centroids.ROUNDS):
+        steps.append(f"a{n} AS MATERIALIZED ({assigned(f'c{n}')})")
+        mean = f"SELECT a.cluster, v.i, {_FLOOR} AS x FROM a{n} a JOIN v USING (vec_id) GROUP BY 1, 2"
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.cluster, c.i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN ({mean}) m ON m.cluster = c.cluster AND m.i = c.i)")
+    last = f"c{centroids.ROUNDS}"
+    return f"""
+        WITH kept AS (SELECT vec_id, {_INTEGERS} AS ints FROM embeddings WHERE {_USABLE.format("= 64")}),
+        v AS MATERIALIZED (SELECT vec_id, unnest(ints) AS x, unnest(range(len(ints))) AS i FROM kept),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY h) - 1 AS cluster FROM (SELECT vec_id, sha256('{centroids.SEED}:' || vec_id) AS h FROM kept) ORDER BY h LIMIT {centroids.CLUSTERS}),
+        c0 AS MATERIALIZED (SELECT cluster, i, x FROM v JOIN seeds USING (vec_id)),
+        {", ".join(steps)},
+        final AS MATERIALIZED ({assigned(last)}),
+        hashes AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM {last} GROUP BY 1)
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM final JOIN hashes USING (cluster)"""
+
+
 ORACLE_SQL = {
     "op2_chat_format": f"""
         WITH turns AS (
@@ -136,4 +231,7 @@ ORACLE_SQL = {
                    + length(regexp_replace(text, '<(\\|+)', '<|\\1', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op11_vector_codes": _codes_sql(),
+    "op12_centroid_clusters": _clusters_sql(),
+    "op13_license_scan": licenses.scan_sql(),
 }
