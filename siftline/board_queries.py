@@ -1,6 +1,8 @@
 """Registered queries of the board readers: every document is a listing on captured pages of each board.
 
-The captures are made from the whole table, fifty listings to a page, so that the SQL can say what the reader must find.
+The captures are made from the whole table, fifty listings to a page and two pages to a read, so that the SQL can say what
+the reader must find.  After the end of a read come pages with items that would fail it, so that a rule that doesn't end
+the read is noticed.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import places
 from .queries import CLOCK, query, table
-from .sources import boards
+from .sources import boards, paging
 
 _PER_PAGE = 50
 _WHERE = "CASE lang WHEN 'de' THEN 'Berlin, Germany' WHEN 'fr' THEN 'France' ELSE 'Worldwide' END"
@@ -47,8 +49,21 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumns({"title": _text("Job ", F.col("doc_id")), "company": company, "place": F.expr(_WHERE), "page": F.floor(F.col("doc_id") / _PER_PAGE).cast("int")})
 
 
+_READ = "floor(page / 2)"
+#: Numbers pages that come after all others.
+_AFTER = 10_000_000
+
+
 def _paged(cards: DataFrame, html: Column, url: str) -> DataFrame:
-    return cards.groupBy("page").agg(F.array_join(F.collect_list(html), "\n").alias("body")).select("page", F.lit(url).alias("url"), "body")
+    return cards.groupBy("page").agg(F.array_join(F.collect_list(html), "\n").alias("body")).select(F.expr(_READ).alias("read"), "page", F.lit(url).alias("url"), "body")
+
+
+def _followed(pages: DataFrame, *bodies: str, pages_before: int = 1) -> DataFrame:
+    """Pages, and further ones with these bodies after the last page of each read of at least so many."""
+    long = pages.groupBy("read").agg(F.first("url").alias("url"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages_before)
+    for k, body in enumerate(bodies):
+        pages = pages.unionByName(long.select("read", F.lit(_AFTER + k).alias("page"), "url", F.lit(body).alias("body")))
+    return pages
 
 
 def _linked(block: Column) -> Column:
@@ -76,7 +91,7 @@ _DAY = "CAST(doc_id % 28 + 1 AS INTEGER)"
     )
 )
 def board_working_nomads(spark, sf_dir):
-    """Expired hits are left out by the board's own rule."""
+    """Expired hits are left out by the board's own rule; even reads end at their total, odd ones with the second page."""
     n = F.col("doc_id")
     hit = F.struct(
         n.alias("id"),
@@ -96,21 +111,25 @@ def board_working_nomads(spark, sf_dir):
         F.when(n % 4 == 0, _text("$", n)).otherwise("").alias("salary_range"),
         F.lit("$9").alias("salary_range_short"),
     )
-    hits = _listings(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(hit.alias("_source"))).alias("hits"))
-    pages = hits.select("page", F.lit("").alias("url"), F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("body"))
-    return _shown(boards.working_nomads(pages, _countries()))
+    hits = _listings(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(hit.alias("_source"))).alias("hits")).withColumn("read", F.expr(_READ))
+    whole = hits.groupBy("read").agg(F.sum(F.size("hits")).alias("value"))
+    total = F.when(F.col("read") % 2 == 0, F.col("value")).otherwise(1_000_000)
+    body = F.to_json(F.struct(F.struct(F.struct(total.alias("value")).alias("total"), "hits").alias("hits")))
+    pages = hits.join(whole, "read").select("read", "page", F.lit("").alias("url"), body.alias("body"))
+    return _shown(boards.working_nomads(_followed(pages, '{"hits": {"total": {"value": 9}, "hits": [{"_source": {"id": 1}}]}}', pages_before=2), _countries()))
+
+
+_HIMALAYAS_SQL = _sql(
+    "himalayas",
+    "'https://h.example/w/' || doc_id",
+    "make_timestamp(CAST((1700000000 + doc_id * 60) * 1000000 AS BIGINT))",
+    "CASE doc_id % 3 WHEN 0 THEN (1000 + doc_id % 900) || '-' || (2000 + doc_id % 900) || ' EUR' WHEN 1 THEN (1000 + doc_id % 900) || '+ EUR' ELSE '' END",
+    "lang || ',Senior'",
+)
 
 
-@query(
-    _sql(
-        "himalayas",
-        "'https://h.example/w/' || doc_id",
-        "make_timestamp(CAST((1700000000 + doc_id * 60) * 1000000 AS BIGINT))",
-        "CASE doc_id % 3 WHEN 0 THEN (1000 + doc_id % 900) || '-' || (2000 + doc_id % 900) || ' EUR' WHEN 1 THEN (1000 + doc_id % 900) || '+ EUR' ELSE '' END",
-        "lang || ',Senior'",
-    )
-)
-def board_himalayas(spark, sf_dir):
+def _himalayas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers: ``read``, ``page``, ``url``, ``jobs``."""
     n = F.col("doc_id")
     link = _text("https://h.example/w/", n, "/?ref=x")
     job = F.struct(
@@ -128,8 +147,31 @@ def board_himalayas(spark, sf_dir):
         F.array(F.lit(" Senior"), F.upper("lang")).alias("seniority"),
     )
     listed = _listings(spark, sf_dir).groupBy("page").agg(F.collect_list(job).alias("jobs"))
-    body = F.to_json(F.struct((F.col("page") * _PER_PAGE).alias("offset"), F.lit(1).alias("limit"), "jobs"))
-    return _shown(boards.himalayas(listed.select("page", F.lit("").alias("url"), body.alias("body")), _countries()))
+    return listed.select(F.expr(_READ).alias("read"), "page", F.lit("https://h.example/jobs").alias("url"), "jobs")
+
+
+_NO_TITLE = '{"jobs": [{"guid": "https://h.example/none"}], "offset": 0, "limit": 1}'
+
+
+@query(_HIMALAYAS_SQL)
+def board_himalayas(spark, sf_dir):
+    """Browsed: some reads end where they reach the total, the others with an empty page."""
+    pages = _himalayas(spark, sf_dir)
+    whole = pages.groupBy("read").agg(F.sum(F.size("jobs")).alias("total"), F.min("page").alias("first_page"), F.min_by(F.size("jobs"), "page").alias("ahead"))
+    offset = F.when(F.col("page") > F.col("first_page"), F.col("ahead")).otherwise(0)
+    total = F.when(F.col("read") % 2 == 0, F.col("total")).otherwise(0)
+    told = pages.join(whole, "read").withColumn("body", F.to_json(F.struct(offset.alias("offset"), F.size("jobs").alias("limit"), total.alias("totalCount"), "jobs")))
+    return _shown(boards.himalayas(_followed(told.select("read", "page", "url", "body"), '{"jobs": [], "limit": 20}', _NO_TITLE), _countries()))
+
+
+@query(_HIMALAYAS_SQL)
+def board_himalayas_search(spark, sf_dir):
+    """Searched: pages count from 1, and a read ends with page ``ceil(total / limit)``, however full its pages are."""
+    pages = _himalayas(spark, sf_dir)
+    whole = pages.groupBy("read").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first_page"))
+    told = pages.join(whole, "read").withColumn("page", (F.col("page") - F.col("first_page") + 1).cast("int"))
+    body = F.to_json(F.struct(F.lit(1000).alias("limit"), (F.col("n") * 1000 - 999).alias("totalCount"), "jobs"))
+    return _shown(boards.himalayas(_followed(told.select("read", "page", "url", body.alias("body")), _NO_TITLE), _countries(), search=True))
 
 
 @query(
@@ -143,15 +185,17 @@ def board_himalayas(spark, sf_dir):
     )
 )
 def board_europe_remotely(spark, sf_dir):
+    """Odd reads end where there is no more, even ones with their second page."""
     n, rows = F.col("doc_id"), _listings(spark, sf_dir)
     card = _text(
         '<div class="job-card"><h2 class="job-title"><a href="/job/', n, '/?x=1">', F.col("title"), '</a></h2><div class="company-name">', F.col("company"), '</div><div class="job-time">Posted ', n % 9 + 1,
         ' days ago</div><div class="meta-item meta-location">', F.col("place"), '</div><div class="meta-item">€', n, "</div></div>",
     )
     listed = _paged(rows, card, "https://er.example/jobs/")
-    wrapped = F.struct(F.lit(True).alias("success"), F.struct(F.lit(False).alias("has_more"), F.col("body").alias("html")).alias("data"))
-    bare = F.struct(F.col("body").alias("html"))
+    wrapped = F.struct(F.lit(True).alias("success"), F.struct(F.lit(True).alias("has_more"), F.col("body").alias("html")).alias("data"))
+    bare = F.struct((F.col("read") % 2 == 0).alias("has_more"), F.col("body").alias("html"))
     pages = listed.withColumn("body", F.when(F.col("page") % 2 == 0, F.to_json(wrapped)).otherwise(F.to_json(bare)))
+    pages = _followed(pages, '{"html": "<div class=job-card></div>"}', pages_before=2)
     own = F.when(n % 2 == 0, _text('<li class="date-posted">January ', n % 28 + 1, ', 2024</li><li class="wpjmef-field-salary">per year</li>')).otherwise("")
     detail = _text(
         '<ul class="job-listing-meta">', own, '</ul><div class="job_listing-description"><p>', F.col("marked"), '</p></div><p class="job_tags">Tagged as: ', F.col("lang"),
@@ -171,21 +215,25 @@ def board_europe_remotely(spark, sf_dir):
     )
 )
 def board_dou(spark, sf_dir):
-    """The even pages are listing pages, the odd ones fragments loaded after them."""
+    """The even pages are listing pages, the odd ones fragments loaded after them: the last, or followed by repeats."""
     n, rows = F.col("doc_id"), _listings(spark, sf_dir)
     card = _text(
         '<li class="l-vacancy"><div class="date">', n % 28 + 1, ' грудня</div><div class="title"><a class="vt" href="/v/', n, '/?from=list">', F.col("title"), '</a> <strong>в <a class="company" href="/c/">',
         F.col("company"), '</a></strong> <span class="cities">', F.col("place"), "</span></div></li>",
     )
     listed = _paged(rows, card, "https://d.example/vacancies/")
-    more = listed.where("page % 2 = 1").withColumn("body", F.to_json(F.struct(F.col("body").alias("html"))))
+    first, later = listed.where("page % 2 = 0"), listed.where("page % 2 = 1")
+    fragment = F.to_json(F.struct(F.col("body").alias("html"), (F.col("read") % 2 == 0).alias("last")))
+    repeated = first.withColumns({"page": F.lit(_AFTER), "body": F.to_json(F.struct(F.col("body").alias("html"), F.lit(False).alias("last")))})
+    more = later.withColumn("body", fragment).unionByName(repeated)
+    more = more.unionByName(first.withColumns({"page": F.lit(_AFTER + 1), "body": F.lit('{"html": "<li class=l-vacancy></li>"}')}))
     own = F.when(n % 3 == 0, _text('<div class="date">', n % 28 + 1, " квітня 2022</div>")).otherwise("")
     detail = _text(
         '<h1 class="g-h2">', F.col("title"), "</h1>", own, '<div class="sh-info"><span class="salary">$', n, '</span></div><div class="b-typo vacancy-section"><p>', F.col("marked"), '</p></div><a class="badge">',
         F.col("lang"), '</a><a class="badge">Kotlin</a>',
     )
     details = rows.select("page", _text("https://d.example/v/", n, "/").alias("url"), detail.alias("body"))
-    return _shown(boards.dou(listed.where("page % 2 = 0"), more, details, _countries(), CLOCK))
+    return _shown(boards.dou(first, more, details, _countries(), CLOCK, max_jobs=500))
 
 
 def _posting(*more: Column) -> Column:
@@ -216,7 +264,8 @@ def board_djinni(spark, sf_dir):
     address = F.struct(F.struct(F.col("lang").alias("addressCountry")).alias("address")).alias("applicantLocationRequirements")
     block = _posting(F.col("lang").alias("category"), F.array(F.lit("Go")).alias("skills"), address)
     details = rows.select("page", _text("https://dj.example/jobs/", n, "-dev").alias("url"), _linked(block).alias("body"))
-    return _shown(boards.djinni(_paged(rows, card, "https://dj.example/jobs/"), details, _countries()))
+    pages = _followed(_paged(rows, card, "https://dj.example/jobs/"), "<p>no more</p>", "<h2 class=job-item__position>no link</h2>")
+    return _shown(boards.djinni(pages, details, _countries(), max_jobs=500))
 
 
 @query(
@@ -237,3 +286,43 @@ def board_builtin(spark, sf_dir):
     button = F.when(n % 3 == 0, _text('<a id="applyButton" href="/apply/', n, '">Apply</a>')).otherwise("")
     details = rows.select("page", _text("https://bi.example/job/", n).alias("url"), _text(_linked(_posting(F.array(F.lit("Go"), F.col("lang")).alias("skills"))), button).alias("body"))
     return _shown(boards.builtin(pages, details, "dev"))
+
+
+# ---- ordered reads -------------------------------------------------------------------------------------------------
+
+#: Documents as cards of reads by source: a hundred ids to a page, some pages with nothing but repeats.
+_CARDS_SQL = """WITH cards AS (SELECT coalesce(source, '') AS read, doc_id // 100 AS page, doc_id % 100 AS place,
+        'https://c.example/v/' || CASE WHEN doc_id // 100 % 7 = 5 OR doc_id % 13 = 0 THEN doc_id % 100 // 20 * 20 ELSE doc_id END AS url FROM documents),
+    pages AS (SELECT read, page, count(*) AS n FROM cards GROUP BY 1, 2),
+    seen AS (SELECT read, page, place, url FROM (SELECT *, row_number() OVER (PARTITION BY read, url ORDER BY page, place) AS k FROM cards) WHERE k = 1),
+    news AS (SELECT read, page, n, (SELECT count(*) FROM seen s WHERE s.read = p.read AND s.page = p.page) AS new FROM pages p),
+    counted AS (SELECT *, coalesce(sum(new) OVER w, 0) AS new_before, coalesce(sum(1) OVER w, 0) AS pages_before FROM news
+        WINDOW w AS (PARTITION BY read ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    ends AS (SELECT read, min(page) AS last FROM counted WHERE {ends} GROUP BY 1),
+    kept AS (SELECT s.*, c.new_before + row_number() OVER (PARTITION BY s.read, s.page ORDER BY place) AS nth
+        FROM seen s JOIN counted c ON c.read = s.read AND c.page = s.page LEFT JOIN ends e ON e.read = s.read WHERE e.last IS NULL OR s.page <= e.last)
+    SELECT read, page, place, url, CAST(nth AS BIGINT) AS nth FROM kept WHERE {kept}"""
+
+
+def _ordered(spark: SparkSession, sf_dir: str, stop: paging.Stop, ended: Column) -> DataFrame:
+    n = F.col("doc_id")
+    page, place = F.floor(n / 100), n % 100
+    shown = F.when((page % 7 == 5) | (n % 13 == 0), F.floor(place / 20) * 20).otherwise(n)
+    cards = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("read"), page.alias("page"), place.alias("place"), _text("https://c.example/v/", shown).alias("url"))
+    pages = cards.groupBy("read", "page").agg(F.count(F.lit(1)).alias("n")).withColumn("ended", ended)
+    return paging.until(cards, pages, stop).select("read", "page", "place", "url", "nth")
+
+
+@query(_CARDS_SQL.format(ends="page % 31 = 30 OR (new = 0 AND pages_before > 0) OR new_before + new >= 40", kept="nth <= 40"))
+def paged_until_last_or_nothing_new(spark, sf_dir):
+    return _ordered(spark, sf_dir, paging.Stop(cap=40, nothing_new=True), F.col("page") % 31 == 30)
+
+
+@query(_CARDS_SQL.format(ends="n < 3 OR new_before + new >= 100", kept="nth <= 100"))
+def paged_until_short_page(spark, sf_dir):
+    return _ordered(spark, sf_dir, paging.Stop(cap=100), F.col("n") < 3)
+
+
+@query(_CARDS_SQL.format(ends="page % 3 = 2 AND page > 8 OR pages_before + 1 >= 20", kept="true"))
+def paged_until_no_more(spark, sf_dir):
+    return _ordered(spark, sf_dir, paging.Stop(pages=20), (F.col("page") % 3 == 2) & (F.col("page") > 8))

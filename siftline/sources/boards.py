@@ -17,12 +17,23 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, identity, lists, markup, pay, places, text
 from ..schema import JOB_FIELDS
+from .paging import Stop, cut, ended_by_total, limited, of_one_read, pages_read, until, with_totals_before
 
 # Source ids in their default order.
 SOURCES = ("europe_remotely", "working_nomads", "dou_ua", "himalayas", "djinni", "builtin")
 
+# Pages of a feed (by default, at most), jobs of a read (likewise), cards of a full page, pages of a search
+# and of browsing by default.
+FEED_PAGES = (2, 500)
+BOARD_JOBS = (100, 500)
+DJINNI_FULL = 15
+SEARCHED_PAGES = 2
+BROWSED_PAGES = 5
+#: Fragments are numbered after all listing pages.
+AFTER_LISTING = 1_000_000
+
 _NOMADS = (
-    "hits struct<hits:array<struct<_source:struct<id:bigint,title:string,slug:string,company:string,description:string,tags:array<string>,all_tags:array<string>,"
+    "hits struct<total:struct<value:bigint>,hits:array<struct<_source:struct<id:bigint,title:string,slug:string,company:string,description:string,tags:array<string>,all_tags:array<string>,"
     "locations:array<string>,location_base:string,pub_date:string,apply_option:string,apply_email:string,apply_url:string,expired:boolean,salary_range:string,salary_range_short:string>>>>"
 )
 _HIMALAYAS = (
@@ -54,10 +65,17 @@ def first_of_each(rows: DataFrame, url: Column, *order: Column) -> DataFrame:
     return rows.withColumn("_url", identity.canonical_url(url)).withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def cards(pages: DataFrame, read: Callable[[str, str], object], body: Column | None = None) -> DataFrame:
-    """Listing cards of pages, each URL once, by page and place (SRC-08, SRC-12, SRC-15)."""
-    found = pages.select("page", F.posexplode(markup.reader(read, markup.CARD)(F.col("body") if body is None else body, F.col("url"))).alias("place", "card"))
-    return first_of_each(found, required(F.col("card.url"), "a card without a link"), F.col("page"), F.col("place")).select("_url", "page", "place", "card")
+def cards(pages: DataFrame, read: Callable[[str, str], object], stop: Stop, ended: Column, body: Column | None = None) -> DataFrame:
+    """Listing cards that ordered reads of pages keep, each URL once a read (SRC-08, SRC-12, SRC-15).
+
+    ``ended`` is the board's sign that a page is the last, over the page's columns and its ``cards``.  A card without a
+    link fails the read if the read gets to it.
+    """
+    found = of_one_read(pages).withColumn("cards", markup.reader(read, markup.CARD)(F.col("body") if body is None else body, F.col("url")))
+    found = cut(found.select("read", "page", ended.alias("ended"), "cards"))  # pages are parsed once
+    listed = found.select("read", "page", F.posexplode("cards").alias("place", "card")).withColumn("url", identity.canonical_url(F.col("card.url")))
+    kept = until(listed, found, stop)
+    return kept.select("read", required(F.col("url"), "a card without a link").alias("_url"), "page", "place", "card")
 
 
 def detailed(listed: DataFrame, details: DataFrame, read: Callable[[str, str], object], kind: str) -> DataFrame:
@@ -70,10 +88,23 @@ def _pick(detail: str, card: str) -> Column:
     return F.when(text.trim(F.col(detail)) != "", F.col(detail)).otherwise(text.text(F.col(card)))
 
 
-def working_nomads(pages: DataFrame, countries: places.Countries) -> DataFrame:
-    """Hits of a search answer; expired ones are left out, invalid ones fail the read (SRC-01)."""
-    hit = F.explode(F.from_json("body", _NOMADS, {"mode": "FAILFAST"})["hits"]["hits"]["_source"]).alias("j")
-    rows = pages.select(hit).where(~F.coalesce("j.expired", F.lit(False))).select("j.*")
+def working_nomads(pages: DataFrame, countries: places.Countries, max_pages: int | None = None, max_jobs: int | None = None) -> DataFrame:
+    """Hits of paged search answers; expired ones are left out, invalid ones fail the read (SRC-01).
+
+    A read ends with an empty page or where its hits reach the answer's total (none is 0).  Two pages are read by default;
+    a negative ``max_pages`` reads on.  ``max_jobs`` limits a read's jobs.
+    """
+    answer = F.from_json("body", _NOMADS, {"mode": "FAILFAST"})["hits"]
+    parsed = cut(of_one_read(pages).select("read", "page", answer.alias("hits")))
+    hits = F.coalesce(F.size("hits.hits"), F.lit(0))
+    counted = parsed.select("read", "page", F.greatest(hits, F.lit(0)).alias("new"), (hits <= 0).alias("ended"), F.coalesce("hits.total.value", F.lit(0)).alias("total"))
+    told = pages_read(counted, Stop(pages=None if max_pages and max_pages < 0 else max_pages or SEARCHED_PAGES))
+    rows = parsed.join(told, ["read", "page"]).select("read", "page", F.posexplode("hits.hits._source").alias("place", "j")).where(~F.coalesce("j.expired", F.lit(False)))
+    if max_jobs and max_jobs > 0:  # expired hits don't count as jobs
+        per_page = with_totals_before(rows.groupBy("read", "page").agg(F.count(F.lit(1)).alias("jobs")), ["read"], "page", "jobs").select("read", "page", "jobs_before")
+        nth = F.col("jobs_before") + F.row_number().over(Window.partitionBy("read", "page").orderBy("place"))
+        rows = rows.join(per_page, ["read", "page"]).withColumn("nth", nth).where(F.col("nth") <= max_jobs)
+    rows = rows.select("j.*")
     apply = (
         F.when(text.trim(F.col("apply_option")).isin("with_your_ats", "with_our_ats"), text.trim(F.col("apply_url")))
         .when(text.trim(F.col("apply_option")) == "with_email", F.when(text.trim(F.col("apply_email")) != "", F.concat(F.lit("mailto:"), text.trim(F.col("apply_email")))).otherwise(""))
@@ -98,13 +129,25 @@ def working_nomads(pages: DataFrame, countries: places.Countries) -> DataFrame:
     )
 
 
-def himalayas(pages: DataFrame, countries: places.Countries) -> DataFrame:
-    """Jobs of paged answers up to the first empty or short page; a missing limit is 20 (SRC-03 to SRC-06)."""
+def himalayas(pages: DataFrame, countries: places.Countries, search: bool = False, max_pages: int | None = None, max_jobs: int | None = None) -> DataFrame:
+    """Jobs of paged answers, browsed or searched (SRC-03 to SRC-06).
+
+    Browsing ends with an empty or short page (a missing limit is 20) or where offset and jobs reach the total.  A search
+    counts its pages from 1 and ends with an empty page or the page ``ceil(total / limit)``.  Five pages are read by
+    default; a negative ``max_pages`` reads on.  ``max_jobs`` limits a read's jobs.
+    """
     answer = F.from_json("body", _HIMALAYAS, {"mode": "FAILFAST"})
-    parsed = pages.select("page", answer.alias("a")).withColumn("n", F.size("a.jobs")).withColumn("most", F.when(F.col("a.limit") > 0, F.col("a.limit")).otherwise(20))
-    ended = (F.col("n") < F.col("most")) | ((F.col("a.totalCount") > 0) & (F.col("a.offset") + F.col("n") >= F.col("a.totalCount")))
-    last = parsed.where(ended).agg(F.min("page").alias("last"), F.lit(1).alias("one"))  # one row
-    read = parsed.withColumn("one", F.lit(1)).join(F.broadcast(last), "one", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    parsed = cut(of_one_read(pages).select("read", "page", answer.alias("a")).withColumn("new", F.size("a.jobs")))
+    parsed = parsed.withColumns({"new": F.greatest("new", F.lit(0)), "most": F.when(F.col("a.limit") > 0, F.col("a.limit")).otherwise(20)})
+    if search:
+        ended = (F.col("new") == 0) | ended_by_total(F.col("page"), F.col("most"), F.col("a.totalCount"))
+    else:
+        ended = (F.col("new") < F.col("most")) | ((F.col("a.totalCount") > 0) & (F.col("a.offset") + F.col("new") >= F.col("a.totalCount")))
+    stop = Stop(cap=max_jobs if max_jobs and max_jobs > 0 else None, pages=None if max_pages and max_pages < 0 else max_pages or BROWSED_PAGES)
+    told = pages_read(parsed.select("read", "page", "new", ended.alias("ended")), stop)
+    read = parsed.join(told, ["read", "page"])
+    if stop.cap:
+        read = read.withColumn("a", F.col("a").withField("jobs", F.slice("a.jobs", F.lit(1), F.greatest(F.lit(0), F.lit(stop.cap) - F.col("before")))))
     rows = read.select(F.explode("a.jobs").alias("j")).select("j.*")
     tags = lists.merged(F.col("categories"), F.col("seniority"), F.col("parentCategories"))
     body = markup.plain(F.col("description"))
@@ -131,7 +174,7 @@ def feed(pages: DataFrame) -> DataFrame:
     parsed = F.from_json("body", "success boolean, data struct<has_more:boolean,html:string>, has_more boolean, html string", {"mode": "FAILFAST"})
     ok = F.coalesce(F.col("a.success"), F.lit(True))
     html = F.when(ok, F.coalesce("a.data.html", "a.html")).otherwise(F.raise_error(F.lit("the feed reports a failure")).cast("string"))
-    return pages.withColumn("a", parsed).select("page", "url", html.alias("body"), F.coalesce("a.data.has_more", "a.has_more", F.lit(False)).alias("has_more"))
+    return of_one_read(pages).withColumn("a", parsed).select("read", "page", "url", html.alias("body"), F.coalesce("a.data.has_more", "a.has_more", F.lit(False)).alias("has_more"))
 
 
 def feed_token(home: Column) -> Column:
@@ -141,9 +184,13 @@ def feed_token(home: Column) -> Column:
     return F.when(home.rlike(r"var\s+ERJ\s*=\s*\{") & (found != ""), found).otherwise(F.raise_error(F.lit("no feed token")).cast("string"))
 
 
-def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Countries, now: datetime) -> DataFrame:
-    """Feed pages of cards with detail pages (SRC-08)."""
-    rows = detailed(cards(feed(pages), markup.remotely_cards), details, markup.remotely_detail, markup.DETAIL)
+def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Countries, now: datetime, max_pages: int | None = None, max_jobs: int | None = None) -> DataFrame:
+    """Feed pages of cards with detail pages, up to the page that has no more after it (SRC-08).
+
+    Two pages are read by default and 500 at most; ``max_jobs`` limits a read's jobs.
+    """
+    stop = Stop(cap=max_jobs if max_jobs and max_jobs > 0 else None, pages=limited(max_pages, *FEED_PAGES))
+    rows = detailed(cards(feed(pages), markup.remotely_cards, stop, ~F.col("has_more")), details, markup.remotely_detail, markup.DETAIL)
     title, company, body, tags = _pick("detail.title", "card.title"), _pick("detail.company", "card.company"), text.text(F.col("detail.description")), lists.strings(F.col("detail.tags"))
     return jobs(
         rows,
@@ -161,12 +208,19 @@ def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Coun
     )
 
 
-def dou(pages: DataFrame, more: DataFrame | None, details: DataFrame, countries: places.Countries, now: datetime) -> DataFrame:
-    """A listing page, the fragments loaded after it, and detail pages (SRC-12)."""
+def dou(pages: DataFrame, more: DataFrame | None, details: DataFrame, countries: places.Countries, now: datetime, max_jobs: int | None = None) -> DataFrame:
+    """A listing page, the fragments loaded after it, and detail pages (SRC-12).
+
+    A read ends with the fragment that says it is the last or brings no new card, or once it has ``max_jobs`` jobs: 100 by
+    default, 500 at most.
+    """
+    pages = of_one_read(pages).select("read", "page", "url", "body", F.lit(False).alias("last"))
     if more is not None:
-        later = more.select((F.col("page") + 1_000_000).alias("page"), "url", F.from_json("body", "html string", {"mode": "FAILFAST"})["html"].alias("body"))
-        pages = pages.select("page", "url", "body").unionByName(later)
-    rows = detailed(cards(pages, markup.dou_cards), details, markup.dou_detail, markup.DETAIL)
+        answer = F.from_json("body", "html string, last boolean", {"mode": "FAILFAST"})
+        later = of_one_read(more).withColumn("a", answer)
+        pages = pages.unionByName(later.select("read", (F.col("page") + AFTER_LISTING).alias("page"), "url", F.col("a.html").alias("body"), F.col("a.last").alias("last")))
+    stop = Stop(cap=limited(max_jobs, *BOARD_JOBS), nothing_new=True)
+    rows = detailed(cards(pages, markup.dou_cards, stop, F.col("last")), details, markup.dou_detail, markup.DETAIL)
     title, body, tags = _pick("detail.title", "card.title"), text.text(F.col("detail.description")), lists.strings(F.col("detail.tags"))
     return jobs(
         rows,
@@ -196,9 +250,13 @@ def posting_country(countries: places.Countries, *places_json: Column) -> Column
     return text.text(out)
 
 
-def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries) -> DataFrame:
-    """Listing pages with detail pages' postings; no title or company fails the read (SRC-15)."""
-    rows = detailed(cards(pages, markup.djinni_cards), details, markup.posting, markup.POSTING)
+def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries, max_jobs: int | None = None) -> DataFrame:
+    """Listing pages with detail pages' postings; no title or company fails the read (SRC-15).
+
+    A read ends with a page that isn't full, or once it has ``max_jobs`` jobs: 100 by default, 500 at most.
+    """
+    stop = Stop(cap=limited(max_jobs, *BOARD_JOBS))
+    rows = detailed(cards(pages, markup.djinni_cards, stop, F.size("cards") < DJINNI_FULL), details, markup.posting, markup.POSTING)
     rows = rows.where(F.when(F.col("detail").isNotNull(), True).otherwise(F.raise_error(F.lit("djinni: a card without a posting")).cast("boolean")))
     title, company = _pick("detail.title", "card.title"), _pick("detail.company", "card.company")
     body = markup.reader(markup.body_text, "string")(text.text(F.col("detail.description")))
@@ -209,7 +267,7 @@ def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries) ->
         "djinni",
         title=required(title, "djinni: no title"),
         company=required(company, "djinni: no company"),
-        url=F.col("_url"),
+        url=identity.canonical_url(F.when(text.trim(F.col("detail.url")) != "", F.col("detail.url")).otherwise(F.col("_url"))),
         description=body,
         posted_at=dates.lenient(F.col("detail.date_posted")),
         is_remote=text.remote_or_telecommute(F.col("detail.location_type"), title, body, tags, F.array_join(lists.strings(F.col("card.hints")), " ")),
