@@ -7,12 +7,14 @@ the read is noticed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import places
 from .queries import CLOCK, query, table
-from .sources import boards, paging
+from .sources import boards, captures, paging
 
 _PER_PAGE = 50
 _WHERE = "CASE lang WHEN 'de' THEN 'Berlin, Germany' WHEN 'fr' THEN 'France' ELSE 'Worldwide' END"
@@ -326,3 +328,52 @@ def paged_until_short_page(spark, sf_dir):
 @query(_CARDS_SQL.format(ends="page % 3 = 2 AND page > 8 OR pages_before + 1 >= 20", kept="true"))
 def paged_until_no_more(spark, sf_dir):
     return _ordered(spark, sf_dir, paging.Stop(pages=20), (F.col("page") % 3 == 2) & (F.col("page") > 8))
+
+
+# ---- captures as a source ------------------------------------------------------------------------------------------
+
+
+def _captured(spark: SparkSession, pages: DataFrame) -> DataFrameReader:
+    """A reader of these answers, written to the shared folder as a capture."""
+    captures.register(spark)
+    path = f"{paging.shared_folder(spark)}/capture-{uuid.uuid4().hex}"
+    captures.capture(pages, path)
+    return spark.read.format(captures.NAME).option("path", path).option("board", "himalayas")
+
+
+@query(_HIMALAYAS_SQL)
+def paged_source_browse(spark, sf_dir):
+    """All answers of one read; an empty one ends it."""
+    pages = _himalayas(spark, sf_dir).withColumn("read", F.lit("all"))
+    made = F.to_json(F.struct((F.col("page") * _PER_PAGE).alias("offset"), F.size("jobs").alias("limit"), "jobs"))
+    told = _followed(pages.select("read", "page", "url", made.alias("body")), '{"jobs": [], "limit": 20}', _NO_TITLE)
+    reader = _captured(spark, told.select(F.lit(captures.BROWSE).alias("mode"), F.lit("").alias("term"), "page", "body"))
+    return _shown(boards.himalayas(reader.option("limit", str(_PER_PAGE)).load(), _countries(), max_pages=-1))
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrameReader:
+    """Answers to a search for each source, two hundred ids to a page; after the declared pages comes one that can't be read."""
+    n = F.col("doc_id")
+    job = F.struct(F.col("title"), F.col("company").alias("companyName"), _text("https://h.example/w/", n).alias("guid"), F.col("marked").alias("description"))
+    listed = _listings(spark, sf_dir).where("source is not null").withColumn("page", (F.floor(n / 200) + 1).cast("int"))
+    pages = listed.groupBy(F.col("source").alias("term"), "page").agg(F.collect_list(job).alias("jobs"))
+    most = pages.groupBy("term").agg(F.max("page").alias("most"))
+    whole = pages.join(most, "term")
+    body = F.to_json(F.struct(F.lit(1000).alias("limit"), (F.col("most") * 1000 - 999).alias("totalCount"), "jobs"))
+    told = whole.select("term", "page", body.alias("body")).unionByName(most.select("term", (F.col("most") + 1).alias("page"), F.lit("no answer").alias("body")))
+    return _captured(spark, told.withColumn("mode", F.lit(captures.SEARCH))).option("mode", captures.SEARCH)
+
+
+_SEARCH_SQL = "SELECT 'himalayas' || chr(30) || 'https://h.example/w/' || doc_id AS id, 'Job ' || doc_id AS title FROM documents WHERE source IS NOT NULL"
+
+
+@query(_SEARCH_SQL)
+def paged_source_search(spark, sf_dir):
+    return boards.himalayas(_searched(spark, sf_dir).load(), _countries(), search=True, max_pages=-1).select("id", "title")
+
+
+@query(f"{_SEARCH_SQL} AND source IN ('src1', 'src2') AND doc_id < 400")
+def paged_source_pushdown(spark, sf_dir):
+    """Two searches, two pages of each: what the filters ask for is all that is planned."""
+    pages = _searched(spark, sf_dir).load().where(F.col("term").isin("src1", "src2") & (F.col("page") <= 2))
+    return boards.himalayas(pages, _countries(), search=True, max_pages=-1).select("id", "title")

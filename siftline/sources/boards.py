@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -311,10 +312,20 @@ def builtin(pages: DataFrame, details: DataFrame, search: str = "") -> DataFrame
     )
 
 
-def matching(found: DataFrame, query: str) -> DataFrame:
-    """Jobs with all terms of a query in title, description or tags: stands in for the boards' searches (SRC-02, 07, 10, 13, 16)."""
-    hay = F.concat_ws(" ", text.haystack(F.col("title"), F.col("description")), F.lower(F.array_join(lists.strings(F.col("tags")), " ")))
-    return reduce(lambda df, term: df.where(hay.contains(term)), query.lower().split(), found)
+def matching(found: DataFrame, query: str, board: str = "") -> DataFrame:
+    """Jobs with all terms of a query: stands in for the boards' searches where a capture wasn't searched (SRC-02, 07, 10, 13, 16).
+
+    One board wants all terms in one of its fields, title, description or tags; for the others they may be spread.  Ranks
+    (a title counts twice there) have no bearing on which jobs are found.
+    """
+    terms = query.lower().split()
+    if not terms:
+        return found
+    tags = F.lower(F.array_join(lists.strings(F.col("tags")), " "))
+    fields = [F.lower(text.text(F.col("title"))), F.lower(text.text(F.col("description"))), tags]
+    if board != "working_nomads":
+        fields = [F.concat_ws(" ", *fields)]
+    return found.where(reduce(or_, [reduce(and_, [field.contains(term) for term in terms]) for field in fields]))
 
 
 @dataclass

@@ -16,7 +16,7 @@ import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pages of a block.
@@ -40,13 +40,19 @@ def limited(asked: int | None, default: int, most: int) -> int:
     return min(asked, most) if asked and asked > 0 else default
 
 
-def cut(table: DataFrame) -> DataFrame:
-    """The table written once to the shared folder for checkpoints, for plans that read it more than once."""
-    context = table.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors see; where none is set, local runs take a temporary one."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(table: DataFrame) -> DataFrame:
+    """The table written once to the shared folder for checkpoints, for plans that read it more than once."""
+    shared_folder(table.sparkSession)
     return table.checkpoint()
 
 
