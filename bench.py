@@ -19,7 +19,9 @@ ROUNDS = 2
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-    spark = spark.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+    spark = spark.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+    # expressions needn't remember the Python lines that made them
+    spark = spark.config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in HEADLINE:

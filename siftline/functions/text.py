@@ -1,6 +1,6 @@
 """Text rules: trimming, plain text, search haystacks, position and remote work.
 
-White space is Unicode's: Spark's ``trim`` strips only U+0020.
+White space is Unicode's: Spark's ``trim`` strips only U+0020 unless it is told what to strip.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ POSITIONS = (
     ("backend", ("backend", "back-end", "back end")),
 )
 REMOTE = ("remote", "віддалено", "віддалена робота")
+# The characters with the property White_Space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def text(column: Column) -> Column:
@@ -26,7 +28,8 @@ def text(column: Column) -> Column:
 
 
 def trim(column: Column) -> Column:
-    return F.regexp_replace(text(column), r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends; reads no further than that."""
+    return F.btrim(text(column), F.lit(WHITE))
 
 
 def blank_to_null(column: Column) -> Column:
@@ -68,9 +71,9 @@ def any_of(hay: Column, needles: list[str] | tuple[str, ...]) -> Column | None:
 
 
 def _parts(title: Column, description: Column, tags: Column, *hints: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    every = F.concat(F.array(text(title), text(description)), F.coalesce(tags, empty), F.array(*[text(h) for h in hints]) if hints else empty)
-    return F.concat_ws("", F.transform(every, lambda p: F.concat(F.lower(trim(p)), F.lit(" "))))
+    """All parts in lower case, each trimmed, with a space between them."""
+    own = F.array_join(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(trim(t))), " ")
+    return F.concat_ws(" ", F.lower(trim(title)), F.lower(trim(description)), own, *(F.lower(trim(h)) for h in hints))
 
 
 def position(title: Column, description: Column, tags: Column) -> Column:
