@@ -5,11 +5,15 @@ Slots are the remainders of document ids by four; their words come from the test
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import keyword_index
-from .queries import query, slot_jobs, table
+from .operators import keyword_index, merge
+from .queries import CLOCK, ORACLE_SQL, query, slot_jobs, table
+from .queries import _stored as stored_and_incoming
+from .sources.paging import shared_folder
 
 # ---- keyword rules of all slots ------------------------------------------------------------------------------------
 
@@ -45,3 +49,18 @@ def stage2_of_all_slots(spark, sf_dir):
 def stage1_roles_of_all_slots(spark, sf_dir):
     words = _rules(spark, sf_dir).where("kind = 'include'").select("slot_id", "word")
     return keyword_index.with_role_of_slots(_texts(spark, sf_dir), slot_jobs(spark, sf_dir), words)
+
+
+# ---- merges --------------------------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["ingest_upsert"])
+def ingest_merge(spark, sf_dir):
+    """The upsert on a stored table: only buckets with a change are written."""
+    old, new = stored_and_incoming(spark, sf_dir)
+    old, new = (rows.withColumn("id", F.col("id").cast("string")) for rows in (old, new))
+    layout = merge.Layout(f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}", 16)
+    merge.create(layout, old)
+    merge.merge(spark, layout, new, CLOCK)
+    out = merge.stored(spark, layout)
+    return out.select(F.col("id").cast("bigint").alias("id"), "title", "description", "stage1_status", F.dayofmonth("created_at").alias("created_day"), F.dayofmonth("updated_at").alias("updated_day"))
