@@ -273,21 +273,27 @@ def board_djinni(spark, sf_dir):
 @query(
     _sql(
         "builtin", "'https://bi.example/job/' || doc_id", _POSTED, _PAY, "'Go,' || lang", country="CASE WHEN doc_id % 2 = 0 THEN 'DE' ELSE 'PL' END",
-        apply="CASE WHEN doc_id % 3 = 0 THEN 'https://bi.example/apply/' || doc_id END", remote="doc_id % 2 = 0",
+        apply="CASE doc_id % 3 WHEN 0 THEN 'https://bi.example/apply/' || doc_id WHEN 1 THEN 'https://bi.example/mail/' || doc_id END", remote="doc_id % 2 = 0",
     )
 )
 def board_builtin(spark, sf_dir):
-    """Even listings stand on pages of two territories; the first in order counts."""
+    """Even listings stand on pages of two territories; the first in order counts.  An element with an empty ``url`` beside
+    an ``item`` has no link."""
     n, rows = F.col("doc_id"), _listings(spark, sf_dir)
     shown = rows.withColumn("alpha_3", F.explode(F.when(n % 2 == 0, F.array(F.lit("POL"), F.lit("DEU"))).otherwise(F.array(F.lit("POL")))))
-    link = _text("/job/", n, "?utm=1")
-    element = F.struct(F.when(n % 2 == 0, link).otherwise("").alias("url"), F.struct(link.alias("url")).alias("item"))
-    listed = shown.groupBy("alpha_3", "page").agg(F.collect_list(element).alias("itemListElement"))
-    block = F.struct(F.array(F.struct(F.lit("ItemList").alias("@type"), "itemListElement")).alias("@graph"))
-    pages = listed.select("alpha_3", "page", F.lit("https://bi.example/jobs").alias("url"), _linked(block).alias("body"))
-    button = F.when(n % 3 == 0, _text('<a id="applyButton" href="/apply/', n, '">Apply</a>')).otherwise("")
-    details = rows.select("page", _text("https://bi.example/job/", n).alias("url"), _text(_linked(_posting(F.array(F.lit("Go"), F.col("lang")).alias("skills"))), button).alias("body"))
-    return _shown(boards.builtin(pages, details, "dev"))
+    link = _text("https://bi.example/job/", n, "?utm=1")
+    inner = F.to_json(F.struct(F.struct(link.alias("url")).alias("item")))
+    element = F.when(n % 2 == 0, F.to_json(F.struct(link.alias("url")))).when(n % 4 == 1, inner).otherwise(F.to_json(F.struct(link.alias("item"))))
+    hidden = F.to_json(F.struct(F.lit("").alias("url"), _text("https://bi.example/job/", n, "-hidden").alias("item")))
+    links = F.array_join(F.flatten(F.collect_list(F.array(element, hidden))), ",")
+    listed = shown.groupBy("alpha_3", "page").agg(_text('{"@graph":[{"@type":"ItemList","itemListElement":[', links, "]}]}").alias("block"))
+    script = _text('<!-- <script type="application/ld+json">{</script> --><script>var a = "<!--";</script><script async type="application/ld+json">', F.col("block"), "</script>")
+    pages = listed.select("alpha_3", "page", F.lit("https://bi.example/jobs").alias("url"), script.alias("body"))
+    button = F.when(n % 3 == 0, _text('<a class="b" id="applyButton" href="/apply/', n, '?a=1&amp;b=2">Apply</a>')).when(n % 3 == 1, _text('<script>init({"job":{"howToApply":"https:\\/\\/bi.example/mail/', n, '","id":1}})</script>')).otherwise("")
+    body = _text(_linked(_posting(F.array(F.lit("Go"), F.col("lang")).alias("skills"))), button)
+    own = rows.select("page", _text("https://bi.example/job/", n).alias("url"), body.alias("body"))
+    others = rows.select("page", _text("https://bi.example/job/", n, "-hidden").alias("url"), body.alias("body"))
+    return _shown(boards.builtin(pages, own.unionByName(others), "dev"))
 
 
 # ---- ordered reads -------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keyword groups in order of precedence, and phrases for remote work.
@@ -44,6 +44,12 @@ def once(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row whatever refers to them: no filter or projection is moved below."""
+    made = rows.withColumn("_held", F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+    return made.withColumns({name: F.col(f"_held.{name}") for name in columns}).drop("_held")
+
+
 def collapse(column: Column) -> Column:
     """Single spaces for runs of white space (PRJ-06)."""
     return trim(F.regexp_replace(text(column), r"(?U)\s+", " "))

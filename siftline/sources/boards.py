@@ -16,20 +16,22 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, identity, lists, markup, pay, places, text
+from ..functions import dates, identity, linked_data, lists, markup, pay, places, text
 from ..schema import JOB_FIELDS
 from .paging import Stop, cut, ended_by_total, limited, of_one_read, pages_read, until, with_totals_before
 
 # Source ids in their default order.
 SOURCES = ("europe_remotely", "working_nomads", "dou_ua", "himalayas", "djinni", "builtin")
 
-# Pages of a feed (by default, at most), jobs of a read (likewise), cards of a full page, pages of a search
+# Pages of a feed (by default, at most), jobs of a read (likewise), cards and links of a full page, pages of a search
 # and of browsing by default.
 FEED_PAGES = (2, 500)
 BOARD_JOBS = (100, 500)
-DJINNI_FULL = 15
+DJINNI_FULL, BUILTIN_FULL = 15, 20
 SEARCHED_PAGES = 2
 BROWSED_PAGES = 5
+# Fixed value: where a home page states the feed's token.
+FEED_TOKEN = r"(?s)var\s+ERJ\s*=\s*\{.*?nonce\s*:\s*'([^']+)'"
 #: Fragments are numbered after all listing pages.
 AFTER_LISTING = 1_000_000
 
@@ -85,6 +87,12 @@ def detailed(listed: DataFrame, details: DataFrame, read: Callable[[str, str], o
     return listed.join(own, "_url", "left")
 
 
+def with_posting(details: DataFrame) -> DataFrame:
+    """Detail pages by canonical URL with the posting in their linked data, and why it can't be read (``wrong``)."""
+    own = text.held(first_of_each(details, F.col("url"), F.col("body")), _found=linked_data.first_posting(F.col("body")))
+    return own.select("_url", "url", "body", linked_data.posting(F.col("_found")).alias("detail"), linked_data.unsound(F.col("_found")).alias("wrong"))
+
+
 def _pick(detail: str, card: str) -> Column:
     return F.when(text.trim(F.col(detail)) != "", F.col(detail)).otherwise(text.text(F.col(card)))
 
@@ -112,7 +120,7 @@ def working_nomads(pages: DataFrame, countries: places.Countries, max_pages: int
         .otherwise(F.raise_error(F.lit("working_nomads: unknown apply option")).cast("string"))
     )  # PRJ-34
     tags = lists.first_filled(F.col("tags"), F.col("all_tags"))
-    body = markup.plain(F.col("description"))
+    rows, body = text.held(rows, plain=markup.plain(F.col("description"))), F.col("plain")
     posted = F.coalesce(dates.with_offset(F.col("pub_date")), F.raise_error(F.lit("working_nomads: bad date")).cast("timestamp"))
     return jobs(
         rows,
@@ -151,7 +159,7 @@ def himalayas(pages: DataFrame, countries: places.Countries, search: bool = Fals
         read = read.withColumn("a", F.col("a").withField("jobs", F.slice("a.jobs", F.lit(1), F.greatest(F.lit(0), F.lit(stop.cap) - F.col("before")))))
     rows = read.select(F.explode("a.jobs").alias("j")).select("j.*")
     tags = lists.merged(F.col("categories"), F.col("seniority"), F.col("parentCategories"))
-    body = markup.plain(F.col("description"))
+    rows, body = text.held(rows, plain=markup.plain(F.col("description"))), F.col("plain")
     link = F.when(text.trim(F.col("guid")) != "", F.col("guid")).otherwise(F.col("applicationLink"))
     where = F.array_join(lists.cleaned(F.col("locationRestrictions")), ", ")
     return jobs(
@@ -179,10 +187,12 @@ def feed(pages: DataFrame) -> DataFrame:
 
 
 def feed_token(home: Column) -> Column:
-    """The nonce in the feed's own object of a home page's script; a page without it is an error (SRC-11)."""
-    own = F.substring_index(F.substring_index(F.regexp_replace(home, r"var\s+ERJ\s*=\s*\{", "\u0000"), "\u0000", -1), "}", 1)
-    found = F.regexp_extract(own, r"""nonce["']?\s*:\s*["']([^"']+)["']""", 1)
-    return F.when(home.rlike(r"var\s+ERJ\s*=\s*\{") & (found != ""), found).otherwise(F.raise_error(F.lit("no feed token")).cast("string"))
+    """The nonce in the feed's own object of a home page's script; a page without it is an error (SRC-11).
+
+    The first object counts, and in it the first bare key with a value in single quotes, whatever lies between.
+    """
+    found = text.trim(F.regexp_extract(home, FEED_TOKEN, 1))
+    return F.when(found != "", found).otherwise(F.raise_error(F.lit("no feed token")).cast("string"))
 
 
 def europe_remotely(pages: DataFrame, details: DataFrame, countries: places.Countries, now: datetime, max_pages: int | None = None, max_jobs: int | None = None) -> DataFrame:
@@ -257,10 +267,12 @@ def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries, ma
     A read ends with a page that isn't full, or once it has ``max_jobs`` jobs: 100 by default, 500 at most.
     """
     stop = Stop(cap=limited(max_jobs, *BOARD_JOBS))
-    rows = detailed(cards(pages, markup.djinni_cards, stop, F.size("cards") < DJINNI_FULL), details, markup.posting, markup.POSTING)
-    rows = rows.where(F.when(F.col("detail").isNotNull(), True).otherwise(F.raise_error(F.lit("djinni: a card without a posting")).cast("boolean")))
+    listed = cards(pages, markup.djinni_cards, stop, F.size("cards") < DJINNI_FULL)
+    rows = listed.join(with_posting(details).select("_url", "detail", "wrong"), "_url", "left")
+    why = F.concat(F.lit("djinni: "), F.coalesce("wrong", F.lit("a card without a posting")))
+    rows = rows.where(F.when(F.col("wrong").isNull() & F.col("detail").isNotNull(), True).otherwise(F.raise_error(why).cast("boolean")))
     title, company = _pick("detail.title", "card.title"), _pick("detail.company", "card.company")
-    body = markup.reader(markup.body_text, "string")(text.text(F.col("detail.description")))
+    rows, body = text.held(rows, plain=linked_data.body_text(F.col("detail.description"))), F.col("plain")
     tags = lists.merged(F.array("detail.category"), F.col("detail.skills"), F.col("card.tags"))
     salary = pay.from_json(F.col("detail.base_salary"))
     return jobs(
@@ -278,31 +290,35 @@ def djinni(pages: DataFrame, details: DataFrame, countries: places.Countries, ma
     )
 
 
-def builtin(pages: DataFrame, details: DataFrame, search: str = "") -> DataFrame:
+def builtin(pages: DataFrame, details: DataFrame, search: str = "", max_pages: int | None = None, max_jobs: int | None = None) -> DataFrame:
     """Listed links by territory, the first territory of a link counts; bad items are skipped (SRC-17 to SRC-19).
 
-    ``pages`` also has the territory's ``alpha_3``.  Without a search there is nothing.
+    ``pages`` also has the territory's ``alpha_3``.  Without a search there is nothing.  A territory's pages end with one
+    that isn't full, or after ``max_pages``; ``max_jobs`` limits the jobs.  A link that isn't absolute is skipped.
     """
     spark = pages.sparkSession
     if not search.strip():
         return spark.createDataFrame([], JOB_FIELDS)
-    listed = pages.join(F.broadcast(places.territories(spark)), "alpha_3")
-    links = listed.select("ordinal", "page", "alpha_2", F.posexplode(markup.reader(markup.item_urls, "array<string>")(F.col("body"), F.col("url"))).alias("place", "link"))
+    listed = of_one_read(pages).join(F.broadcast(places.territories(spark)), "alpha_3")
+    listed = cut(listed.select("read", "ordinal", "page", "alpha_2", linked_data.item_urls(F.col("body")).alias("links")))
+    counted = listed.select("read", "ordinal", "page", F.size("links").alias("new"), (F.size("links") < BUILTIN_FULL).alias("ended"))
+    told = pages_read(counted, Stop(pages=max_pages if max_pages and max_pages > 0 else None), ("read", "ordinal")).drop("before")
+    links = listed.join(told, ["read", "ordinal", "page"]).select("ordinal", "page", "alpha_2", F.posexplode("links").alias("place", "link"))
     first = first_of_each(links, F.col("link"), F.col("ordinal"), F.col("page"), F.col("place")).where("_url is not null")
-    sound = details.where(~text.challenge_page(F.col("body")))
-    own = first_of_each(sound, F.col("url"), F.col("body")).select(
-        "_url", markup.reader(markup.posting, markup.POSTING)(F.col("body"), F.col("url")).alias("p"), markup.reader(markup.button_or_script, "string")(F.col("body"), F.col("url")).alias("apply")
-    )
-    rows = first.join(own, "_url").where((text.trim(F.col("p.title")) != "") & (text.trim(F.col("p.company")) != ""))
+    own = text.held(with_posting(details.where(~text.challenge_page(F.col("body")))), apply=linked_data.apply_url(F.col("body"), F.col("url")))
+    rows = first.join(own.where("wrong is null").select("_url", F.col("detail").alias("p"), "apply"), "_url").where(text.trim(F.col("p.title")) != "")
+    rows = rows.withColumn("_own", identity.canonical_url(F.when(text.trim(F.col("p.url")) != "", F.col("p.url")).otherwise(F.col("_url")))).where("_own is not null")
+    if max_jobs and max_jobs > 0:
+        rows = rows.orderBy("ordinal", "page", "place").limit(max_jobs)
     tags = lists.merged(F.col("p.skills"), F.col("p.qualifications"), F.col("p.occupation"))
-    body = markup.reader(markup.body_text, "string")(text.text(F.col("p.description")))
+    rows, body = text.held(rows, plain=linked_data.body_text(F.col("p.description"))), F.col("plain")
     return jobs(
         rows,
         "builtin",
         title=F.col("p.title"),
-        company=F.col("p.company"),
-        url=F.col("_url"),
-        apply_url=F.nullif(F.col("apply"), F.lit("")),
+        company=text.trim(F.col("p.company")),
+        url=F.col("_own"),
+        apply_url=F.nullif(F.coalesce(identity.canonical_url(F.col("apply")), F.col("apply")), F.lit("")),
         description=body,
         posted_at=dates.offset_or_date(F.col("p.date_posted")),
         is_remote=text.remote_or_telecommute(F.col("p.location_type"), F.col("p.title"), body, tags, F.col("p.employment_type")),

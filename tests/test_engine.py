@@ -111,11 +111,24 @@ def test_bad_items_fail_whatever_is_read(spark):
         boards.djinni(card, card.where("false"), Countries({})).select("title").collect()
 
 
-def test_feed_token(spark):
-    told = lambda text: spark.range(1).select(boards.feed_token(F.lit(text)).alias("t")).first()["t"]
-    assert told("""var X = {"nonce":"aa"}; var ERJ = {"url":"u","nonce":"b-7"}; var Y = {"nonce":"cc"};""") == "b-7"
-    with pytest.raises(Exception, match="no feed token"):
-        told("""var X = {"nonce":"aa"};""")
+@pytest.mark.parametrize(
+    ("page", "token"),
+    [
+        ("var X = {nonce:'aa'}; var ERJ = {url:'u',nonce:'b-7'}; var Y = {nonce:'cc'};", "b-7"),
+        ("var ERJ = {i18n: {a: 'b'},\n nonce : 'n1'}", "n1"),
+        ("var ERJ={nonce:'n1'}; var ERJ = {nonce:'n2'};", "n1"),
+        ("""var ERJ = {"nonce":"q", nonce: "d", nonce: 's'}""", "s"),
+        ("var X = {nonce:'aa'};", None),
+        ("var ERJ = {nonce:''}", None),
+    ],
+)
+def test_feed_token(spark, page, token):
+    told = spark.range(1).select(boards.feed_token(F.lit(page)).alias("t"))
+    if token is None:
+        with pytest.raises(Exception, match="no feed token"):
+            told.first()
+    else:
+        assert told.first()["t"] == token
 
 
 def test_snapshots_outlive_a_write_that_stops(spark, tmp_path):

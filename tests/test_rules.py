@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.functions import dates, identity, lists, markup, pay, places, text
+from siftline.functions import dates, identity, linked_data, lists, markup, pay, places, text
 
 NOW = datetime(2026, 4, 10)
 
@@ -85,12 +85,12 @@ def test_countries_and_tags(spark):
 
 
 def test_markup(spark):
-    page = '<script type="application/ld+json">{"@graph":[{"@type":["JobPosting"],"title":"T","hiringOrganization":{"name":"C"},"skills":"Go"}]}</script><a id="applyButton" href="/go">x</a>'
-    found = value(spark, markup.reader(markup.posting, markup.POSTING)(F.lit(page)))
+    page = F.lit('<script type="application/ld+json">{"@graph":[{"@type":["JobPosting"],"title":"T","hiringOrganization":{"name":"C"},"skills":"Go"}]}</script><a id="applyButton" href="/go">x</a>')
+    found = text.held(spark.range(1), f=linked_data.first_posting(page)).select(linked_data.posting(F.col("f")).alias("x")).first()["x"]
     assert (found["title"], found["company"], found["skills"]) == ("T", "C", ["Go"])
-    assert markup.button_or_script(page, "https://b.io/job/1") == "https://b.io/go"
+    assert value(spark, linked_data.apply_url(page, F.lit("https://b.io/job/1"))) == "https://b.io/go"
     assert value(spark, markup.plain(F.lit("<p>a&amp;b</p><p>c</p>"))) == "a&b c"
-    assert markup.body_text("<p>a</p><p>b</p>") == "ab"
+    assert value(spark, linked_data.body_text(F.lit("<p>a</p><p>b</p>"))) == "ab"
 
 
 def test_dates_that_need_care(spark):
