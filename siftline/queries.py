@@ -149,9 +149,9 @@ def stage1_full(spark, sf_dir):
     return _broad(spark, sf_dir, synonyms=SYNONYMS, remote_only=True, countries=COUNTRIES)
 
 
-@query(f"{_WITH} SELECT job_id, CASE WHEN {_PASS} THEN 'PASSED_STAGE_2' ELSE 'REJECTED_STAGE_2' END AS stage2_status FROM jobs WHERE posted_at IS NOT NULL")
+@query(f"{_WITH} SELECT job_id, CASE WHEN {_PASS} THEN 'PASSED_STAGE_2' ELSE 'REJECTED_STAGE_2' END AS stage2_status FROM jobs")
 def stage2_partition(spark, sf_dir):
-    return stages.stage_2(jobs(spark, sf_dir).where("posted_at is not null"), KEYWORDS).select("job_id", "stage2_status")
+    return stages.stage_2(jobs(spark, sf_dir), KEYWORDS).select("job_id", "stage2_status")
 
 
 @query(f"{_WITH} SELECT job_id, source FROM jobs WHERE {_INCLUDE}")
@@ -401,12 +401,11 @@ def not_sent_antijoin(spark, sf_dir):
     return jobs(spark, sf_dir).join(sent, "job_id", "left_anti").select("job_id", "source")
 
 
-@query("SELECT user_id, event_type, max(ts) AS last_at FROM events WHERE ts + INTERVAL 3600 SECOND > TIMESTAMP '2024-01-30 00:00:00' AND event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2")
+@query("SELECT user_id, event_type, max(ts) AS last_at FROM events WHERE ts + INTERVAL 3600 SECOND > TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2")
 def cooldown_active(spark, sf_dir):
     from .plans import ledger
 
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
-    held = rows.withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {schema.COOLDOWN_SECONDS} SECONDS"))
+    held = table(spark, sf_dir, "events").withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {schema.COOLDOWN_SECONDS} SECONDS"))
     return ledger.active(held, datetime(2024, 1, 30)).groupBy("user_id", "event_type").agg(F.max("ts").alias("last_at"))
 
 

@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import keyword_index, merge
+from .operators import deep_pages, keyword_index, merge
+from .operators.listing import Page
 from .queries import CLOCK, ORACLE_SQL, query, slot_jobs, table
 from .queries import _stored as stored_and_incoming
 from .sources.paging import shared_folder
@@ -64,3 +65,33 @@ def ingest_merge(spark, sf_dir):
     merge.merge(spark, layout, new, CLOCK)
     out = merge.stored(spark, layout)
     return out.select(F.col("id").cast("bigint").alias("id"), "title", "description", "stage1_status", F.dayofmonth("created_at").alias("created_day"), F.dayofmonth("updated_at").alias("updated_day"))
+
+
+# ---- deep pages ----------------------------------------------------------------------------------------------------
+
+_PER_PAGE = 10
+
+
+def _paged_sql(page: str) -> str:
+    return f"""WITH listed AS (SELECT event_id AS job_id, CASE WHEN event_id % 17 <> 0 THEN date_trunc('hour', ts) END AS posted_at, user_id, event_type FROM events),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, job_id) AS place FROM listed)
+        SELECT job_id, posted_at, user_id, event_type, place FROM ranked WHERE place BETWEEN ({page} - 1) * {_PER_PAGE} + 1 AND {page} * {_PER_PAGE}"""
+
+
+def _listed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a list with many equal dates, and some without one."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") % 17 != 0, hour).alias("posted_at"), "user_id", "event_type")
+
+
+@query(_paged_sql("(SELECT count(*) // 20 FROM events)"))
+def deep_page(spark, sf_dir):
+    """The page in the middle of all events: page 10,000 and more of larger tables."""
+    rows = _listed_events(spark, sf_dir)
+    return deep_pages.deep_page(rows, Page(max(1, rows.count() // 20), _PER_PAGE), ranges=16)
+
+
+@query(_paged_sql("((SELECT count(*) FROM events) + 9) // 10"))
+def last_page(spark, sf_dir):
+    rows = _listed_events(spark, sf_dir)
+    return deep_pages.deep_page(rows, Page(-(-rows.count() // _PER_PAGE), _PER_PAGE), ranges=16)
