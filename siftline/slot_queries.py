@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import deep_pages, keyword_index, merge
+from . import schema
+from .operators import deep_pages, keyword_index, merge, status_fold
 from .operators.listing import Page
 from .queries import CLOCK, ORACLE_SQL, query, slot_jobs, table
 from .queries import _stored as stored_and_incoming
@@ -95,3 +96,35 @@ def deep_page(spark, sf_dir):
 def last_page(spark, sf_dir):
     rows = _listed_events(spark, sf_dir)
     return deep_pages.deep_page(rows, Page(-(-rows.count() // _PER_PAGE), _PER_PAGE), ranges=16)
+
+
+# ---- several status writes of a job --------------------------------------------------------------------------------
+
+_WRITTEN = "CASE (job_id // 3 + seq * (job_id % 3 + 1)) % 4 WHEN 0 THEN 'PASSED_STAGE_2' WHEN 1 THEN 'REJECTED_STAGE_2' WHEN 2 THEN 'PASSED_STAGE_3' ELSE 'REJECTED_STAGE_3' END"
+_SECOND = "w.status IN ('PASSED_STAGE_2', 'REJECTED_STAGE_2')"
+
+
+@query(
+    f"""WITH RECURSIVE jobs AS (SELECT doc_id AS job_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'REJECTED_STAGE_2' ELSE 'PASSED_STAGE_2' END AS two,
+            CASE WHEN doc_id % 5 = 4 THEN 'PASSED_STAGE_3' END AS three FROM documents),
+        writes AS (SELECT job_id, seq, {_WRITTEN} AS status FROM jobs, (SELECT unnest(range(1, 6)) AS seq)),
+        steps AS (
+            SELECT job_id, 0 AS seq, two, three, CAST(NULL AS BIGINT) AS bad FROM jobs
+            UNION ALL
+            SELECT s.job_id, s.seq + 1,
+                CASE WHEN bad IS NULL AND {_SECOND} AND three IS NULL THEN w.status ELSE two END,
+                CASE WHEN bad IS NULL AND NOT {_SECOND} AND two = 'PASSED_STAGE_2' AND three IS NULL THEN w.status ELSE three END,
+                CASE WHEN bad IS NULL AND NOT {_SECOND} AND (two IS NULL OR two <> 'PASSED_STAGE_2' OR (three IS NOT NULL AND three <> w.status)) THEN s.seq + 1 ELSE bad END
+            FROM steps s JOIN writes w ON w.job_id = s.job_id AND w.seq = s.seq + 1)
+        SELECT job_id, two AS stage2_status, three AS stage3_status, bad AS first_illegal FROM steps WHERE seq = 5"""
+)
+def status_fold_of_writes(spark, sf_dir):
+    """Five writes for each job, in order."""
+    n = F.col("job_id")
+    two = F.when(n % 5 == 1, schema.REJECTED_2).when(n % 5 != 0, schema.PASSED_2)
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    current = jobs.where(n % 5 != 0).select(F.lit(1).alias("pipeline_run_id"), "job_id", two.alias("stage2_status"), F.when(n % 5 == 4, schema.PASSED_3).alias("stage3_status"), F.lit(None).cast("string").alias("stage3_rationale"))
+    each = jobs.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    names = F.array(*(F.lit(x) for x in (*schema.STAGE_2, *schema.STAGE_3)))
+    status = F.get(names, ((F.floor(n / 3) + F.col("seq") * (n % 3 + 1)) % 4).cast("int"))
+    return status_fold.folded(current, each.select(F.lit(1).alias("pipeline_run_id"), "job_id", "seq", status.alias("status"))).drop("pipeline_run_id")
