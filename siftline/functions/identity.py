@@ -11,18 +11,71 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim
+from .text import once, trim
 
 SEPARATOR = "\u001e"
-_URL = r"(?i)^(https?)://([^/?#]+)([^?#]*)"
+#: Scheme, authority, path and fragment.
+_URL = r"(?is)^(https?)://([^/?#]*)([^?#]*)(?:\?[^#]*)?(?:#(.*))?$"
+#: Addresses in which nothing is escaped or needs to be.
+_SIMPLE = r"^(?i)https?://[a-z0-9.\-]+(?::[0-9]*)?(?:/[a-z0-9\-_.~$&+,/:;=@]*)?(?:\?[^#\x00-\x1F\x7F]*)?(?:#[^%\x00-\x1F\x7F]*)?$"
+# Characters that stand for themselves in a path, in user names and in hosts, and those that a path may have
+# and still stay as it is written.
+_IN_PATH = r"^[A-Za-z0-9\-_.~$&+,/:;=@]$"
+_IN_USER = r"^[A-Za-z0-9\-_.~$&+,;=]$"
+_IN_HOST = r"""^[A-Za-z0-9\-_.~!$&'()*+,;=:\[\]<>"]$"""
+_WRITTEN_PATH = r"^(?:[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]]|%[0-9A-Fa-f]{2})*$"
+_USER = r"^(?:[A-Za-z0-9\-._:~!$&'()*+,;=@]|%[0-9A-Fa-f]{2})*$"
+_HOST = r"""^(?:[A-Za-z0-9\-_.~!$&'()*+,;=:\[\]<>"]|[^\x00-\x7F]|%25|%[89A-Fa-f][0-9A-Fa-f])+$"""
+_PORT = r"^(?:\[.*\](?::[0-9]*)?|[^\[:][^:]*|(?:[^\[].*)?:[0-9]*)$"
+
+
+def _escaped(part: Column, kept: str) -> Column:
+    """A part with each character as it is or as ``%XX``, whichever way it was written."""
+    tokens = F.regexp_extract_all(part, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]"), F.lit(0))
+
+    def spelled(token: Column) -> Column:
+        byte = F.conv(F.substring(token, 2, 2), 16, 10).cast("int")
+        plain = F.when(byte < 128, F.char(byte)).otherwise("")
+        coded = F.when(plain.rlike(kept), plain).otherwise(F.upper(token))
+        own = F.when(token.rlike(kept), token).otherwise(F.regexp_replace(F.hex(F.encode(token, "UTF-8")), "(..)", r"%$1"))
+        return F.when(token.startswith("%"), coded).otherwise(own)
+
+    return F.array_join(F.transform(tokens, spelled), "")
+
+
+def _decoded_host(host: Column) -> Column:
+    """A host with its escaped characters as such; only non-ASCII ones and the percent sign may be escaped."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(host, r"\+", "%2B")), host)
+
+
+def _general_url(url: Column) -> Column:
+    """``canonical_url`` of any address."""
+    scheme, authority, path, fragment = (F.regexp_extract(url, _URL, i) for i in (1, 2, 3, 4))
+    user, host = F.regexp_extract(authority, r"(?s)^(.*)@", 1), F.regexp_replace(authority, r"(?s)^.*@", "")
+    bad_escape = r"%(?![0-9A-Fa-f]{2})"
+    sound = (scheme != "") & ~url.rlike(r"[\x00-\x1F\x7F]") & ~path.rlike(bad_escape) & ~fragment.rlike(bad_escape) & user.rlike(_USER) & host.rlike(_HOST) & host.rlike(_PORT)
+    name, secret = F.regexp_extract(user, "^([^:]*)", 1), F.regexp_extract(user, "^[^:]*:(.*)$", 1)
+    login = F.concat(_escaped(name, _IN_USER), F.when(user.contains(":"), F.concat(F.lit(":"), _escaped(secret, _IN_USER))).otherwise(""), F.lit("@"))
+    trimmed = F.regexp_replace(path, r"(?:/|%2[Ff])$", "")
+    at = F.when((path.rlike(r"(?:/|%2[Ff])$")) & (path != "/") & (trimmed != ""), _escaped(trimmed, _IN_PATH)).when(path.rlike(_WRITTEN_PATH), path).otherwise(_escaped(path, _IN_PATH))
+    where = _escaped(F.replace(F.lower(_decoded_host(host)), F.lit("%"), F.lit("%25")), _IN_HOST)
+    return F.when(sound, F.concat(F.lower(scheme), F.lit("://"), F.when(authority.contains("@"), login).otherwise(""), where, at))
 
 
 def canonical_url(raw: Column) -> Column:
-    """Lower-case scheme and host, no query, fragment or trailing slash; null where it isn't an http URL (PRJ-01, PRJ-04)."""
+    """Lower-case scheme and host, no query, fragment or trailing slash; null where it isn't an http URL (PRJ-01, PRJ-04).
+
+    User info stays as it is.  A path stays as it is written, but is escaped anew where it has characters that must be
+    escaped, or where it lost its slash.  Control characters, unsound escapes, hosts, ports and user infos make no URL.
+    """
+
+    def simple(url: Column) -> Column:
+        scheme, host, path = (F.regexp_extract(url, _URL, i) for i in (1, 2, 3))
+        path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
+        return F.concat(F.lower(scheme), F.lit("://"), F.lower(host), path)
+
     url = trim(raw)
-    scheme, host, path = (F.regexp_extract(url, _URL, i) for i in (1, 2, 3))
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
-    return F.when(scheme != "", F.concat(F.lower(scheme), F.lit("://"), F.lower(host), path))
+    return F.when(url.rlike(_SIMPLE), simple(url)).otherwise(once(url, _general_url))
 
 
 def source_id(raw: Column) -> Column:

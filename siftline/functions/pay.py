@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,30 +13,76 @@ from .text import once, text, trim
 UNITS = {"MONTH": "month", "MONTHLY": "month", "YEAR": "year", "YEARLY": "year", "HOUR": "hour", "HOURLY": "hour", "WEEK": "week", "WEEKLY": "week"}
 
 
-def shortest(number: Column) -> Column:
-    """Shortest plain decimal form."""
-    return F.regexp_replace(F.regexp_replace(number.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+def _digits(size: Column) -> Column:
+    """``digits`` and ``power`` of a positive double: it is ``d.ddd`` times ten to that power, in the fewest digits that tell it.
 
+    The digits are those of the double's own text, less one where that still reads back as the same double.  Between 2**53 and 2**63 that text is the whole number, which may have
+    digits that tell nothing; there the number is rounded as far as it still reads back as the same double.
+    """
 
-def general(number: Column) -> Column:
-    """Shortest form; from a million up and below 1e-4 with an exponent of two digits at least, as in ``1e+06`` (PRJ-27)."""
-    return once(number, _general)
+    def whole(number: Column) -> Column:
+        exact = number.cast("bigint").cast("decimal(20,0)")
+        rounded = F.array(*(F.floor((exact + 10**k // 2) / F.lit(10**k).cast("decimal(7,0)")).cast("decimal(20,0)") * F.lit(10**k).cast("decimal(7,0)") for k in range(6, -1, -1)))
+        told = F.get(F.filter(F.transform(rounded, lambda r: r.cast("string")), lambda r: r.cast("double") == number), F.lit(0))
+        return once(told, lambda t: F.struct(F.regexp_replace(t, "0+$", "").alias("digits"), (F.length(t) - 1).alias("power")))
+
+    def of_text(spelled: Column) -> Column:
+        whole, part = F.regexp_extract(spelled, r"^(\d+)", 1), F.regexp_extract(spelled, r"^\d+\.(\d+)", 1)
+        exponent = F.coalesce(F.regexp_extract(spelled, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+        zeros = F.length(F.regexp_extract(F.concat(whole, part), r"^(0*)", 1))
+        digits = F.regexp_replace(F.concat(whole, part), r"^0+|0+$", "")
+        return F.struct(digits.alias("digits"), (F.length(whole) - 1 - zeros + exponent).alias("power"))
+
+    def shorter(long: Column) -> Column:
+        rounded = F.floor((long["digits"].cast("decimal(20,0)") + 5) / F.lit(10).cast("decimal(2,0)")).cast("string")
+        scale = long["power"] - F.length(long["digits"]) + 2
+        same = F.concat(rounded, F.lit("E"), scale.cast("string")).try_cast("double") == size
+        # one digit more after rounding, as from 99 to 10, is one power more
+        power = long["power"] + F.length(rounded) - F.length(long["digits"]) + 1
+        short = F.struct(F.regexp_replace(rounded, "0+$", "").alias("digits"), power.cast("int").alias("power"))
+        return F.when((F.length(long["digits"]) > 1) & F.coalesce(same, F.lit(False)), short).otherwise(long)
+
+    return F.when((size >= 2.0**53) & (size < 2.0**63), whole(size)).otherwise(once(once(size.cast("string"), of_text), shorter))
+
+
+def _plain(d: Column) -> Column:
+    """Digits without an exponent."""
+    n, power = F.length(d["digits"]), d["power"]
+    whole = F.concat(F.substr(d["digits"], F.lit(1), power + 1), F.repeat(F.lit("0"), power + 1 - n))
+    part = F.substr(d["digits"], power + 2)
+    large = F.concat(whole, F.when(n > power + 1, F.concat(F.lit("."), part)).otherwise(""))
+    return F.when(power >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), d["digits"]))
 
 
-def _general(number: Column) -> Column:
-    size = F.abs(number)
-    whole = F.regexp_extract(shortest(size), r"^(\d+)", 1)
-    digits = F.regexp_replace(F.concat(whole, F.regexp_extract(shortest(size), r"\.(\d+)$", 1)), "0+$", "")
-    power = F.length(whole) - 1
-    spelled = F.upper(size.cast("string"))
-    small_digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(spelled, r"^([\d.]+)", 1), r"\.", ""), "0+$", "")
-    small_power = F.regexp_extract(spelled, r"E-(\d+)$", 1)
+def _powered(d: Column) -> Column:
+    """Digits with an exponent of two digits at least, as in ``1.5e+06``."""
+    size = F.abs(d["power"]).cast("string")
+    mantissa = F.concat(F.substr(d["digits"], F.lit(1), F.lit(1)), F.when(F.length(d["digits"]) > 1, F.concat(F.lit("."), F.substr(d["digits"], F.lit(2)))).otherwise(""))
+    return F.concat(mantissa, F.when(d["power"] < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
 
-    def spell(d: Column, sign: str, exponent: Column) -> Column:
-        mantissa = F.concat(F.substr(d, F.lit(1), F.lit(1)), F.when(F.length(d) > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise(""))
-        return F.concat(F.when(number < 0, "-").otherwise(""), mantissa, F.lit("e" + sign), F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent))
 
-    return F.when(size >= 1e6, spell(digits, "+", power.cast("string"))).when((size < 1e-4) & (size > 0), spell(small_digits, "-", small_power)).otherwise(shortest(number))
+def _spelled(number: Column, spell: Callable[[Column], Column]) -> Column:
+    def of(x: Column) -> Column:
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")  # minus zero has one, too
+        infinite = F.when(x > 0, "+Inf").otherwise("-Inf")
+        return (
+            F.when(F.isnan(x), "NaN")
+            .when(F.abs(x) == float("inf"), infinite)
+            .when(x == 0, F.concat(sign, F.lit("0")))
+            .when(x.isNotNull(), F.concat(sign, once(_digits(F.abs(x)), spell)))
+        )
+
+    return once(number.cast("double"), of)
+
+
+def shortest(number: Column) -> Column:
+    """The fewest digits that tell a double, without an exponent."""
+    return _spelled(number, _plain)
+
+
+def general(number: Column) -> Column:
+    """The fewest digits; from a million up and below 1e-4 with an exponent, as in ``1e+06`` (PRJ-27)."""
+    return _spelled(number, lambda d: F.when((d["power"] < -4) | (d["power"] >= 6), _powered(d)).otherwise(_plain(d)))
 
 
 def from_bounds(least: Column, most: Column, currency: Column) -> Column:
