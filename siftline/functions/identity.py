@@ -78,6 +78,12 @@ def canonical_url(raw: Column) -> Column:
     return F.when(url.rlike(_SIMPLE), simple(url)).otherwise(once(url, _general_url))
 
 
+def https_url(raw: Column) -> Column:
+    """A trimmed absolute https address with a host, its scheme in lower case; null for any other (SRC-24)."""
+    url = trim(raw)
+    return F.when(url.rlike(r"(?i)^https://[^/?#]") & canonical_url(url).isNotNull(), F.concat(F.lit("https"), F.substr(url, F.lit(6))))
+
+
 def source_id(raw: Column) -> Column:
     """Lower-case, trimmed source (PRJ-42)."""
     return F.lower(trim(raw))

@@ -123,6 +123,12 @@ def debug_limit(limit: int | None) -> int | None:
     return limit or None
 
 
+def debug_list(jobs: DataFrame, limit: int | None = None, key: str = "job_id") -> DataFrame:
+    """A debug listing in canonical order, as many rows as ``debug_limit`` allows (TOP-12)."""
+    most = debug_limit(limit)
+    return canonical(jobs, key) if most is None else canonical(jobs, key).limit(most)
+
+
 def item(jobs: DataFrame, stage: int) -> DataFrame:
     """What a list shows of a job; statuses from stage 2 on (PRJ-40, PRJ-41)."""
     shown = ["job_id", "source", "title", "company", "url", "apply_url", "posted_at", "is_remote", "country_code", "salary_raw", "tags", "position"]

@@ -145,6 +145,23 @@ def scored(jobs: DataFrame, profile: str, scorer: Scorer) -> DataFrame:
     return asked.withColumn("_parsed", parsed_answer(F.col("_answer"))).withColumns({"score": F.col("_parsed.score"), "reason": F.col("_parsed.reason")}).drop("_answer", "_parsed")
 
 
+def scored_by_model(jobs: DataFrame, profile: str, model: Callable[[str], str]) -> DataFrame:
+    """Adds ``score`` and ``reason`` from a model's replies: prompt, reply, its text blocks, the checked answer (SCR-01 to SCR-08).
+
+    ``model`` is asked with a prompt and gives the reply as JSON, ``{"content": [{"type": "text", "text": ...}, ...]}``.
+    The first failure or bad answer ends the job.  A retried task asks again: write the result before anything depends on it.
+    """
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        return prompts.map(model)
+
+    reply = F.from_json(ask(prompt(F.lit(profile), F.col("title"), F.col("company"), F.col("description"))), "content array<struct<type:string,text:string>>")
+    asked = text.held(jobs, _answer=answer_text(reply["content"]))
+    asked = text.held(asked, _parsed=parsed_answer(F.col("_answer")))
+    return asked.withColumns({"score": F.col("_parsed.score"), "reason": F.col("_parsed.reason")}).drop("_answer", "_parsed")
+
+
 def status_of(score: Column) -> Column:
     """Final status by the pass mark (PRJ-45)."""
     return F.when(score >= schema.PASS_SCORE, schema.PASSED_3).otherwise(schema.REJECTED_3)

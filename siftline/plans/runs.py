@@ -15,6 +15,7 @@ from .. import schema
 from ..functions.identity import FilterKey
 from ..operators import listing, stages, store
 from ..operators.stages import BroadRules, KeywordRules
+from ..sources.paging import cut
 from . import ledger
 
 
@@ -89,6 +90,13 @@ class Request:
         window = (self.broad.start, self.broad.end) if self.broad.start else None
         return FilterKey(self.slot_id, list(self.broad.synonyms), window, list(self.sources), self.broad.remote_only, list(self.broad.countries))
 
+    def key_hash(self) -> str:
+        """The hash by which runs with equal rules are known; blank where the rules make no key (SNK-12)."""
+        try:
+            return self.key().digest()
+        except ValueError:
+            return ""
+
 
 class Engine:
     """Stored tables of one deployment, and what is done with them.  One writer at a time is assumed."""
@@ -122,7 +130,11 @@ class Engine:
         now, source_id = self.clock(), source_id.strip().lower()
         self.tables.write("ledger", ledger.begun(self._ledger(), slot_id, source_id, now, refresh))
         try:
-            passed = stages.broad(fetched, rules, now).dropDuplicates(["id"])
+            numbered = stages.broad(fetched.withColumn("_nth", F.monotonically_increasing_id()), rules, now)
+            counted = numbered.groupBy("id").agg(F.max_by(F.struct(*fetched.columns), "_nth").alias("last"), F.count(F.lit(1)).alias("times"))
+            passed = cut(counted).select("last.*", "times")  # of several rows with an id the last one counts
+            repeated = passed.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("ids")).first()
+            passed = passed.drop("times")
             met = store.classified(self.jobs(), passed)
             counts = {r["action"]: r["count"] for r in met.where("action is not null").groupBy("action").count().collect()}
             self.tables.write("jobs", store.upsert(self.jobs(), passed, now))
@@ -133,8 +145,8 @@ class Engine:
             self.tables.write("ledger", ledger.cooled(self._ledger(), slot_id, source_id, now))
         finally:
             self.tables.write("ledger", ledger.released(self._ledger(), slot_id, source_id))
-        skipped = counts.get(store.SKIP, 0)
-        return {"written": sum(counts.values()) - skipped, "skipped": skipped, "filtered": fetched.count() - passed.count()}
+        written = sum(n for act, n in counts.items() if act != store.SKIP)
+        return {"written": written, "skipped": repeated["rows"] - written, "filtered": fetched.count() - repeated["rows"]}
 
     def create_run(self, slot_id: str | None, key_hash: str = "") -> int:
         """A new run; a blank key is null (SNK-11, SNK-12)."""
@@ -174,7 +186,7 @@ class Engine:
                 except Exception as error:  # a source is outside input: any failure of it is isolated
                     out["errors"][source] = str(error).splitlines()[0] if str(error) else repr(error)
         if request.kind.stage_2:
-            out["run_id"] = self.create_run(request.slot_id)
+            out["run_id"] = self.create_run(request.slot_id, request.key_hash())
             self.stage_2(request.slot_id, out["run_id"], request.broad, request.keywords)
         if request.kind.stage_3:
             self.stage_3(out["run_id"], request.profile, scorer, request.max_jobs)

@@ -5,15 +5,18 @@ Slots are the remainders of document ids by four; their words come from the test
 
 from __future__ import annotations
 
+import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import deep_pages, keyword_index, merge, status_fold
+from .functions import identity, places
+from .operators import deep_pages, keyword_index, listing, merge, retention, stages, status_fold
 from .operators.listing import Page
-from .queries import CLOCK, ORACLE_SQL, query, slot_jobs, table
+from .queries import _WITH, CLOCK, ORACLE_SQL, jobs, query, run_jobs, slot_jobs, table
 from .queries import _stored as stored_and_incoming
 from .sources.paging import shared_folder
 
@@ -122,9 +125,83 @@ def status_fold_of_writes(spark, sf_dir):
     """Five writes for each job, in order."""
     n = F.col("job_id")
     two = F.when(n % 5 == 1, schema.REJECTED_2).when(n % 5 != 0, schema.PASSED_2)
-    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
-    current = jobs.where(n % 5 != 0).select(F.lit(1).alias("pipeline_run_id"), "job_id", two.alias("stage2_status"), F.when(n % 5 == 4, schema.PASSED_3).alias("stage3_status"), F.lit(None).cast("string").alias("stage3_rationale"))
-    each = jobs.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    every = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    current = every.where(n % 5 != 0).select(F.lit(1).alias("pipeline_run_id"), "job_id", two.alias("stage2_status"), F.when(n % 5 == 4, schema.PASSED_3).alias("stage3_status"), F.lit(None).cast("string").alias("stage3_rationale"))
+    each = every.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(5))))
     names = F.array(*(F.lit(x) for x in (*schema.STAGE_2, *schema.STAGE_3)))
     status = F.get(names, ((F.floor(n / 3) + F.col("seq") * (n % 3 + 1)) % 4).cast("int"))
     return status_fold.folded(current, each.select(F.lit(1).alias("pipeline_run_id"), "job_id", "seq", status.alias("status"))).drop("pipeline_run_id")
+
+
+# ---- retention by days ---------------------------------------------------------------------------------------------
+
+
+def _retained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs and run rows after a retention run over stored tables, cut within a day."""
+    made = jobs(spark, sf_dir).withColumn("created_at", F.col("posted_at")).select("job_id", "source", "created_at")
+    rows = run_jobs(spark, sf_dir).select("pipeline_run_id", "job_id", "stage2_status")
+    root = f"{shared_folder(spark)}/retained-{uuid.uuid4().hex}"
+    retention.write_by_day(made, f"{root}/jobs")
+    retention.write_children(rows, made, f"{root}/run_jobs", parent_key="job_id")
+    own, kids = "job_id bigint, source string, created_at timestamp_ntz", "pipeline_run_id bigint, job_id bigint, stage2_status string"
+    retention.retain(spark, f"{root}/jobs", own, datetime(2024, 1, 24, 9, 30), {f"{root}/run_jobs": kids}, parent_key="job_id")
+    return spark.read.schema(own).parquet(f"{root}/jobs"), spark.read.schema(kids).parquet(f"{root}/run_jobs")
+
+
+_KEPT = "posted_at >= TIMESTAMP '2024-01-24 09:30:00'"
+
+
+@query(f"{_WITH} SELECT job_id, source FROM jobs WHERE {_KEPT}")
+def retention_of_days(spark, sf_dir):
+    return _retained(spark, sf_dir)[0].select("job_id", "source")
+
+
+@query(f"{_WITH} SELECT pipeline_run_id, job_id, stage2_status FROM run_jobs WHERE job_id IN (SELECT job_id FROM jobs WHERE {_KEPT})")
+def retention_of_days_cascade(spark, sf_dir):
+    return _retained(spark, sf_dir)[1].select("pipeline_run_id", "job_id", "stage2_status")
+
+
+# ---- guards, debug lists, a model's scores -------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(trim(url), '^(?i)https://[^/?#]+') THEN 'https' || substring(trim(url), 6) END AS url FROM pages")
+def https_guard(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", identity.https_url(F.col("url")).alias("url"))
+
+
+@query(f"{_WITH} SELECT job_id, posted_at FROM jobs ORDER BY posted_at DESC NULLS LAST, job_id LIMIT 200")
+def debug_listing(spark, sf_dir):
+    return listing.debug_list(jobs(spark, sf_dir).select("job_id", "posted_at"))
+
+
+def _stand_in(prompt: str) -> str:
+    """A model for the query below: the score is the length of the description."""
+    said = prompt.split("Description:\n", 1)[1]
+    answer = {"score": len(said) % 101, "rationale": f"{len(said)} characters"}
+    return json.dumps({"content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": json.dumps(answer)}]})
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) % 101 AS INTEGER) AS score, length(coalesce(text, '')) || ' characters' AS reason FROM documents")
+def model_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit("C").alias("company"), F.col("text").alias("description"))
+    return stages.scored_by_model(docs, "p", _stand_in).select("doc_id", "score", "reason")
+
+
+# ---- the country file ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'GB' WHEN 1 THEN '' ELSE chr(CAST(65 + c_nationkey // 5 AS INTEGER)) || chr(CAST(65 + c_nationkey % 5 AS INTEGER)) END AS code FROM customer"""
+)
+def country_file(spark, sf_dir):
+    """Customers' places against a country file made of all nations; aliases are known beside it, some places are nowhere."""
+    key = F.col("n_nationkey").cast("int")
+    code = F.concat(F.char(F.floor(key / 5) + 65), F.char(key % 5 + 65))
+    entries = table(spark, sf_dir, "nation").select(F.to_json(F.struct(code.alias("alpha_2"), F.col("n_name").alias("name"))).alias("entry"))  # a dimension
+    path = f"{shared_folder(spark)}/countries-{uuid.uuid4().hex}"
+    entries.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("entry")), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    known = places.Countries.read(spark, path)
+    n = F.col("c_custkey")
+    own = F.concat(F.lit("Worldwide, nation_"), F.col("c_nationkey").cast("string"))
+    where = F.when(n % 4 == 0, " U.K. ").when(n % 4 == 1, "Remote, Atlantis").otherwise(own)
+    return table(spark, sf_dir, "customer").select("c_custkey", known.first(F.array(where), F.array(F.lit("NATION_1x"))).alias("code"))

@@ -52,6 +52,32 @@ def test_ingest_twice_skips(spark, engine):
     assert engine.slot_jobs().count() == 4
 
 
+def test_repeated_rows_of_an_ingest(spark, engine):
+    rows = some_jobs(spark, 3)
+    last = rows.where("id = 'j01'").withColumn("title", F.lit("Last"))
+    old = rows.where("id = 'j02'").withColumn("posted_at", F.lit(datetime(2020, 1, 1)))
+    told = engine.ingest("slot", "s", rows.unionByName(last).unionByName(old).coalesce(1), BroadRules())
+    assert told == {"written": 3, "skipped": 1, "filtered": 1}
+    assert {r["id"]: r["title"] for r in engine.jobs().collect()}["j01"] == "Last"
+
+
+def test_runs_keep_the_hash_of_their_rules(spark, engine):
+    slot = "00000000-0000-0000-0000-000000000001"
+    request = Request(Kind.PIPELINE_STAGE2, slot, broad=BroadRules(synonyms=("Go",)))
+    run = engine.run(request)["run_id"]
+    engine.run(Request(Kind.PIPELINE_STAGE2, "slot"))
+    assert [r["broad_filter_key_hash"] for r in engine.runs().orderBy("id").collect()] == [request.key().digest(), None] and run == 1
+
+
+def test_a_model_scores(spark):
+    jobs = spark.createDataFrame([("T", None, "D")], "title string, company string, description string")
+    reply = lambda answer: lambda prompt: json.dumps({"content": [{"type": "text", "text": answer}, {"type": "x", "text": "no"}]})
+    row = stages.scored_by_model(jobs, "p", reply(' {"score": 7, "rationale": "r"} ')).first()
+    assert (row["score"], row["reason"]) == (7, "r")
+    with pytest.raises(Exception, match="bad answer"):
+        stages.scored_by_model(jobs, "p", reply('{"score": 101, "rationale": "r"}')).collect()
+
+
 def test_bad_status_changes_are_errors(spark):
     rows = spark.createDataFrame([(1, "a", schema.PASSED_2, schema.PASSED_3, None), (1, "b", schema.REJECTED_2, None, None)], schema.RUN_JOBS)
     for job, status in (("a", schema.REJECTED_3), ("b", schema.PASSED_3), ("c", schema.PASSED_3), ("b", "x"), (" ", schema.PASSED_2)):
