@@ -30,36 +30,51 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of what a whole copy of the item gets, and least number of words that match.
 LEAST_SCORE = 0.4
 LEAST_WORDS = 8
+#: A score of so many words, copied verbatim, counts whatever the item's length.
+LONG_WORDS = 50
 #: Bytes that a word of a test item takes in the lookups of a task, with room to spare.
 _WORD_BYTES = 64
 
+#: More than the words of any alignment.
+_UNIT = 1 << 31
+
 FOUND_SCHEMA = "doc bigint, tag bigint, item bigint, score double, matched int, begin int, end int"
 
 
+def _row(above: np.ndarray, passage: np.ndarray, word: np.uint64, steps: np.ndarray, local: bool) -> np.ndarray:
+    """Next row of the alignment table.  A cell is its score times ``_UNIT`` plus the words that match, so that of equal
+    scores the one with more matches counts; local cells without a score are 0."""
+    row = above + GAP * _UNIT
+    row[1:] = np.maximum(row[1:], above[:-1] + np.where(passage == word, MATCH * _UNIT + 1, MISMATCH * _UNIT))
+    if local:
+        row = np.where(row < _UNIT, 0, row)
+    row = np.maximum.accumulate(row + steps) - steps  # gaps along the row: the best earlier cell less one for each step
+    return np.where(row < _UNIT, 0, row) if local else row
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment of two word sequences: (score, matched words, begin and end in ``passage``)."""
-    width = len(passage) + 1
-    steps = np.arange(width) * -GAP
-    rows = np.zeros((len(item) + 1, width), dtype=np.int64)
+    """Best local alignment of two word sequences: (score, matched words, begin and end in ``passage``).
+
+    Two rows of the table are held at a time, so memory grows with the passage alone; a second pass runs backwards from
+    the end to find where the alignment begins.
+    """
+    steps = np.arange(len(passage) + 1) * (-GAP * _UNIT)
+    row, best, last, end = np.zeros(len(passage) + 1, dtype=np.int64), 0, 0, 0
     for i, word in enumerate(item, 1):
-        above = rows[i - 1]
-        row = np.maximum(above + GAP, 0)
-        row[1:] = np.maximum(row[1:], above[:-1] + np.where(passage == word, MATCH, MISMATCH))
-        # gaps along the row: the best earlier cell less one for each step
-        rows[i] = np.maximum.accumulate(row + steps) - steps
-    best = int(rows.max())
-    i, end = (int(x) for x in np.unravel_index(int(rows.argmax()), rows.shape))
-    j, matched = end, 0
-    while i and j and rows[i, j] > 0:
-        same = passage[j - 1] == item[i - 1]
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, j, end
+        row = _row(row, passage, word, steps, True)
+        at = int(row.argmax())
+        if row[at] > best:
+            best, last, end = int(row[at]), i, at
+    if not best:
+        return 0, 0, 0, 0
+    back, row, begin = passage[:end][::-1], -steps[: end + 1].copy(), end
+    for word in item[:last][::-1]:
+        row = _row(row, back, word, steps[: end + 1], False)
+        at = int(row.argmax())
+        if row[at] >= best:
+            begin = end - at
+            break
+    return best // _UNIT, best % _UNIT, begin, end
 
 
 def _sequences(column: pa.Array, keyed: textcols.Prints) -> list[np.ndarray]:
@@ -144,7 +159,7 @@ def _found(lookups, keyed: textcols.Prints, seed: int, least_score: float, least
                         score, matched, x, y = align(item, found.code[begin:end])
                         best = max(best, (score, matched, begin + x - first, begin + y - first))
                     share = best[0] / (MATCH * len(item))
-                    if share >= least_score and best[1] >= least_words:
+                    if _is_copy(best[0], best[1], len(item), least_score, least_words):
                         for k, v in zip(out, (r + a, ids[own], share, best[1], best[2], best[3]), strict=True):
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays(
@@ -160,6 +175,13 @@ def _found(lookups, keyed: textcols.Prints, seed: int, least_score: float, least
     return find
 
 
+def _is_copy(score: int, matched: int, words: int, least_score: float, least_words: int) -> bool:
+    """Whether an alignment tells a copy: a share of the item, or a long part of it; a short item must be there word by word."""
+    if words < least_words:
+        return score == MATCH * words
+    return (score >= least_score * MATCH * words and matched >= least_words) or score >= MATCH * LONG_WORDS
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -175,10 +197,13 @@ def contaminated(
 ) -> DataFrame:
     """One row for each row of ``docs`` and test item that it holds a copy of, whole, in part or edited.
 
+    A copy has ``least_score`` of the score of a whole one and ``least_words`` words that match, or a score worth
+    ``LONG_WORDS`` verbatim words.  Items of ``seed`` words up to ``least_words`` count where all their words stand in a row.
+
     Columns: ``doc_id``, ``item_id``, ``score`` (share of a whole copy's alignment score), ``matched`` words and the
     range ``begin_word``, ``end_word`` of the document's words, and ``text_hash``, which tells rows of one id apart.  Words are lower-cased runs without ASCII space or
-    punctuation.  Null and empty texts hold nothing, and so do items with fewer than ``least_words`` words: too short
-    to tell a copy from chance.  Repeated documents and items give repeated rows.  Other columns are not read.
+    punctuation.  Null and empty texts hold nothing; items with fewer than ``seed`` words are looked for nowhere, as
+    they are too short to tell a copy from chance.  Repeated documents and items give repeated rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
@@ -192,7 +217,7 @@ def contaminated(
         some = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).toArrow()
         items = _sequences(some.column("text"), keyed) if some.num_rows else []
         ids = some.column("item").to_pylist()
-        usable = [i for i, codes in enumerate(items) if len(codes) >= max(seed, least_words)]
+        usable = [i for i, codes in enumerate(items) if len(codes) >= seed]
         items, ids = [items[i] for i in usable], [ids[i] for i in usable]
         if not items:
             continue

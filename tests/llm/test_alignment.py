@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from siftline.llm import decontamination as leaks
 
 
@@ -56,6 +58,35 @@ def test_agrees_with_alignment_of_all_pairs(spark):
     assert len(wanted) > 15 and sorted((g for g in got if g not in unsure), key=str) == sorted(wanted, key=str)
 
 
+def test_parts_of_long_items_and_whole_short_ones(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(5000)}"
+    long, short = [word() for _ in range(200)], [word() for _ in range(6)]
+    pad = lambda n: [word() for _ in range(n)]
+    texts = [
+        [*pad(300), *long[60:130], *pad(300)],  # 70 verbatim words of 200
+        [*pad(20), *short, *pad(20)],
+        [*pad(20), *short[:3], "x", *short[3:], *pad(20)],
+        [*pad(20), *short[:5], *pad(20)],
+        [*pad(20), *long[60:100], *pad(20)],  # 40 of them
+        pad(2000),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, "two words")], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["matched"], r["begin_word"], r["end_word"]) for r in leaks.contaminated(docs, items).collect()}
+    assert found == {(0, 1): (70, 300, 370), (1, 2): (6, 20, 26)}
+
+
+def test_alignment_in_two_rows():
+    rng = random.Random(4)
+    for _ in range(200):
+        item, passage = ([rng.randrange(6) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        score, matched, begin, end = leaks.align(np.array(item, np.uint64), np.array(passage, np.uint64))
+        assert score == aligned(item, passage)
+        # the part that it names has that score alone, and matches make up for it
+        assert score == aligned(item, passage[begin:end]) and 2 * matched >= score and matched <= end - begin
+
+
 def test_tables_without_rows(spark):
     docs, items = (spark.createDataFrame([], f"{n}_id bigint, text string") for n in ("doc", "item"))
     full = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id bigint, text string")
