@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontamination, jaccard_join, language_id, substring_dedup, word_bpe
-from siftline.llm.work import Scratch
+from siftline.llm.work import Scratch, text_tag
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The least score of a language that keeps a document.
@@ -56,7 +56,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("g.doc_id").eqNullSafe(F.col("s.first.doc_id")) & (F.col("g.text_hash") == F.col("s.first.text_hash"))
     met = met.groupBy("g.doc_id", "g.text_hash").agg(F.first(same).alias("stays"), F.count(F.lit(1)).alias("rows"))
     marked = scratch.keep(met.where("not stays or rows > 1").select("doc_id", "text_hash", "stays"), "marked")
-    rows = _documents(docs).withColumn("text_hash", F.xxhash64("text"))
+    rows = _documents(docs).withColumn("text_hash", F.coalesce(text_tag(F.col("text")), F.lit(0)))
     equal = _same_rows(rows, marked.where("stays"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return _same_rows(rows, marked, "left_anti").unionByName(equal).select(*COLUMNS)
 
@@ -71,7 +71,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that hold a benchmark item, whole, in part or edited."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = Scratch(spark, "leaks").keep(found.select("doc_id", "text_hash").distinct(), "leaks")  # few, so that Spark may broadcast them
-    return _same_rows(_documents(docs).withColumn("text_hash", F.xxhash64("text")), found, "left_anti").select(*COLUMNS)
+    return _same_rows(_documents(docs).withColumn("text_hash", text_tag(F.col("text"))), found, "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

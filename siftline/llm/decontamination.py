@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols
-from .work import BROADCAST_LIMIT, Scratch, check_broadcast
+from .work import BROADCAST_LIMIT, Scratch, check_broadcast, text_tag
 
 SEED = 3
 RARE = 1e-3
@@ -208,7 +208,7 @@ def contaminated(
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     keyed = textcols.Prints(textcols.draw_seed())
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), text_tag(F.col(text_col).cast("string")).alias("tag"), F.lower(F.col(text_col).cast("string")).alias("text"))
     tests = benchmark.select(F.col(item_id_col).cast("bigint").alias("item"), F.lower(F.col(item_text_col).cast("string")).alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     shards = max(1, -(-size * _WORD_BYTES // shard_bytes))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols
+from .work import text_tag
 
 PASSAGE_SCHEMA = "key bigint, single boolean, crowd bigint, doc bigint, tag bigint, lo int, n int, units binary"
 #: Runs that a task gathers before it counts equal ones.
@@ -61,7 +62,7 @@ class Grain:
 def documents(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``(doc, tag, text)`` of every row, and further columns."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), *more)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(text_tag(text), F.lit(0)).alias("tag"), text.alias("text"), *more)
 
 
 def same_document(left: str, right: str) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -90,6 +91,15 @@ def met_by_key(rows: DataFrame, table: DataFrame, key: str, copies: str, salted_
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: Drawn for each driver, so that no text can be written whose tag is another's.
+_TAG_KEY = secrets.token_hex(32)
+
+
+def text_tag(text: Column) -> Column:
+    """A 64-bit number that tells texts of one id apart: the head of a keyed SHA-256, the same all over a driver's life."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(_TAG_KEY), text), 256), 1, 16), 16, -10).cast("bigint")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

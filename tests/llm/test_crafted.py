@@ -7,8 +7,9 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from siftline.llm import chat_format, jaccard_join, substring_dedup, suffix_dedup, textcols, word_bpe
+from siftline.llm import chat_format, decontamination, jaccard_join, substring_dedup, suffix_dedup, textcols, word_bpe
 
 
 def thue_morse(first: str, second: str, n: int = 1024) -> str:
@@ -18,6 +19,46 @@ def thue_morse(first: str, second: str, n: int = 1024) -> str:
 A, B = thue_morse("a", "b"), thue_morse("b", "a")
 
 
+_P1, _P2, _ALL = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+
+def equal_xxhash64(blocks: int = 14, seed: int = 42) -> tuple[str, str]:
+    """Two ASCII texts of 64 bytes a block with equal XXH64: in each lane a second word makes up for an unlike first one."""
+    rng = random.Random(1)
+    lanes = [(seed + _P1 + _P2) & _ALL, (seed + _P2) & _ALL, seed, (seed - _P1) & _ALL]
+    step = lambda acc, word: (lambda x: ((x << 31 | x >> 33) & _ALL) * _P1 & _ALL)((acc + word * _P2) & _ALL)
+    ascii_word = lambda: int.from_bytes(bytes(rng.randrange(97, 123) for _ in range(8)), "little")
+    pair: tuple[list[bytes], list[bytes]] = ([], [])
+    for _ in range(blocks):
+        stripes = [[0] * 8, [0] * 8]
+        for lane in range(4):
+            while True:
+                x, y, other = ascii_word(), ascii_word(), ascii_word()
+                a, b = step(lanes[lane], x), step(lanes[lane], other)
+                made_up = (y + (a - b) * pow(_P2, -1, 1 << 64)) & _ALL
+                if all(32 <= c < 127 for c in made_up.to_bytes(8, "little")):
+                    break
+            lanes[lane] = step(a, y)
+            for own, (first, second) in zip(stripes, ((x, y), (other, made_up)), strict=True):
+                own[lane], own[4 + lane] = first, second
+        for out, own in zip(pair, stripes, strict=True):
+            out += [w.to_bytes(8, "little") for w in own]
+    return tuple(b"".join(x).decode() for x in pair)
+
+
+def test_texts_of_equal_public_hash_are_told_apart(spark):
+    a, b = equal_xxhash64()
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b)], "doc_id bigint, text string")
+    assert a != b and docs.select(F.xxhash64("text")).distinct().count() == 1
+    found = sorted((r["doc_id"], bytes(r["kept"]).decode(), r["n_removed"]) for r in suffix_dedup.suffix_dedup(docs).collect())
+    assert found == sorted([(1, a, 0), (1, "", len(b)), (2, "", len(b))])
+    sets = sorted((r["doc_id"], r["component_id"], r["text_hash"]) for r in jaccard_join.jaccard_components(docs).collect())
+    assert len({t for _, _, t in sets}) == 2 and [c for _, c, _ in sets] == [1, 1, 1]  # the two of b are linked, and name 1
+    items = spark.createDataFrame([(7, "one two three four five six seven eight")], "item_id bigint, text string")
+    leaked = docs.union(spark.createDataFrame([(1, "x one two three four five six seven eight y")], docs.schema))
+    assert [r["doc_id"] for r in decontamination.contaminated(leaked, items).collect()] == [1]
+
+
 def made(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
 
