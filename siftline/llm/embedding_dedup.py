@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import Scratch, check_broadcast
+from .work import SHARES, Scratch, check_broadcast
 
 SAMPLE = 16_384
 LISTS = 65_536
@@ -300,7 +300,7 @@ def _union(spark, parts: list[DataFrame]) -> DataFrame:
 
 def _linked(spark, scratch: Scratch, kinds: DataFrame, dim: int, size: int, kind: type, threshold: float, lists: int | None, sample: int) -> DataFrame:
     """``(a, b, n)``: a = b has the links of a kind, others are links that span the components."""
-    share = F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample / size)))
+    share = F.pmod(F.xxhash64("raw"), F.lit(SHARES)) < max(1, int(SHARES * min(1.0, sample / size)))
     train = kinds.where(share if size > sample else F.lit(True)).select("raw").limit(sample).toArrow().column("raw").combine_chunks()
     if not len(train):
         train = kinds.select("raw").limit(1).toArrow().column("raw").combine_chunks()

@@ -13,26 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from . import textcols
-from .work import Scratch, check_broadcast
+from .work import BROADCAST_LIMIT, SHARES, Scratch, check_broadcast
 
 UNDETERMINED = "und"
 #: Labelled rows used for fitting, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 12_000
-#: More languages are refused: the table of pieces by language is broadcast, with 8 bytes for each entry.
-LANGUAGES = 300
 ROUNDS = 3
 #: Probability of a single byte that no piece covers.
 BYTE = 1e-6
-#: Fitting cuts longer words of its sample into parts of so many bytes; scoring sums over whole words.
-FITTED_PART = 64
-#: Distinct words whose sums a task keeps.
-KEPT_WORDS = 400_000
+#: Sums of a word in a language that a task keeps.
+KEPT_SUMS = 4_000_000
 _AT_ONCE = 16_384
+_SUMS_AT_ONCE = 1 << 19
 _BYTES_AT_ONCE = 400_000
 #: After so many bytes the sums are scaled, so that long words don't vanish.
 _SCALED = 16
@@ -125,51 +122,53 @@ class Lattice:
         back[self.order] = out
         return back
 
-    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations of short words, weighted by language."""
-        weight = weight[self.order]
-        ahead = np.zeros((len(self.groups), self.n, p.shape[1]))
-        ahead[0] = 1
+    def expected(self, p: np.ndarray, language: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces by language, over all segmentations of each word in its one language.
+
+        Sums are kept as logarithms, and only up to the end of each word, so words of any length are summed whole.
+        """
+        language, weight = language[self.order], weight[self.order]
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        byte = np.log(BYTE)
+        ahead = [np.zeros(self.n)]
         for j in range(1, len(self.groups)):
-            alive = int(self.alive[j])
-            ahead[j, :alive] = ahead[j - 1, :alive] * BYTE
+            ahead.append(ahead[-1][: self.alive[j]] + byte)
             for size, lo, hi in self.groups[j]:
                 word = self.word[lo:hi]
-                ahead[j, word] += ahead[j - size, word] * p[self.number[lo:hi]]
-        back = np.zeros_like(ahead)
-        back[self.length, np.arange(self.n)] = 1
-        share = weight / ahead[self.length, np.arange(self.n)]
+                ahead[j][word] = np.logaddexp(ahead[j][word], ahead[j - size][word] + log_p[self.number[lo:hi], language[word]])
+        back = [np.full(len(x), -np.inf) for x in ahead]
+        whole = np.empty(self.n)
+        for j, sums in enumerate(back):
+            ended = slice(self.alive[j + 1], self.alive[j])
+            sums[ended], whole[ended] = 0, ahead[j][ended]
         counts = np.zeros_like(p)
         for j in range(len(self.groups) - 1, 0, -1):
             for size, lo, hi in self.groups[j]:
                 word, number = self.word[lo:hi], self.number[lo:hi]
-                part = back[j, word] * p[number]
-                np.add.at(counts, number, ahead[j - size, word] * part * share[word])
-                back[j - size, word] += part
-            alive = int(self.alive[j])
-            back[j - 1, :alive] += back[j, :alive] * BYTE
+                part = back[j][word] + log_p[number, language[word]]
+                np.add.at(counts, (number, language[word]), weight[word] * np.exp(ahead[j - size][word] + part - whole[word]))
+                back[j - size][word] = np.logaddexp(back[j - size][word], part)
+            alive = self.alive[j]
+            back[j - 1][:alive] = np.logaddexp(back[j - 1][:alive], back[j] + byte)
         return counts
 
 
-def _blocks(pieces: Pieces, raw: bytes, begin: np.ndarray, end: np.ndarray, part: int | None = None) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Lattices of words of ``raw``, each with a space before it, and the words' numbers; with ``part``: of their parts."""
+def _blocks(pieces: Pieces, raw: bytes, begin: np.ndarray, end: np.ndarray, columns: int = 1) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Lattices of words of ``raw``, each with a space before it, and the words' numbers; fewer words with more ``columns``."""
     joined = b"".join(b" " + raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True))
     data = np.frombuffer(joined, np.uint8)
     length = end - begin + 1
     start = np.cumsum(length) - length
-    word = np.arange(len(begin))
-    if part:
-        word = np.repeat(word, -(-length // part))
-        nth = np.arange(len(word)) - np.searchsorted(word, word)
-        start, length = start[word] + nth * part, np.minimum(length[word] - nth * part, part)
     by_length = np.argsort(length, kind="stable")
     filled = np.cumsum(length[by_length])
+    most = max(1, min(_AT_ONCE, _SUMS_AT_ONCE // max(1, columns)))
     lo = 0
-    while lo < len(word):
+    while lo < len(begin):
         done = int(filled[lo - 1]) if lo else 0
-        hi = min(lo + _AT_ONCE, max(lo + 1, int(np.searchsorted(filled, done + _BYTES_AT_ONCE, side="right"))))
+        hi = min(lo + most, max(lo + 1, int(np.searchsorted(filled, done + _BYTES_AT_ONCE, side="right"))))
         own = by_length[lo:hi]
-        yield word[own], Lattice(pieces, data, start[own], length[own])
+        yield own, Lattice(pieces, data, start[own], length[own])
         lo = hi
 
 
@@ -182,10 +181,24 @@ class Model:
     def words(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(begin), len(self.languages)))
-        for word, lattice in _blocks(self.pieces, raw, begin, end):
+        for word, lattice in _blocks(self.pieces, raw, begin, end, len(self.languages)):
             out[word] = lattice.totals(self.p)
         return out
 
+    def shards(self, at_once: int | None = None) -> list[Model]:
+        """The model by languages, ``at_once`` in each shard; by default as many as may be broadcast."""
+        at_once = at_once or _languages_at_once(self.pieces)
+        cuts = range(0, max(1, len(self.languages)), at_once)
+        return [Model(self.languages[i : i + at_once], self.pieces, self.p[:, i : i + at_once]) for i in cuts]
+
+    def sent(self, spark: SparkSession):
+        check_broadcast(self.p.nbytes + self.pieces.prints.nbytes, "the language model")
+        return spark.sparkContext.broadcast(Model(self.languages, self.pieces, np.ascontiguousarray(self.p)))
+
+
+def _languages_at_once(pieces: Pieces) -> int:
+    return max(1, (BROADCAST_LIMIT - pieces.prints.nbytes) // max(1, pieces.prints.nbytes))
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each slice by language: (language, word, n)."""
@@ -213,11 +226,10 @@ def _expectation(model):
         for batch in batches:
             words = batch.column("word").to_pylist()
             end = np.cumsum([len(x) for x in words])
-            weight = np.zeros((len(words), len(own.languages)))
-            weight[np.arange(len(words)), batch.column("language").to_numpy()] = batch.column("n").to_numpy()
+            language, weight = batch.column("language").to_numpy(), batch.column("n").to_numpy()
             if len(words):
-                for word, lattice in _blocks(own.pieces, b"".join(words), end - [len(x) for x in words], end, FITTED_PART):
-                    total += lattice.expected(own.p, weight[word])
+                for word, lattice in _blocks(own.pieces, b"".join(words), end - [len(x) for x in words], end):
+                    total += lattice.expected(own.p, language[word], weight[word])
         piece, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(total[piece, language])], names=["piece", "language", "n"]
@@ -226,40 +238,44 @@ def _expectation(model):
     return expect
 
 
-def fit(labelled: DataFrame, pieces: Pieces, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model:
-    """Fits on about ``sample_rows`` rows, chosen by the text's hash, of those with a language and a text."""
+def fit(
+    labelled: DataFrame, pieces: Pieces, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, at_once: int | None = None
+) -> Model:
+    """Fits on about ``sample_rows`` rows, chosen by the text's hash, of those with a language and a text.
+
+    Languages are fitted apart from each other, ``at_once`` in one pass over the sample's words.
+    """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "language")
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     languages = list(sizes)
     p = np.full((len(pieces.prints), max(1, len(languages))), 1 / len(pieces.prints))
-    model = Model(languages, pieces, p)
     if not languages:
-        return model
+        return Model(languages, pieces, p)
     # as many rows of each language, so that rare languages are fitted as well as frequent ones
-    share = F.lit(0)
-    number = F.lit(None).cast("int")
-    for i, lang in enumerate(languages):
-        share = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * sample_rows // len(languages) // sizes[lang] + 1)).otherwise(share)
-        number = F.when(F.col("lang") == lang, i).otherwise(number)
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(number.alias("language"), "text")
+    shares = [(lang, i, min(SHARES, SHARES * sample_rows // len(languages) // n + 1)) for i, (lang, n) in enumerate(sizes.items())]
+    check_broadcast(sum(len(lang.encode()) + 64 for lang in languages), "the list of languages")
+    shares = F.broadcast(spark.createDataFrame(shares, "lang string, language int, share bigint"))
+    taken = rows.join(shares, "lang").where(F.pmod(F.xxhash64("text"), F.lit(SHARES)) < F.col("share")).select("language", "text")
     counts = taken.mapInArrow(_counted, "language int, word binary, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "words")
-    for _ in range(rounds):
-        check_broadcast(model.p.nbytes + pieces.prints.nbytes, "the language model")
-        expected = counts.mapInArrow(_expectation(spark.sparkContext.broadcast(model)), "piece int, language int, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
-        n = np.full_like(p, 0.01)
-        n[expected.column("piece").to_numpy(), expected.column("language").to_numpy()] += expected.column("n").to_numpy()
-        model = Model(languages, pieces, n / n.sum(0))
+    fitted, first = [], 0
+    for shard in Model(languages, pieces, p).shards(at_once):
+        own = counts.where(F.col("language").between(first, first + len(shard.languages) - 1)).withColumn("language", F.col("language") - first)
+        for _ in range(rounds):
+            expected = own.mapInArrow(_expectation(shard.sent(spark)), "piece int, language int, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
+            n = np.full_like(shard.p, 0.01)
+            n[expected.column("piece").to_numpy(), expected.column("language").to_numpy()] += expected.column("n").to_numpy()
+            shard = Model(shard.languages, pieces, n / n.sum(0))
+        fitted.append(shard.p)
+        first += len(shard.languages)
     scratch.drop("words")
-    return model
+    return Model(languages, pieces, np.hstack(fitted))
 
 
 class _Sums:
-    """Log probabilities of the distinct words that a task has met, up to ``KEPT_WORDS``."""
+    """Log probabilities of the distinct words that a task has met, up to ``KEPT_SUMS``."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -274,7 +290,7 @@ class _Sums:
         out = np.empty((len(code), self.sums.shape[1]))
         out[old] = self.sums[at[old]]
         out[~old] = self.model.words(raw, found.start[new], found.end[new])
-        if len(self.codes) + len(new) > KEPT_WORDS:
+        if (len(self.codes) + len(new)) * self.sums.shape[1] > KEPT_SUMS:
             self.codes, self.sums = code, out
         else:
             codes, sums = np.concatenate([self.codes, code[~old]]), np.concatenate([self.sums, out[~old]])
@@ -283,52 +299,71 @@ class _Sums:
         return out[back]
 
 
-def _predicted(model):
+#: What is known of a row after some of the languages: the likeliest one, its log probability, and the sum of all as a multiple of it.
+_STATE = [StructField("lang_pred", StringType()), StructField("peak", DoubleType()), StructField("mass", DoubleType())]
+
+
+def _predicted(model, last: bool):
+    """Adds the languages of ``model`` to the state of each row; the ``last`` pass lets go of the texts."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
         sums = _Sums(own)
         keyed = textcols.Prints(textcols.draw_seed())
         names = np.array([*own.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in textcols.slices(batch.column(1)):
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            lettered, peaks, masses = (batch.column(at[x]).to_numpy(zero_copy_only=False) for x in ("lettered", "peak", "mass"))
+            for a, b, data, offsets in textcols.slices(batch.column(at["text"])):
                 found = textcols.words(data, offsets, keyed)
                 total = np.zeros((b - a, max(1, len(own.languages))))
                 worded = np.flatnonzero(np.diff(found.first))
                 if len(worded) and own.languages:
                     # each row's words alone are added, so that equal texts get equal sums
                     total[worded] = np.add.reduceat(sums.of(data.tobytes(), found), found.first[worded], axis=0)
-                best = total.argmax(1)
-                score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                no = ~lettered[a:b] | (len(own.languages) == 0)
-                best[no], score[no] = len(own.languages), 0.0
-                carried = [batch.column(i).slice(a, b - a) for i in range(3, batch.num_columns)]
-                out = [batch.column(0).slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), *carried]
-                yield pa.RecordBatch.from_arrays(out, names=["doc", "lang_pred", "score", *batch.schema.names[3:]])
+                best, here = total.argmax(1), total.max(1)
+                peak = np.maximum(here, peaks[a:b])
+                mass = np.exp(total - here[:, None]).sum(1) * np.exp(here - peak) + masses[a:b] * np.exp(peaks[a:b] - peak)
+                before = np.array(batch.column(at["lang_pred"]).slice(a, b - a).to_pylist(), dtype=object)
+                lang = np.where(here > peaks[a:b], names[best], before)  # the first of equals stays
+                no = ~lettered[a:b].astype(bool) | (len(own.languages) == 0)
+                lang[no], mass[no] = UNDETERMINED, np.inf
+                new = {"lang_pred": pa.array(lang, pa.string()), "peak": pa.array(peak), "mass": pa.array(mass)}
+                kept = [x for x in batch.schema.names if not (last and x in ("text", "lettered"))]
+                yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(at[x]).slice(a, b - a) for x in kept], names=kept)
 
     return predict
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), at_once: int | None = None) -> DataFrame:
     """Per row of ``docs``: id, ``lang_pred`` and ``score``, the language's share of the text's summed probability.
 
     The columns in ``carry`` follow, renamed to ``carried_0`` and so on.
 
     Texts are lower-cased.  Null texts and texts without a letter are ``und`` with score 0; so is all where no language
     was learned.  Of two languages that are equally likely, the alphabetically first is taken.  Repeated rows get
-    equal results.  Other columns are not read, whatever their names.
+    equal results.  Other columns are not read, whatever their names.  A model of more languages than may be broadcast
+    (or than ``at_once``) is applied in several passes, with the rows written between them.
     """
-    check_broadcast(model.p.nbytes + model.pieces.prints.nbytes, "the language model")
+    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    carried = docs.select(*(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry))).schema.fields
-    source = docs.select(
+    rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc"),
         F.lower(text).alias("text"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
+        F.lit(UNDETERMINED).alias("lang_pred"),
+        F.lit(float("-inf")).alias("peak"),
+        F.lit(0.0).alias("mass"),
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
     )
-    schema = StructType([StructField("doc", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *carried])
-    return source.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), schema).withColumnRenamed("doc", id_col)
+    carried = [f for f in rows.schema.fields if f.name.startswith("carried_")]
+    between = StructType([StructField("doc", LongType()), StructField("text", StringType()), StructField("lettered", BooleanType()), *_STATE, *carried])
+    shards = model.shards(at_once)
+    scratch = Scratch(spark, "languages") if len(shards) > 1 else None
+    for number, shard in enumerate(shards[:-1]):
+        rows = scratch.keep(rows.mapInArrow(_predicted(shard.sent(spark), False), between), f"shard-{number}")
+    told = rows.mapInArrow(_predicted(shards[-1].sent(spark), True), StructType([between.fields[0], *_STATE, *carried]))
+    return told.select(F.col("doc").alias(id_col), "lang_pred", (1 / F.col("mass")).alias("score"), *(f.name for f in carried))
 
 
 def fold(id_column: Column, folds: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols
-from .work import Scratch
+from .work import SHARES, Scratch
 
 #: Labelled rows used for fitting, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 3_000
@@ -177,8 +177,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
     out = Field(prior=prior)
     if len(sizes) < 2:
         return out
-    share = F.when(F.col("label") == 1, min(1_000_000, 500_000 * sample_rows // sizes[1] + 1)).otherwise(min(1_000_000, 500_000 * sample_rows // sizes[0] + 1))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    share = F.when(F.col("label") == 1, min(SHARES, SHARES * sample_rows // 2 // sizes[1] + 1)).otherwise(min(SHARES, SHARES * sample_rows // 2 // sizes[0] + 1))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SHARES)) < share)
     kept = scratch.keep(sample.mapInArrow(_line_rows, "label int, sizes binary, x binary"), "lines")
     counted = kept.select(F.xxhash64("sizes", "x").alias("at"), (F.length("sizes") / 8).cast("bigint").alias("lines")).orderBy("at").limit(2 * sample_rows)
     taken, filled = [], 0

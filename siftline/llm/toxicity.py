@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import Scratch, check_broadcast
+from .work import SHARES, Scratch, check_broadcast
 
 #: Labelled rows used for learning, at most (about; rows are chosen by hash).
 SAMPLE_ROWS = 24_000
@@ -166,14 +166,14 @@ def _bounded(entries: DataFrame, text: str, what: str) -> list:
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns from about ``sample_rows`` rows, chosen by the text's hash, of those with a text and a label of 0 or 1.
 
-    ``exceptions`` are further phrases in which no term counts.  Without labels of both kinds the lexicon is empty.
+    ``exceptions`` are further phrases, folded like the texts, in which no term counts.  Without labels of both kinds the lexicon is empty.
     """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "toxicity")
     rows = labelled.select(F.col(text_col).cast("string").alias("raw"), F.col(label_col).cast("int").alias("label")).where("raw is not null and label in (0, 1)")
     size = rows.count()
     if size > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < max(1, 1_000_000 * sample_rows // size))
+        rows = rows.where(F.pmod(F.xxhash64("raw"), F.lit(SHARES)) < max(1, SHARES * sample_rows // size))
     rows = scratch.keep(rows.select(fold(F.col("raw")).alias("text"), "label"), "rows")
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     clean, toxic = by_label.get(0, 0), by_label.get(1, 0)
@@ -187,7 +187,8 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     terms = {r["term"]: r["weight"] for r in taken}
     seen = rows.mapInArrow(_phrase_rows(spark.sparkContext.broadcast(set(terms))), "phrase string, clean bigint, toxic bigint").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     harmless = _bounded(seen.where((F.col("clean") >= LEAST_DOCS) & (F.col("toxic") == 0)).select("phrase"), "phrase", "the exceptions")
-    lexicon = Lexicon(terms, {r["phrase"] for r in harmless} | {f" {x.strip()} " for x in exceptions})
+    given = spark.createDataFrame([(x,) for x in exceptions], "phrase string").select(F.trim(fold(F.col("phrase"))).alias("phrase")).where("phrase <> ''").collect()
+    lexicon = Lexicon(terms, {r["phrase"] for r in harmless} | {f" {r['phrase']} " for r in given})
     check_broadcast(lexicon.n_bytes(), "the lexicon")
     points = rows.mapInArrow(_feature_rows(spark.sparkContext.broadcast(lexicon)), "x0 double, x1 double, x2 double, label int").groupBy("x0", "x1", "x2", "label").count().toArrow()
     x = np.column_stack([points.column(i).to_numpy() for i in range(3)])

@@ -105,7 +105,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: Parts into which keys are hashed for sampling; fine enough for any number of labels.
-_SHARES = 1 << 50
+SHARES = 1 << 50
 
 
 def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
@@ -119,5 +119,5 @@ def sampled_labels(labels: DataFrame, key: str, label: str, rows: int, balanced:
     sizes = {r["kind"]: r["n"] for r in known.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy("kind").limit(64).collect()}
     share = F.lit(0)
     for value, n in sizes.items():
-        share = F.when(kind == value, min(_SHARES, _SHARES * rows // len(sizes) // n + 1)).otherwise(share)
-    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(_SHARES)) < share)), sizes
+        share = F.when(kind == value, min(SHARES, SHARES * rows // len(sizes) // n + 1)).otherwise(share)
+    return F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(SHARES)) < share)), sizes
