@@ -130,6 +130,16 @@ def cursor(watermarks: DataFrame, slot_id: str, source_id: str) -> str:
     return (row and row[0]) or ""
 
 
+def cursors(watermarks: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(slot_id, source_id, ...)`` with each row's cursor, empty where there is none (SNK-10).
+
+    Source ids are trimmed and lower-cased on the way; there is at most one watermark for each pair.
+    """
+    known = watermarks.select("slot_id", F.col("source_id").alias("_source"), "cursor")
+    named = asked.withColumn("_source", F.lower(text.trim(F.col("source_id"))))
+    return named.join(known, ["slot_id", "_source"], "left").withColumn("cursor", text.text(F.col("cursor"))).drop("_source")
+
+
 def by_id(jobs: DataFrame, job_id: str) -> DataFrame:
     """The row of an id; none is an error (SRC-29)."""
     found = jobs.where(F.col("id") == job_id).limit(1)
