@@ -168,3 +168,52 @@ def filter_key(slot_id: Column, role: Column, sources: Column, keywords: Column)
         )
     )
     return F.when(F.size(fields) > 1, F.sha2(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")), 256))
+
+
+# What JSON escapes, and what stored keys escape beside that.
+_ESCAPED = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_ESCAPED_BY_NUMBER = [*(chr(i) for i in range(32) if chr(i) not in _ESCAPED), "<", ">", "&", "\u2028", "\u2029"]
+
+
+def json_text(value: Column) -> Column:
+    """A JSON string with the escapes of stored keys, as ``FilterKey`` writes it."""
+    some = value
+    for sign, written in (_ESCAPED | {c: f"\\u{ord(c):04x}" for c in _ESCAPED_BY_NUMBER}).items():
+        some = F.replace(some, F.lit(sign), F.lit(written))
+    odd = value.rlike(r'[\x00-\x1f"\\<>&\u2028\u2029]')
+    return F.concat(F.lit('"'), F.when(odd, some).otherwise(value), F.lit('"'))
+
+
+def instant_text(at: Column) -> Column:
+    """An instant in UTC with as many digits of a second as it has, whatever the session's zone."""
+    micros = F.unix_micros(at)
+    second = F.pmod(F.floor(micros / 1_000_000), F.lit(86_400))
+    part = F.pmod(micros, F.lit(1_000_000))
+    two = [F.lpad(x.cast("string"), 2, "0") for x in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)]
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int")).cast("string")
+    fraction = F.when(part > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), 6, "0"), "0+$", ""))).otherwise("")
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *two), fraction, F.lit("Z"))
+
+
+def canonical_filter(slot_id: Column, user_id: Column, synonyms: Column, start: Column, end: Column, sources: Column, remote_only: Column, countries: Column) -> Column:
+    """``FilterKey.canonical`` for rows (KEY-02): null without a slot's UUID, or with nothing beside the slot.
+
+    ``start`` and ``end`` are instants; a window with one end is left out.
+    """
+    empty = F.array().cast("array<string>")
+
+    def listed(values: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, empty), lambda v: F.lower(trim(v))), lambda v: v != "")))
+
+    def field_of(name: str, values: Column) -> Column:
+        return once(values, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(v, json_text), ","), F.lit("]"))))
+
+    slot, user = F.lower(trim(slot_id)), F.lower(trim(user_id))
+    is_slot = slot.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & slot.rlike("[1-9a-f]")
+    role = once(F.array_join(listed(synonyms), " "), lambda r: F.when(r != "", F.concat(F.lit('"role":'), json_text(r))))
+    window = F.concat(F.lit('"time_window":{"from":"'), instant_text(start), F.lit('","to":"'), instant_text(end), F.lit('"}'))
+    named = F.transform(F.filter(F.transform(F.coalesce(countries, empty), trim), lambda c: c != ""), lambda c: F.concat(F.lit("country:"), c))
+    words = F.concat(F.when(F.coalesce(remote_only, F.lit(False)), F.array(F.lit("__remote_only__"))).otherwise(empty), named)
+    parts = F.array_compact(F.array(role, window, field_of("sources", listed(sources)), field_of("keywords", listed(words))))
+    head = F.concat(F.lit('{"slot_id":"'), slot, F.lit('"'), F.when(user != "", F.concat(F.lit(',"user_id":'), json_text(user))).otherwise(""))
+    return F.when(is_slot & (F.size(parts) > 0), F.concat(head, F.lit(","), F.array_join(parts, ","), F.lit("}")))

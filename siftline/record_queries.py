@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .functions import text
+from .functions import dates, identity, text
 from .operators import listing, store, surrogates
 from .queries import _WITH, jobs, query, run_jobs, runs, table
 
@@ -186,3 +186,50 @@ def challenge_pages(spark, sf_dir):
 @query("SELECT page_id, regexp_replace(coalesce(url, '') || ' é_-', '[^A-Za-z0-9_-]', '_', 'g') AS segment FROM pages")
 def workflow_segments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.workflow_segment(F.concat(text.text(F.col("url")), F.lit(" é_-"))).alias("segment"))
+
+
+# ---- dates of all layouts, keys of searches ------------------------------------------------------------------------
+
+_LAYOUTS = 9
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % {_LAYOUTS} AS k, make_date(2020 + doc_id % 5, 1 + doc_id % 12, 1 + doc_id % 28) AS day, to_hours(doc_id % 24) + to_minutes(doc_id % 60) AS clock FROM documents),
+    t AS (SELECT doc_id, k, CAST(day AS TIMESTAMP) AS day, CASE k WHEN 1 THEN day + clock + INTERVAL 250 MILLISECONDS - INTERVAL 2 HOURS ELSE day + clock END AS instant FROM d)
+    SELECT doc_id, CASE WHEN k < 2 THEN instant END AS exact, CASE WHEN k < 3 THEN instant WHEN k = 3 THEN day END AS lenient, CASE WHEN k < 2 THEN instant WHEN k = 3 THEN day END AS offset_or_date,
+        CASE WHEN k < 2 THEN instant WHEN k IN (3, 4, 5) THEN day END AS absolute FROM t"""
+)
+def date_layouts(spark, sf_dir):
+    """Dates in every layout that boards write, beside some in none, by each of the four rules."""
+    n = F.col("doc_id")
+    day = F.make_date(n.cast("int") % 5 + 2020, n.cast("int") % 12 + 1, n.cast("int") % 28 + 1)
+    iso = F.concat(day.cast("string"), F.lit("T"), F.lpad((n % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(":00"))
+    shapes = [F.concat(iso, F.lit("Z")), F.concat(iso, F.lit(".25+02:00")), iso, F.concat(F.lit(" "), day.cast("string"), F.lit("\n")), F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "d MMMM yyyy"), F.lit("soon"), F.lit(None), F.lit("2024-13-40")]
+    raw = F.get(F.array(*shapes), (n % _LAYOUTS).cast("int"))
+    rules = {"exact": dates.with_offset, "lenient": dates.lenient, "offset_or_date": dates.offset_or_date, "absolute": dates.absolute}
+    return text.held(table(spark, sf_dir, "documents").select("doc_id"), raw=raw).select("doc_id", *(rule(F.col("raw")).cast("timestamp_ntz").alias(name) for name, rule in rules.items()))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lower(source) AS source, lang, printf('%08x-0000-0000-0000-000000000000', doc_id) AS slot, doc_id % 2 = 0 AS u, doc_id % 3 = 0 AS r, doc_id % 4 = 0 AS w, doc_id % 5 <> 0 AS s, doc_id % 7 = 0 AS k,
+        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') AS instant FROM documents),
+    p AS (SELECT doc_id, slot, u, array_to_string(list_filter([
+            CASE WHEN r THEN '"role":"dev \\"' || lang || '\\" r\\u0026d"' END, CASE WHEN w THEN '"time_window":{"from":"' || instant || 'Z","to":"' || instant || '.5Z"}' END,
+            CASE WHEN s THEN '"sources":["\\u003cb\\u003e\\\\","' || source || '"]' END, CASE WHEN k THEN '"keywords":["__remote_only__","country:' || lang || '"]' END], lambda x: x IS NOT NULL), ',') AS parts FROM d)
+    SELECT doc_id, CASE WHEN doc_id > 0 AND parts <> '' THEN sha256('{"slot_id":"' || slot || '"' || CASE WHEN u THEN ',"user_id":"ann\\t1"' ELSE '' END || ',' || parts || '}') END AS key FROM p"""
+)
+def filter_keys_of_rows(spark, sf_dir):
+    """Keys of as many searches as there are documents, with and without each field, some with signs that are escaped."""
+    n = F.col("doc_id")
+    at = F.timestamp_seconds(n + 1_704_067_200)
+    canonical = identity.canonical_filter(
+        F.concat(F.lpad(F.lower(F.hex(n)), 8, "0"), F.lit("-0000-0000-0000-000000000000")),
+        F.when(n % 2 == 0, " Ann\t1 "),
+        F.when(n % 3 == 0, F.array(F.lit("r&D"), F.concat(F.lit('DEV "'), F.col("lang"), F.lit('"')), F.lit(" "))),
+        F.when(n % 4 == 0, at),
+        F.when(n % 4 == 0, at + F.expr("INTERVAL 500 MILLISECONDS")),
+        F.when(n % 5 != 0, F.array(F.upper("source"), F.lit("<b>\\"), F.col("source"))),
+        n % 7 == 0,
+        F.when(n % 7 == 0, F.array(F.col("lang"), F.upper("lang"))),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(canonical, 256).alias("key"))

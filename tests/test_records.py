@@ -52,3 +52,30 @@ def test_record_queries_agree_with_their_sql(spark, name):
     found = QUERIES[name](spark, SF)
     wanted = told.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, wanted)) and wanted
+
+
+def test_filter_keys_of_rows_are_those_of_one(spark):
+    from datetime import UTC, datetime
+
+    from siftline.functions.identity import FilterKey, canonical_filter
+
+    rng = random.Random(3)
+    odd = ["Go", " go ", "a<b>&c", 'say "x"', "back\\slash", "tab\there", "\x01\x1f\b\f", "  ", "é Ü 你", "", "  ", "\x7f"]
+    slot = "0000000A-0000-0000-0000-00000000000b"
+    rows = []
+    for i in range(80):
+        some = [rng.choices(odd, k=rng.randint(0, 4)) for _ in range(3)]
+        window = tuple(datetime(2024, 3, 31, rng.randrange(24), 5, 7, rng.choice([0, 500_000, 123_456, 10]), tzinfo=UTC) for _ in range(2)) if i % 3 else None
+        rows.append((i, slot, rng.choice([None, " ", "Me"]), some[0], *(window or (None, None)), some[1], i % 2 == 0, some[2]))
+    rows += [(100, "x", None, ["a"], None, None, None, None, None), (101, slot, None, None, datetime(2024, 1, 1, tzinfo=UTC), None, None, None, None), (102, "0" * 8 + "-0000-0000-0000-" + "0" * 12, None, ["a"], None, None, None, None, None)]
+    names = ["slot_id", "user_id", "synonyms", "start", "stop", "sources", "remote_only", "countries"]
+    table = spark.createDataFrame(rows, "i int, slot_id string, user_id string, synonyms array<string>, start timestamp, stop timestamp, sources array<string>, remote_only boolean, countries array<string>")
+    found = {r["i"]: r["key"] for r in table.select("i", canonical_filter(*map(F.col, names)).alias("key")).collect()}
+    assert found[100] is found[101] is found[102] is None
+    for i, own, user, synonyms, start, stop, sources, remote, countries in rows[:80]:
+        one = FilterKey(own, synonyms, (start, stop) if start else None, sources, remote, countries, user)
+        try:
+            wanted = one.canonical()
+        except ValueError:
+            wanted = None
+        assert found[i] == wanted, i
