@@ -1,9 +1,12 @@
-"""Captured pages as a data source: one partition a page, searches and page ranges pushed down.
+"""Captured pages as a data source: searches and page ranges pushed down, pages planned one by one or by blocks.
 
-A capture is a folder of answers, ``mode=<browse|search>/term=<search>/page=<n>/``, as ``capture`` writes it.  The source
-plans only the pages that a read would ask for: those of the searches that a filter on ``term`` names, within the bounds
-that filters on ``page`` set, up to the number of pages that the first answer of a search declares.  Pages that aren't
-planned are never opened.  Each row tells the request that its page answers, in the board's own terms.
+A capture is a folder of answers, ``mode=<browse|search>/term=<search>/block=<n>/``, as ``capture`` writes it: a block
+holds the answers of ``BLOCK`` consecutive page numbers, so files, tasks and what they report grow with the blocks and not
+with the pages.  The source plans only the pages that a read would ask for: those of the searches that a filter on ``term``
+names, within the bounds that filters on ``page`` set, up to the number of pages that the first answer of a search
+declares.  A read of up to ``FEW_BLOCKS`` blocks has a partition for each page, a longer one for each block or several.
+Blocks without a planned page are never opened, other pages of a block never become rows.  Each row tells the request that
+its page answers, in the board's own terms.
 
 Folders are opened through Arrow's file systems (local paths, HDFS, object stores), in the planning and reading workers.
 """
@@ -18,13 +21,23 @@ from urllib.parse import unquote, urlencode
 
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 NAME = "captured_pages"
 SCHEMA = "read string, term string, page int, url string, request string, body string"
 BROWSE, SEARCH = "browse", "search"
 _NO_TERM = "__HIVE_DEFAULT_PARTITION__"
+#: Page numbers of a block of a capture.
+BLOCK = 64
+#: A read of more blocks isn't planned page by page.
+FEW_BLOCKS = 8
+#: Blocks of a partition, where there are enough of them for ``PARTITIONS`` partitions.
+BLOCKS_AT_ONCE, PARTITIONS = 16, 256
+#: Bytes that the writer gathers before it ends a row group; a reader holds one.
+_ROW_GROUP = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -66,15 +79,24 @@ BOARDS = {
 }
 
 
-@dataclass
-class Page(InputPartition):
+@dataclass(frozen=True)
+class Block:
+    """Pages of one search from ``first`` to ``last`` that lie in one folder; ``numbers``, if any, are the only ones asked for."""
+
     term: str
-    number: int
-    files: tuple[str, ...]
+    folder: str
+    first: int
+    last: int
+    numbers: frozenset[int] | None = None
+
+    def __contains__(self, number: int) -> bool:
+        return self.first <= number <= self.last and (self.numbers is None or number in self.numbers)
+
 
-    def __init__(self, term: str, number: int, files: tuple[str, ...]):
+class Blocks(InputPartition):
+    def __init__(self, blocks: tuple[Block, ...]):
         super().__init__(None)
-        self.term, self.number, self.files = term, number, files
+        self.blocks = blocks
 
 
 def pages_declared(body: str) -> int | None:
@@ -140,29 +162,41 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         files, root = opened(self.path)
-        out: list[Page] = []
+        blocks: list[Block] = []
         for term, folder in self._listed(files, f"{root}/mode={self.mode}", "term"):
             term = "" if term == _NO_TERM else term
             if self.terms is not None and term not in self.terms:
                 continue
-            pages = sorted((int(number), at) for number, at in self._listed(files, folder, "page"))
-            most = self._declared(files, pages) if self.mode == SEARCH else None
-            for number, at in pages:
-                inside = self.first <= number and (self.last is None or number <= self.last) and (self.numbers is None or number in self.numbers)
-                if inside and (most is None or number <= most):
-                    out.append(Page(term, number, tuple(_parts(files, at))))
-        return out
-
-    def _declared(self, files: fs.FileSystem, pages: list[tuple[int, str]]) -> int | None:
-        return pages_declared(_text(files, _parts(files, pages[0][1]))) if pages else None
-
-    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+            listed = sorted((int(number), at) for number, at in self._listed(files, folder, "block"))
+            most = self._declared(files, listed) if self.mode == SEARCH else None
+            last = min((x for x in (self.last, most) if x is not None), default=None)
+            for number, at in listed:
+                begin, end = number * BLOCK, number * BLOCK + BLOCK - 1
+                begin, end = max(begin, self.first), end if last is None else min(end, last)
+                numbers = None if self.numbers is None else frozenset(x for x in self.numbers if begin <= x <= end)
+                if begin <= end and (numbers is None or numbers):
+                    blocks.append(Block(term, at, begin, end, numbers))
+        if len(blocks) <= FEW_BLOCKS:
+            return [Blocks((Block(b.term, b.folder, n, n),)) for b in blocks for n in _numbers(files, b)]
+        at_once = min(BLOCKS_AT_ONCE, -(-len(blocks) // PARTITIONS))
+        return [Blocks(tuple(blocks[i : i + at_once])) for i in range(0, len(blocks), at_once)]
+
+    def _declared(self, files: fs.FileSystem, blocks: list[tuple[int, str]]) -> int | None:
+        if not blocks:
+            return None
+        number, folder = blocks[0]
+        first = _numbers(files, Block("", folder, number * BLOCK, number * BLOCK + BLOCK - 1))[0]
+        return pages_declared(next(_answers(files, Block("", folder, first, first)))[1])
+
+    def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was planned
             return
         files, _ = opened(self.path)
-        request = self.board.request(self.mode, partition.term, partition.number, self.limit)
-        row = (partition.term, partition.term, partition.number, self.board.search, request, _text(files, partition.files))
-        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        for block in partition.blocks:
+            for number, body in _answers(files, block):
+                row = (block.term, block.term, number, self.board.search, self.board.request(self.mode, block.term, number, self.limit), body)
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -177,12 +211,35 @@ def _parts(files: fs.FileSystem, folder: str) -> list[str]:
     return sorted(f.path for f in found if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(("_", ".")))
 
 
-def _text(files: fs.FileSystem, parts: Iterable[str]) -> str:
-    body = []
-    for part in parts:
-        with files.open_input_stream(part) as stream:
-            body.append(stream.read().decode())
-    return "".join(body).removesuffix("\n")
+def _numbers(files: fs.FileSystem, block: Block) -> list[int]:
+    """Numbers of a block's pages, for which the answers themselves aren't read."""
+    found: set[int] = set()
+    for part in _parts(files, block.folder):
+        with files.open_input_file(part) as source:
+            found.update(pq.ParquetFile(source).read(columns=["page"]).column("page").to_pylist())
+    return sorted(n for n in found if n in block)
+
+
+def _answers(files: fs.FileSystem, block: Block) -> Iterator[tuple[int, str]]:
+    """Numbers and bodies of a block's pages in order; rows of one page, which lie together, are lines of one answer."""
+    held: tuple[int, list[str]] | None = None
+    for part in _parts(files, block.folder):
+        with files.open_input_file(part) as source:
+            table = pq.ParquetFile(source)
+            for group in range(table.num_row_groups):
+                if not any(n in block for n in table.read_row_group(group, columns=["page"]).column("page").unique().to_pylist()):
+                    continue
+                for batch in table.iter_batches(16, [group], ["page", "body"]):
+                    for number, body in zip(batch.column("page").to_pylist(), batch.column("body"), strict=True):
+                        if number not in block:
+                            continue
+                        if held and held[0] != number:
+                            yield held[0], "\n".join(held[1])
+                            held = None
+                        held = held or (number, [])
+                        held[1].append(body.as_py() or "")
+    if held:
+        yield held[0], "\n".join(held[1])
 
 
 class CapturedPages(DataSource):
@@ -208,4 +265,7 @@ def register(spark: SparkSession) -> None:
 
 def capture(pages: DataFrame, path: str) -> None:
     """Writes answers ``(mode, term, page, body)`` as a capture; a body may span lines."""
-    pages.select("mode", "term", "page", "body").write.partitionBy("mode", "term", "page").text(path)
+    block = F.floor(F.col("page") / BLOCK).cast("int")
+    dealt = pages.select("mode", "term", "page", "body", block.alias("block")).repartition("mode", "term", "block")
+    writer = dealt.sortWithinPartitions("mode", "term", "block", "page").write.partitionBy("mode", "term", "block")
+    writer.option("parquet.block.size", _ROW_GROUP).option("compression", "zstd").parquet(path)

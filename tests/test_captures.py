@@ -66,3 +66,25 @@ def test_terms_in_one_field(spark):
     rows = spark.createDataFrame([(1, "Go", "dev", ["x"]), (2, "dev go", None, None), (3, "a", "b", ["GO", "dev"])], "id int, title string, description string, tags array<string>")
     told = lambda board, query="go dev": sorted(r["id"] for r in boards.matching(rows, query, board).collect())
     assert (told("working_nomads"), told("djinni"), told("djinni", " ")) == ([2, 3], [1, 2, 3], [1, 2, 3])
+
+
+def test_a_long_read_is_planned_by_blocks(spark, tmp_path):
+    """Files and tasks follow the blocks; a block's other pages are no rows."""
+    pages = spark.range(4000).selectExpr("'browse' mode", "concat('t', id % 4) term", "cast(id div 4 as int) page", "concat('body\n', id) body")
+    captures.capture(pages, str(tmp_path / "c"))
+    blocks = 4 * -(-1000 // captures.BLOCK)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) == blocks
+    found = read(spark, str(tmp_path / "c"))
+    assert found.rdd.getNumPartitions() == blocks
+    assert found.selectExpr("count(*)", "count(distinct term, page)", "count_if(body = concat('body\n', page * 4 + cast(substring(term, 2) as int)))").first() == (4000, 4000, 4000)
+    some = found.where("page >= 100 and page <= 900 and page not in (0)")
+    assert some.rdd.getNumPartitions() == 4 * (900 // captures.BLOCK - 100 // captures.BLOCK + 1) and some.count() == 4 * 801
+    few = found.where("term = 't1' and page in (3, 70, 999, 1000)")
+    assert few.rdd.getNumPartitions() == 3 and sorted(r["page"] for r in few.collect()) == [3, 70, 999]
+
+
+def test_partitions_grow_slower_than_pages(monkeypatch):
+    listed = {"/c/mode=browse": [("", "/c/t")], "/c/t": [(str(n), f"/c/t/{n}") for n in range(100_000)]}
+    monkeypatch.setattr(captures._Reader, "_listed", lambda self, files, path, key: listed[path])
+    planned = captures._Reader({"path": "/c"}).partitions()
+    assert len(planned) == 100_000 // captures.BLOCKS_AT_ONCE and sum(len(p.blocks) for p in planned) == 100_000
