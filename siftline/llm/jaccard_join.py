@@ -13,7 +13,9 @@ make poor pivots.  Pivots are single shingles and fixed classes of shingles:
   linked documents differ in sum by at most ``(1 - t) / (1 + t)`` of their sizes; and their sizes by a factor ``t``.
 * *Recursion.*  A region's smallest document is joined with all its members; members that are then in one component
   need no further comparison.  Regions with several components recur with another pivot document, and what is left is
-  compared pair by pair inside tasks, block by block, where only pairs inside the windows leave the task.
+  compared pair by pair inside tasks, block by block, where only pairs inside the windows leave the task, and those that
+  are known to meet in an earlier region as well don't: near pairs share many pivots.  A first pass gives ``TRIED`` pairs of
+  any two components of a block, which link most of what belongs together; the second gives all pairs still apart.
 
 Equal sets are collapsed before, so copies cost one row each.  Pairs inside the windows go through windows of
 ``FINE_CLASSES`` classes, which tell long documents apart, and are then checked on whole sets, which are made for the
@@ -41,6 +43,10 @@ FINE_CLASSES = 1024
 #: A pivot in fewer documents is never moved back.
 LARGE_REGION = 48
 BLOCK = 2048
+#: Regions of a document, the first in order, by which pairs that met in an earlier region are told.
+KNOWN_REGIONS = 16
+#: Pairs of two components that a block gives first, before all that are still unlinked.
+TRIED = 8
 
 
 @dataclass(frozen=True)
@@ -175,17 +181,49 @@ def _inside_windows(like: Similarity):
     return keep
 
 
-def _region_pairs(like: Similarity):
-    """Pairs inside the windows of each block of a region: columns block, doc, n, component, side, classes."""
+def _padded(regions: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of each row, the last repeated up to ``KNOWN_REGIONS``, and how many there are."""
+    told = np.array([len(r) // 8 for r in regions], np.int64)
+    width = 8 * KNOWN_REGIONS
+    filled = b"".join(r + r[-8:] * ((width - len(r)) // 8) for r in regions)
+    return np.frombuffer(filled, np.int64).reshape(-1, KNOWN_REGIONS), told
+
+
+def _listed_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of numbers as bytes: columns doc, regions."""
+    for batch in batches:
+        packed = [np.array(r, np.int64).tobytes() for r in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "regions"])
+
+
+def _some_of_each(kinds: np.ndarray, most: int) -> np.ndarray:
+    """Places of up to ``most`` rows of each kind (a row of numbers), spread over all of it."""
+    mixed = np.random.default_rng(0).permutation(len(kinds))
+    order = mixed[np.lexsort(kinds[mixed].T)]
+    new = np.append(True, (kinds[order[1:]] != kinds[order[:-1]]).any(axis=1))
+    start = np.flatnonzero(new)
+    nth = np.arange(len(order)) - start[np.cumsum(new) - 1]
+    return order[nth < most]
+
+
+def _region_pairs(like: Similarity, most: int | None = None):
+    """Pairs inside the windows of each block of a region: columns block, doc, n, component, side, classes, pivot, regions.
+
+    ``regions`` are the first ``KNOWN_REGIONS`` pivots of a document in order of their numbers, as bytes.  A pair with a
+    smaller pivot than the block's in both lists meets there, so it is left out here; no pair is left out of its first region.
+    With ``most``, no more than so many pairs of any two components leave a block.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in clustered(batches, BLOCK):
             block = table.column("block").to_numpy()
             doc, n, component, side = (table.column(c).to_numpy() for c in ("doc", "n", "component", "side"))
             classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            pivot, (known, told) = table.column("pivot").to_numpy(), _padded(table.column("regions").to_pylist())
             edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             out_a, out_b = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = [np.zeros((0, 2), np.int64)]
                 for i in range(lo, hi - 1):
                     stop = lo + int(np.searchsorted(n[lo:hi], like.den * n[i] // like.num, side="right"))
                     j = np.arange(i + 1, stop)
@@ -193,8 +231,18 @@ def _region_pairs(like: Similarity):
                     if len(j):
                         gap = np.abs(classes[j] - classes[i]).sum(axis=1, dtype=np.int64)
                         j = j[like.near(n[j], n[i], gap)]
-                        out_a += [int(doc[i])] * len(j)
-                        out_b += doc[j].tolist()
+                    for earlier in known[i, : told[i]].tolist():
+                        if earlier >= pivot[i] or not len(j):
+                            break
+                        j = j[~((known[j] == earlier).any(axis=1))]
+                    if len(j):
+                        found.append(np.column_stack([np.full(len(j), i), j]))
+                met = np.concatenate(found)
+                if most and len(met) > most:
+                    met = met[_some_of_each(np.sort(component[met], axis=1), most)]
+                out_a.append(doc[met[:, 0]])
+                out_b.append(doc[met[:, 1]])
+            out_a, out_b = (np.concatenate([*out, np.zeros(0, np.int64)]) for out in (out_a, out_b))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return pairs
@@ -299,26 +347,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more_links = seated(left.where("component <> high").join(seats, "pivot").select(F.col("doc").alias("a"), F.col("seat").alias("b")), "second")
     components = joined_components(components, more_links, scratch, "components-1")
     scratch.drop("left", "first-linked", "second-linked")
-    left = labelled(components).join(shapes, "doc")
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = (
-        left.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
-            "doc",
-            "n",
-            "component",
-            F.when(F.col("mine") == F.col("other"), -1 - F.col("mine")).otherwise(F.col("mine")).alias("side"),
-            "classes",
+
+    def met_in_blocks(components: DataFrame, name: str, most: int | None) -> DataFrame:
+        """Pairs of unlike components that meet in a block of a region and that the windows allow."""
+        mixed = scratch.keep(labelled(components), f"{name}-mixed")
+        regions = mixed.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("pivot")), 1, KNOWN_REGIONS).alias("regions"))
+        left = mixed.join(shapes.join(regions.mapInArrow(_listed_regions, "doc bigint, regions binary"), "doc"), "doc")
+        blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+        dealt = (
+            left.withColumn("blocks", blocks)
+            .withColumn("mine", mine)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(
+                F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
+                "doc",
+                "n",
+                "component",
+                F.when(F.col("mine") == F.col("other"), -1 - F.col("mine")).otherwise(F.col("mine")).alias("side"),
+                "classes",
+                "pivot",
+                "regions",
+            )
         )
-    )
-    pairs = dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like), "a bigint, b bigint").distinct()
-    more_links = verified(pairs, "third")
-    scratch.drop("members")
+        return dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like, most), "a bigint, b bigint").distinct()
+
+    more_links = verified(met_in_blocks(components, "third", TRIED), "third")
     components = joined_components(components, more_links, scratch, "components-2")
+    scratch.drop("third-mixed", "third-linked")
+    more_links = verified(met_in_blocks(components, "fourth", None), "fourth")
+    scratch.drop("members")
+    components = joined_components(components, more_links, scratch, "components-3")
     joined = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", "id", F.coalesce("component", "doc").alias("component"))
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     named = joined.join(least, "component").select("n", "f1", "f2", "least")
