@@ -28,7 +28,8 @@ from .work import Scratch, met_by_key
 
 WIDTH = 20
 GRAM = 8
-SHARD_LIMIT = 256
+#: Words of so many passages, about 30 each, take an automaton half a second.
+SHARD_LIMIT = 4096
 _SHARD_ROWS = 2000
 
 
