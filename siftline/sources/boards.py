@@ -305,7 +305,8 @@ def builtin(pages: DataFrame, details: DataFrame, search: str = "", max_pages: i
     told = pages_read(counted, Stop(pages=max_pages if max_pages and max_pages > 0 else None), ("read", "ordinal")).drop("before")
     links = listed.join(told, ["read", "ordinal", "page"]).select("ordinal", "page", "alpha_2", F.posexplode("links").alias("place", "link"))
     first = first_of_each(links, F.col("link"), F.col("ordinal"), F.col("page"), F.col("place")).where("_url is not null")
-    own = text.held(with_posting(details.where(~text.challenge_page(F.col("body")))), apply=linked_data.apply_url(F.col("body"), F.col("url")))
+    asked = details.withColumn("_url", identity.canonical_url(F.col("url"))).join(first.select("_url"), "_url", "left_semi").drop("_url")
+    own = text.held(with_posting(asked.where(~text.challenge_page(F.col("body")))), apply=linked_data.apply_url(F.col("body"), F.col("url")))
     rows = first.join(own.where("wrong is null").select("_url", F.col("detail").alias("p"), "apply"), "_url").where(text.trim(F.col("p.title")) != "")
     rows = rows.withColumn("_own", identity.canonical_url(F.when(text.trim(F.col("p.url")) != "", F.col("p.url")).otherwise(F.col("_url")))).where("_own is not null")
     if max_jobs and max_jobs > 0:

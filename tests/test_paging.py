@@ -92,3 +92,13 @@ def test_searched_pages(spark):
     assert boards.himalayas(pages, Countries({})).count() == 2  # a short page ends browsing
     assert boards.himalayas(pages, Countries({}), search=True, max_pages=2).count() == 3
     assert sorted(r["url"] for r in boards.himalayas(pages, Countries({}), search=True, max_jobs=3).collect()) == ["https://h.co/1", "https://h.co/2", "https://h.co/3"]
+
+
+def test_only_listed_details_are_sorted_and_read(spark):
+    pages = spark.createDataFrame([("POL", 1, "https://b.co/", '<script type="application/ld+json">{"@graph":[{"@type":"ItemList","itemListElement":[{"url":"https://b.co/1"}]}]}</script>')], f"alpha_3 string, {PAGE}")
+    posting = '<script type="application/ld+json">{"@type":"JobPosting","title":"T","hiringOrganization":{"name":"C"}}</script>'
+    details = spark.createDataFrame([(1, f"https://b.co/{n}", posting) for n in (1, 2)], PAGE)
+    jobs = boards.builtin(pages, details, "dev")
+    plan = jobs._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["url"] for r in jobs.collect()] == ["https://b.co/1"]
+    assert "LeftSemi" in plan
