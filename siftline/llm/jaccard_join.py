@@ -13,13 +13,15 @@ make poor pivots.  Pivots are single shingles and fixed classes of shingles:
   linked documents differ in sum by at most ``(1 - t) / (1 + t)`` of their sizes; and their sizes by a factor ``t``.
 * *Recursion.*  A region's smallest document is joined with all its members; members that are then in one component
   need no further comparison.  Regions with several components recur with another pivot document, and what is left is
-  compared pair by pair inside tasks, block by block, where only pairs inside the windows leave the task, and those that
-  are known to meet in an earlier region as well don't: near pairs share many pivots.  A first pass gives ``TRIED`` pairs of
-  any two components of a block, which link most of what belongs together; the second gives all pairs still apart.
-
-Equal sets are collapsed before, so copies cost one row each.  Pairs inside the windows go through windows of
-``FINE_CLASSES`` classes, which tell long documents apart, and are then checked on whole sets, which are made for the
-documents of those pairs alone.
+  compared pair by pair inside tasks, block by block, leaving out pairs that are known to meet in an earlier region as
+  well: near pairs share many pivots.  Pairs never become rows there: a block first tells which of its documents are in a
+  pair inside the windows, gets windows of ``FINE_CLASSES`` for those and tells again, gets whole sets for those left, and
+  then gives only links that join components of the block, fewer than it has documents.  A first pass takes the documents of ``TRIED`` pairs of any two components of a block, which
+  link most of what belongs together; the second those of all pairs still apart.
+
+Equal sets are collapsed before, so copies cost one row each.  Pairs of a document and a seat that are inside the windows
+go through windows of ``FINE_CLASSES`` classes, which tell long documents apart, and are then checked on whole sets,
+which are made for the documents of those pairs alone.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ FINE_CLASSES = 1024
 #: A pivot in fewer documents is never moved back.
 LARGE_REGION = 48
 BLOCK = 2048
+#: Shingles of a block's documents, on average, so that their sets fit a task; a longer document has a block of its own.
+BLOCK_SHINGLES = 2_000_000
+#: Shingles that are looked up at once.
+_LOOKED_UP = 2_000_000
 #: Regions of a document, the first in order, by which pairs that met in an earlier region are told.
 KNOWN_REGIONS = 16
 #: Pairs of two components that a block gives first, before all that are still unlinked.
@@ -206,48 +212,104 @@ def _some_of_each(kinds: np.ndarray, most: int) -> np.ndarray:
     return order[nth < most]
 
 
+class _Sets:
+    """Whole sets of a block's documents, numbered within the block."""
+
+    def __init__(self, sets: pa.ListArray):
+        self.start = sets.offsets.to_numpy().astype(np.int64)
+        self.start -= self.start[0]
+        self.size = np.diff(self.start)
+        prints, self.code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        self.held = np.zeros(len(prints), bool)
+
+    def shared(self, i: int, j: np.ndarray) -> np.ndarray:
+        """How many shingles document ``i`` shares with each of ``j``."""
+        mine = self.code[self.start[i] : self.start[i + 1]]
+        self.held[mine] = True
+        parts, ends = [np.zeros(0, np.int64)], np.cumsum(self.size[j])
+        for part in np.split(j, np.flatnonzero(np.diff(ends // _LOOKED_UP)) + 1):
+            size = self.size[part]
+            first = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(self.start[part] - first, size)
+            parts.append(np.add.reduceat(self.held[self.code[at]], first, dtype=np.int64))
+        self.held[mine] = False
+        return np.concatenate(parts)
+
+
+def _inside(like: Similarity, classes: np.ndarray, n: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Whether the class counts of row ``i`` and each of ``j`` allow a link."""
+    gap = np.abs(classes[j].astype(np.int16) - classes[i]).sum(axis=1, dtype=np.int64)
+    return like.near(n[j], n[i], gap)
+
+
+def _met(like: Similarity, table: pa.Table, most: int | None = None) -> np.ndarray:
+    """Places in ``table`` of the pairs that ``_region_pairs`` gives."""
+    block = table.column("block").to_numpy()
+    n, component, side = (table.column(c).to_numpy() for c in ("n", "component", "side"))
+    component = component.copy()
+    windows = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(block), -1) for c in ("classes", "fine") if c in table.column_names]
+    pivot, (known, told) = table.column("pivot").to_numpy(), _padded(table.column("regions").to_pylist())
+    sets = table.column("shingles").combine_chunks() if "shingles" in table.column_names else None
+    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+    out = [np.zeros((0, 2), np.int64)]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        found = [np.zeros((0, 2), np.int64)]
+        whole = None if sets is None else _Sets(sets.slice(lo, hi - lo))
+        for i in range(lo, hi - 1):
+            stop = lo + int(np.searchsorted(n[lo:hi], like.den * n[i] // like.num, side="right"))
+            j = np.arange(i + 1, stop)
+            j = j[(component[j] != component[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+            j = j[_inside(like, windows[0], n, i, j)]
+            for earlier in known[i, : told[i]].tolist():
+                if earlier >= pivot[i] or not len(j):
+                    break
+                j = j[~((known[j] == earlier).any(axis=1))]
+            for fine in windows[1:]:
+                j = j[_inside(like, fine, n, i, j)]
+            if whole and len(j):
+                both = whole.shared(i - lo, j - lo)
+                j = j[both * like.den >= (n[i] + n[j] - both) * like.num]
+                others, first = np.unique(component[j], return_index=True)
+                j = j[first]
+                component[lo:hi][np.isin(component[lo:hi], others)] = component[i]
+            if len(j):
+                found.append(np.column_stack([np.full(len(j), i), j]))
+        met = np.concatenate(found)
+        if most and len(met) > most:
+            met = met[_some_of_each(np.sort(component[met], axis=1), most)]
+        out.append(met)
+    return np.concatenate(out)
+
+
 def _region_pairs(like: Similarity, most: int | None = None):
     """Pairs inside the windows of each block of a region: columns block, doc, n, component, side, classes, pivot, regions.
 
     ``regions`` are the first ``KNOWN_REGIONS`` pivots of a document in order of their numbers, as bytes.  A pair with a
     smaller pivot than the block's in both lists meets there, so it is left out here; no pair is left out of its first region.
-    With ``most``, no more than so many pairs of any two components leave a block.
+    With ``most``, no more than so many pairs of any two components leave a block.  With a column ``fine`` of finer class
+    counts, pairs must be inside those as well.  With a column ``shingles`` of whole sets, only links are given, and of
+    those that join the same components of a block one.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in clustered(batches, BLOCK):
-            block = table.column("block").to_numpy()
-            doc, n, component, side = (table.column(c).to_numpy() for c in ("doc", "n", "component", "side"))
-            classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-            pivot, (known, told) = table.column("pivot").to_numpy(), _padded(table.column("regions").to_pylist())
-            edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-            out_a, out_b = [], []
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                found = [np.zeros((0, 2), np.int64)]
-                for i in range(lo, hi - 1):
-                    stop = lo + int(np.searchsorted(n[lo:hi], like.den * n[i] // like.num, side="right"))
-                    j = np.arange(i + 1, stop)
-                    j = j[(component[j] != component[i]) & ((side[j] != side[i]) | (side[i] < 0))]
-                    if len(j):
-                        gap = np.abs(classes[j] - classes[i]).sum(axis=1, dtype=np.int64)
-                        j = j[like.near(n[j], n[i], gap)]
-                    for earlier in known[i, : told[i]].tolist():
-                        if earlier >= pivot[i] or not len(j):
-                            break
-                        j = j[~((known[j] == earlier).any(axis=1))]
-                    if len(j):
-                        found.append(np.column_stack([np.full(len(j), i), j]))
-                met = np.concatenate(found)
-                if most and len(met) > most:
-                    met = met[_some_of_each(np.sort(component[met], axis=1), most)]
-                out_a.append(doc[met[:, 0]])
-                out_b.append(doc[met[:, 1]])
-            out_a, out_b = (np.concatenate([*out, np.zeros(0, np.int64)]) for out in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        for table in clustered(batches, 64):  # few, because sets are large
+            met, doc = _met(like, table, most), table.column("doc").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(doc[met[:, 0]], pa.int64()), pa.array(doc[met[:, 1]], pa.int64())], names=["a", "b"])
 
     return pairs
 
 
+def _paired(like: Similarity, most: int | None):
+    """The rows of each block that are in one of its pairs, or of ``most`` pairs of any two components, without ``fine``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in clustered(batches, BLOCK):
+            kept = table.select([c for c in table.column_names if c != "fine"])
+            yield from kept.take(pa.array(np.unique(_met(like, table, most)))).to_batches()
+
+    return rows
+
+
 def _with_copies(pairs: DataFrame, table: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """Rows of ``table(doc, ...)`` for the documents in column ``b`` of ``pairs``, with the number of those pairs."""
     asked = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asked"))
@@ -290,21 +352,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kinds = scratch.keep(kinds.withColumn("doc", F.monotonically_increasing_id()), "kinds")
     sketched = scratch.keep(sketched.select("doc", "tag", "n", "f1", "f2"), "rows")
     scratch.drop("sketches")
-    entries = kinds.select(F.explode("pivots").alias("pivot"), "doc")
+    entries = kinds.select(F.explode("pivots").alias("pivot"), "doc", "n")
     regions = scratch.keep(entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("seat")).where("docs >= 2"), "regions")
-    members = scratch.keep(met_by_key(entries, regions, "pivot", "docs", ("doc",)).select("pivot", "doc", "seat"), "members")
+    members = scratch.keep(met_by_key(entries, regions, "pivot", "docs", ("doc",)).select("pivot", "doc", "n", "seat"), "members")
     kinds = scratch.keep(kinds.drop("pivots"), "shapes")
     shapes = kinds.select("doc", "n", "classes")
     scratch.drop("kinds", "regions")  # and lets go of the shuffles so far, as below
 
-    def made_of(pairs: DataFrame, make, schema: str, name: str) -> DataFrame:
-        """What ``make`` makes of the texts of all kinds in ``pairs``: one row for each."""
-        involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    def made_of(involved: DataFrame, make, schema: str, name: str) -> DataFrame:
+        """What ``make`` makes of the texts of all kinds ``involved(doc)``: one row for each."""
         asked = kinds.join(involved, "doc").select(F.col("doc").alias("kind"), "row.doc", "row.tag")
         texts = source.alias("s").join(asked.alias("k"), same_document("s", "k")).select(F.col("kind").alias("doc"), "text").mapInArrow(make, schema)
         columns = [c for c in texts.columns if c != "doc"]
         return scratch.keep(texts.groupBy("doc").agg(*(F.first(c).alias(c) for c in columns)), name)
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
     def windowed(pairs: DataFrame, shapes: DataFrame, name: str) -> DataFrame:
         """Pairs ``(a, b)`` that the windows of their ``shapes(doc, n, classes)`` allow."""
         a, b = (shapes.select(F.col("doc"), F.col("n").alias(f"n_{x}"), F.col("classes").alias(f"classes_{x}")) for x in "ab")
@@ -316,10 +380,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs ``(a, b)`` whose whole sets are within the threshold."""
         pairs = scratch.keep(pairs, f"{name}-pairs")
-        fine = made_of(pairs, _fine_windows(like.words, keyed), "doc bigint, n bigint, classes binary", f"{name}-fine")
+        fine = made_of(ends(pairs), _fine_windows(like.words, keyed), "doc bigint, n bigint, classes binary", f"{name}-fine")
         pairs = windowed(pairs, fine, f"{name}-fine")
         scratch.drop(f"{name}-fine", f"{name}-pairs")
-        sets = made_of(pairs, _sets(like.words, keyed), "doc bigint, shingles array<bigint>", f"{name}-sets")
+        sets = made_of(ends(pairs), _sets(like.words, keyed), "doc bigint, shingles array<bigint>", f"{name}-sets")
         right = _with_copies(pairs, sets.withColumnRenamed("shingles", "y"), f"{name}-right", scratch)
         met = met_by_key(pairs, right, "b", "asked", ("a",)).join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         both = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -334,8 +398,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def labelled(components: DataFrame) -> DataFrame:
         """Members of regions that still hold several components."""
-        named = members.join(components, members.doc == components.node, "left").select("pivot", "doc", F.coalesce("component", "doc").alias("component"))
-        mixed = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high")
+        named = members.join(components, members.doc == components.node, "left").select("pivot", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        sizes = F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")
+        mixed = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), *sizes).where("low <> high")
         return named.join(mixed, "pivot")
 
     links = seated(members.select(F.col("doc").alias("a"), F.col("seat").alias("b")), "first")
@@ -348,12 +413,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components = joined_components(components, more_links, scratch, "components-1")
     scratch.drop("left", "first-linked", "second-linked")
 
-    def met_in_blocks(components: DataFrame, name: str, most: int | None) -> DataFrame:
-        """Pairs of unlike components that meet in a block of a region and that the windows allow."""
+    def linked_in_blocks(components: DataFrame, name: str, most: int | None) -> DataFrame:
+        """Links between unlike components that meet in a block of a region, as many as join them within the block."""
         mixed = scratch.keep(labelled(components), f"{name}-mixed")
         regions = mixed.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("pivot")), 1, KNOWN_REGIONS).alias("regions"))
-        left = mixed.join(shapes.join(regions.mapInArrow(_listed_regions, "doc bigint, regions binary"), "doc"), "doc")
-        blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+        left = mixed.drop("n").join(shapes.join(regions.mapInArrow(_listed_regions, "doc bigint, regions binary"), "doc"), "doc")
+        blocks = F.ceil(F.greatest(F.col("docs") / BLOCK, F.least("docs", F.col("shingles") / BLOCK_SHINGLES))).cast("int")
         mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
         dealt = (
             left.withColumn("blocks", blocks)
@@ -370,12 +435,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 "regions",
             )
         )
-        return dealt.repartition("block").sortWithinPartitions("block", "n").mapInArrow(_region_pairs(like, most), "a bigint, b bigint").distinct()
 
-    more_links = verified(met_in_blocks(components, "third", TRIED), "third")
+        def by_block(rows: DataFrame) -> DataFrame:
+            return rows.select("block", *(c for c in rows.columns if c != "block")).repartition("block").sortWithinPartitions("block", "n")
+
+        paired = scratch.keep(by_block(dealt).mapInArrow(_paired(like, most), dealt.schema), f"{name}-paired")
+        fine = made_of(paired.select("doc").distinct(), _fine_windows(like.words, keyed), "doc bigint, n bigint, classes binary", f"{name}-fine")
+        closer = by_block(paired.join(fine.select("doc", F.col("classes").alias("fine")), "doc")).mapInArrow(_paired(like, None), dealt.schema)
+        closer = scratch.keep(closer, f"{name}-closer")
+        scratch.drop(f"{name}-mixed", f"{name}-paired", f"{name}-fine")
+        sets = made_of(closer.select("doc").distinct(), _sets(like.words, keyed), "doc bigint, shingles array<bigint>", f"{name}-sets")
+        linked = scratch.keep(by_block(closer.join(sets, "doc")).mapInArrow(_region_pairs(like), "a bigint, b bigint"), f"{name}-linked")
+        scratch.drop(f"{name}-closer", f"{name}-sets")
+        return linked
+
+    more_links = linked_in_blocks(components, "third", TRIED)
     components = joined_components(components, more_links, scratch, "components-2")
-    scratch.drop("third-mixed", "third-linked")
-    more_links = verified(met_in_blocks(components, "fourth", None), "fourth")
+    scratch.drop("third-linked")
+    more_links = linked_in_blocks(components, "fourth", None)
     scratch.drop("members")
     components = joined_components(components, more_links, scratch, "components-3")
     joined = kinds.join(components, kinds.doc == components.node, "left").select("n", "f1", "f2", "id", F.coalesce("component", "doc").alias("component"))
