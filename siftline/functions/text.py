@@ -102,8 +102,8 @@ def remote_or_telecommute(kind: Column, title: Column, description: Column, tags
 
 
 def challenge_page(html: Column) -> Column:
-    """Whether a page is a bot challenge, by its first 96 KiB (SRC-21)."""
-    head = F.lower(F.decode(F.substring(F.encode(text(html), "UTF-8"), 1, 98304), "UTF-8"))
+    """Whether a page is a bot challenge, by its first 96 KiB, which may end inside a character (SRC-21)."""
+    head = F.lower(F.make_valid_utf8(F.substring(text(html).cast("binary"), 1, 98304).cast("string")))
     return head.contains("cdn-cgi/challenge-platform") | head.contains("cf-browser-verification") | (head.contains("just a moment") & head.contains("cdn-cgi"))
 
 
